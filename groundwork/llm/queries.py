@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwork.llm import bpe_count, chat, packing, sharding, simhash
+from groundwork.llm import bpe_count, chat, packing, pieces, quality, sharding, simhash
 from groundwork.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,17 +35,27 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=3)
 
 
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op3_token_counts": op3_token_counts,
         "op4_chat_format": op4_chat_format,
         "op5_packing": op5_packing,
         "op6_sharding": op6_sharding,
+        "op7_quality": op7_quality,
         "op8_simhash": op8_simhash,
+        "op10_pieces": op10_pieces,
     }
 
 
@@ -63,5 +73,45 @@ FROM c GROUP BY conv_id
 """
 
 
+def _js(p: str, q: str) -> str:
+    part = "CASE WHEN {0} > 0 THEN {0} * log2(2 * {0} / ({0} + {1})) ELSE 0 END"
+    pi, qi = f"{p}[i]", f"{q}[i]"
+    return f"sqrt(greatest(list_sum([{part.format(pi, qi)} + {part.format(qi, pi)} FOR i IN range(1, len({q}) + 1)]) / 2, 0))"
+
+
+def op7_sql() -> str:
+    ws = r"[\x20\x09-\x0D]"
+    classes, words, langs = [], [], list(quality.CLASS_SHARES)
+    for name in langs:
+        common = quality.WORD_SHARES[name]
+        classes.append(_js("p", str(list(map(float, quality.CLASS_SHARES[name])))))
+        shares = [*common.values(), 1 - sum(common.values())]
+        words.append(_js(f"c_{name}", str(shares)))
+    counts = ",\n".join(f"[len(list_filter(lw, lambda x: x = w)) / greatest(n_words, 1) FOR w IN {list(quality.WORD_SHARES[n])}] AS c0_{n}" for n in langs)
+    ended = ", ".join(f"list_append(c0_{n}, 1 - list_sum(c0_{n})) AS c_{n}" for n in langs)
+    left = lambda r: f"length(text) - length(regexp_replace(text, '{r}', '', 'g'))"
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+b AS (
+  SELECT doc_id, text, w, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, {left("[#*$%&|<>]")} AS n_symbols,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, list_transform(w, lambda x: lower(x)) AS lw,
+    [{left("[aeiou]")}, {left("[b-df-hj-np-tv-z]")}, {left("[A-Z]")}, {left("[0-9]")}, length(text) - length(array_to_string(w, '')), {left(r"[!-/:-@\[-`{-~]")}] AS k
+  FROM d),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, n_words - 6)) AS i FROM b WHERE n_words >= 8)),
+r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+rep AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS pos FROM r) GROUP BY doc_id),
+h AS (SELECT *, list_transform(list_append(k, length(text) - list_sum(k)), lambda x: x / greatest(length(text), 1)) AS p, {counts} FROM b),
+e AS (SELECT *, {ended} FROM h),
+m AS (
+  SELECT e.doc_id, n_words, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, length(text) AS n_chars,
+    least({", ".join(classes)}) AS cd, least({", ".join(words)}) AS wd
+  FROM e LEFT JOIN rep USING (doc_id)),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND (n_chars < {quality.LEAST_CHARS} OR n_words < {quality.LEAST_WORDS} OR (cd <= {quality.CLASS_LIMIT} AND cd + wd <= {quality.SUM_LIMIT})) AS kept
+FROM f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": OP4_SQL}
+    return {"op4_chat_format": OP4_SQL, "op7_quality": op7_sql()}
