@@ -45,6 +45,14 @@ def map_texts(df: DataFrame, fn: Callable[[list], list[pa.Array]], schema: str,
     return kept.mapInArrow(run, f"{head}, {schema}")
 
 
+#: A column that holds all columns of a row, so that no name of theirs can clash.
+ROW = "__row"
+
+
+def whole_row(df: DataFrame) -> Column:
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(ROW)
+
+
 def words_of(text: Column) -> Column:
     """Words of a text as an array; null and blank texts have none."""
     inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(WS))

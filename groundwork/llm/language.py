@@ -158,11 +158,13 @@ def fit(train: DataFrame, rows_per_language: int = 800, seed: int = 5) -> Langua
             counts = [gram_counts(t) for t in batch.column(1).to_pylist()]
             at = [np.nonzero(c)[0].tolist() if c is not None else [] for c in counts]
             n = [c[c > 0].tolist() if c is not None else [] for c in counts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int32()))], names=["lang", "at", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int32()))], names=["lang", "key", "at", "n"])
 
     share = F.create_map(*[x for name in languages for x in (F.lit(name), F.lit(min(1.0, rows_per_language / sizes[name])))])
-    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1_000_000)) / 1e6
-    sample = train.filter(draw < F.element_at(share, F.col("lang"))).select("lang", "text").limit(2 * rows_per_language * len(languages)).mapInArrow(sparse, "lang string, at array<int>, n array<int>").collect()
+    key = F.xxhash64(F.lit(seed), "doc_id", "text")
+    drawn = train.filter(F.pmod(key, F.lit(1_000_000)) / 1e6 < F.element_at(share, F.col("lang"))).select("lang", "text", key.alias("key"))
+    # the bound: the smallest keys, merged from bounded heaps of the partitions
+    sample = drawn.mapInArrow(sparse, "lang string, key bigint, at array<int>, n array<int>").orderBy("key", "lang").limit(2 * rows_per_language * len(languages)).collect()
     model = LanguageModel(languages, idf, np.zeros((BUCKETS, len(languages)), np.float32), np.zeros(len(languages), np.float32))
     rows, labels = [], []
     for r in sorted(sample, key=lambda r: (r["lang"], r["at"], r["n"])):
@@ -191,3 +193,15 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
         return [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
 
     return map_texts(docs, run, "lang_pred string, score double")
+
+
+def keep(docs: DataFrame, model: LanguageModel, least: float = 0.5) -> DataFrame:
+    """The rows and columns of ``docs`` whose text has a known language with a score of ``least`` or more."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            names, scores = model.predict(batch.column(at).to_pylist())
+            yield batch.filter(pa.array([n != "und" and s >= least for n, s in zip(names, scores)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

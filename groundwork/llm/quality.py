@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundwork.llm.common import WS, let, words_of
+from groundwork.llm.common import ROW, WS, let, whole_row, words_of
 
 # Shares of character classes in running text of each language, in the order
 # vowel a-z, other letter a-z, capital A-Z, digit, white space, ASCII mark, anything else.
@@ -88,14 +88,14 @@ def _languages() -> Column:
     return F.array(*rows)
 
 
-def measures(docs: DataFrame) -> DataFrame:
-    """doc_id, the base counts, and the distances to the nearest reference (class_distance, word_distance)."""
+def measures(docs: DataFrame, carry: str = "doc_id") -> DataFrame:
+    """``carry``, the base counts, and the distances to the nearest reference (class_distance, word_distance)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select("doc_id", text.alias("text"), words_of(F.col("text")).alias("words"))
+    base = docs.select(carry, text.alias("text"), words_of(F.col("text")).alias("words"))
     lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(WS)) != "")
     everything = sorted({w for ws in WORD_SHARES.values() for w in ws})
     base = base.select(
-        "doc_id",
+        carry,
         "text",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
@@ -116,19 +116,25 @@ def measures(docs: DataFrame) -> DataFrame:
         return let(counts, lambda c: js_distance(F.concat(c, F.array(1 - F.aggregate(c, F.lit(0.0), lambda a, x: a + x))), lang["shares"]))
 
     near = let(p, lambda x: F.array_min(F.transform(_languages(), lambda lang: js_distance(x, lang["classes"]))))
-    return base.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", near.alias("class_distance"), F.array_min(F.transform(_languages(), word_distance)).alias("word_distance"))
+    return base.select(carry, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", near.alias("class_distance"), F.array_min(F.transform(_languages(), word_distance)).alias("word_distance"))
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """doc_id, counts, base_failed, kept, class_distance, word_distance: one row per input row.
+def judge(docs: DataFrame, carry: str = "doc_id") -> DataFrame:
+    """``carry``, counts, base_failed, kept, class_distance, word_distance: one row per input row.
 
     base_failed: under 20 words, or over 30 % of the words in repeated 8-word windows.
     kept: not base_failed, and near one reference in both histograms; a text below
     LEAST_CHARS or LEAST_WORDS is not judged by them. Null and blank texts have no words
     and fail. Repeated rows are judged each; an empty table gives an empty result.
     """
-    m = measures(docs)
+    m = measures(docs, carry)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     short = (F.col("n_chars") < LEAST_CHARS) | (F.col("n_words") < LEAST_WORDS)
     near = (F.col("class_distance") <= CLASS_LIMIT) & (F.col("class_distance") + F.col("word_distance") <= SUM_LIMIT)
-    return m.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (short | near)).alias("kept"), "class_distance", "word_distance")
+    return m.select(carry, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (short | near)).alias("kept"), "class_distance", "word_distance")
+
+
+def keep(docs: DataFrame) -> DataFrame:
+    """The rows and columns of ``docs`` that ``judge`` keeps; other columns may have any names."""
+    judged = judge(docs.select(whole_row(docs), "text"), carry=ROW)
+    return judged.filter("kept").select(f"{ROW}.*")

@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwork.llm import bpe_count, chat, packing, pieces, quality, sharding, simhash
+from groundwork.llm import ann, bpe_count, chat, language, packing, pieces, quality, secrets, sharding, simhash
 from groundwork.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_count.token_counts(table(spark, sf_dir, "documents"), limit=2048)
 
@@ -43,18 +51,28 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=3)
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = language.held_out(F.col("doc_id"))
+    model = language.fit(docs.filter(~out))
+    return language.identify(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_secrets": op1_secrets,
+        "op2_nearest": op2_nearest,
         "op3_token_counts": op3_token_counts,
         "op4_chat_format": op4_chat_format,
         "op5_packing": op5_packing,
         "op6_sharding": op6_sharding,
         "op7_quality": op7_quality,
         "op8_simhash": op8_simhash,
+        "op9_language": op9_language,
         "op10_pieces": op10_pieces,
     }
 

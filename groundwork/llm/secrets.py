@@ -15,7 +15,9 @@ import hashlib
 import random
 import re
 import zlib
+from bisect import bisect_left
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -159,7 +161,11 @@ class Tagger:
         if not text:
             return []
         base = base_spans(text)
-        more = [s for s in self.spans(text) if not any(s[0] < b[1] and b[0] < s[1] for b in base)] if _STRING.search(text) else []
+        more = self.spans(text) if _STRING.search(text) else []
+        if base and more:
+            starts, reach = [s[0] for s in base], list(accumulate((s[1] for s in base), max))
+            # of the base spans that start before a span's end, does any reach beyond its start?
+            more = [s for s in more if not (k := bisect_left(starts, s[1])) or reach[k - 1] <= s[0]]
         return sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2])))
 
 

@@ -1,7 +1,7 @@
 """SimHash near-duplicates by tiled exact comparison.
 
-Distinct fingerprints are dealt into tiles by the population counts of their two
-halves. Two fingerprints within the radius have halves whose counts differ by no more
+Distinct fingerprints of 64 or more bits are dealt into tiles by the population counts
+of their two halves. Two fingerprints within the radius have halves whose counts differ by no more
 than the radius in sum, so only such tile pairs are compared, each as a numpy
 exclusive-or with bit counts. A task reports a spanning forest of the links it finds,
 never all pairs; components of those links give the groups.
@@ -14,10 +14,10 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundwork.llm.common import cut, map_texts
+from groundwork.llm.common import ROW, cut, map_texts, whole_row
 
 SEED = 42
 _ONES = np.uint64(0x0101010101010101)
@@ -34,36 +34,67 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64)
 
 
-def majority(hashes: np.ndarray) -> int:
-    """Fingerprint as a signed 64-bit number: the bits set in over half of the hashes."""
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """Bits set in over half of the hashes, as 8 big-endian bytes."""
     n = len(hashes)
     if not n:
-        return 0
+        return np.zeros(8, np.uint8)
     blocks = np.zeros((-(-n // 255), 255), np.uint64)
     blocks.reshape(-1)[:n] = hashes
-    bits = np.empty((8, 8), np.int64)  # [k, byte]: count of bit k of each byte
+    bits = np.empty((8, 8), np.int64)  # [k, byte]: count of bit k of each byte, lowest byte first
     for k in range(8):
         sums = ((blocks >> np.uint64(k)) & _ONES).sum(axis=1, dtype=np.uint64)  # eight counters of up to 255 in one word
         bits[k] = sums.astype("<u8").view(np.uint8).reshape(-1, 8).sum(axis=0, dtype=np.int64)
-    on = 2 * bits > n
-    value = sum(1 << (8 * byte + k) for k in range(8) for byte in range(8) if on[k, byte])
-    return value - (1 << 64) if value >> 63 else value
+    return np.packbits((2 * bits > n)[::-1, ::-1].T.reshape(-1))
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id, fp (long): null and blank texts have fingerprint 0."""
-    return map_texts(docs, lambda texts: [pa.array([majority(shingle_hashes(t, width)) for t in texts], pa.int64())], "fp bigint")
+def remix(hashes: np.ndarray) -> np.ndarray:
+    """Another 64 bits of each hash."""
+    x = hashes + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprint(text: str | None, width: int, bits: int = 64) -> bytes:
+    hashes, parts = shingle_hashes(text, width), []
+    for _ in range(bits // 64):
+        parts.append(majority(hashes))
+        hashes = remix(hashes)
+    return np.concatenate(parts).tobytes()
+
+
+def fingerprints(docs: DataFrame, width: int = 3, bits: int = 64, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``carry`` and fp (binary) with the bit counts of its halves, lo and hi: null and blank texts have fingerprint 0."""
+
+    def run(texts: list) -> list[pa.Array]:
+        made = [fingerprint(t, width, bits) for t in texts]
+        halves = np.bitwise_count(np.frombuffer(b"".join(made), np.uint8).reshape(len(made), 2, bits // 16)).sum(axis=2)
+        return [pa.array(made, pa.binary()), *(pa.array(halves[:, k], pa.int32()) for k in (0, 1))]
+
+    return map_texts(docs, run, "fp binary, lo int, hi int", carry=carry)
 
 
 def _quarters(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(np.ascontiguousarray(x).astype("<u8").view("<u2").reshape(-1, 4)).astype(np.int16)
+    return np.bitwise_count(x.view("<u2")).reshape(len(x), 4, -1).sum(axis=2).astype(np.int16)
 
 
 def _close(a: np.ndarray, b: np.ndarray, radius: int):
-    """Index pairs within the radius, in blocks."""
+    """Index pairs of rows (of 64-bit words) within the radius, in blocks."""
     step = max(1, BLOCK // max(1, len(b)))
+    words, first = a.shape[1], (a.shape[1] + 1) // 2
+    columns = [np.ascontiguousarray(b[:, k]) for k in range(words)]
     for at in range(0, len(a), step):
-        yield (hit := np.nonzero(np.bitwise_count(a[at : at + step, None] ^ b[None, :]) <= radius))[0] + at, hit[1]
+        apart = np.bitwise_count(a[at : at + step, None, 0] ^ columns[0])
+        for k in range(1, first):
+            apart += np.bitwise_count(a[at : at + step, None, k] ^ columns[k])
+        i, j = np.nonzero(apart <= radius)
+        if words > first and len(i):  # the rest of the words for the pairs that half of them leave
+            rest = apart[i, j].astype(np.int64)
+            for k in range(first, words):
+                rest += np.bitwise_count(a[at + i, k] ^ columns[k][j])
+            i, j = i[rest <= radius], j[rest <= radius]
+        yield i + at, j
 
 
 def _links(a: np.ndarray, b: np.ndarray, radius: int):
@@ -97,7 +128,8 @@ def _join(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def _compare(radius: int):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        fp, side = rows.column("fp").to_numpy().view(np.uint64), rows.column("side").to_numpy()
+        raw, side = rows.column("fp").to_pylist(), rows.column("side").to_numpy()
+        fp = np.frombuffer(b"".join(raw), np.uint64).reshape(len(raw), -1)
         a, b = fp[side == 0], fp[side == 1]
         alone = key[0].as_py() == key[1].as_py()
         both = a if alone else np.concatenate([a, b])
@@ -105,22 +137,29 @@ def _compare(radius: int):
         for i, j in _links(a, a if alone else b, radius):
             parent = _join(parent, i, j if alone else j + len(a))
         child = np.nonzero(parent != np.arange(len(both)))[0]
-        return pa.table({"u": both[child].view(np.int64), "v": both[parent[child]].view(np.int64)})
+        return pa.table({name: pa.array([x.tobytes() for x in both[at]], pa.binary()) for name, at in (("u", child), ("v", parent[child]))})
 
     return run
 
 
 def tile_links(fps: DataFrame, radius: int, tile_rows: int) -> DataFrame:
-    """u, v: links between distinct fingerprints (column fp) whose components are those of all links within the radius."""
+    """u, v: links between distinct fingerprints (fp, lo, hi) whose components are those of all links within the radius.
+
+    A cell holds the fingerprints whose halves' bit counts lie in the same steps; cells
+    whose counts differ beyond the radius are never compared. A large cell is several tiles.
+    """
     spark = fps.sparkSession
-    half = fps.select("fp", F.bit_count(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))).alias("lo"), F.bit_count(F.shiftrightunsigned("fp", 32)).alias("hi"))
+    step = 1 if radius < 8 else radius + 1
+    half = fps.select("fp", F.expr(f"lo div {step}").cast("int").alias("lo"), F.expr(f"hi div {step}").cast("int").alias("hi"))
     cells = {(r.lo, r.hi): -(-r.n // tile_rows) for r in half.groupBy("lo", "hi").agg(F.count(F.lit(1)).alias("n")).collect()}  # 33 x 33 at most
-    near = [(lo, hi, (lo * 33 + hi) << 20, n, [[(x * 33 + y) << 20, m] for (x, y), m in cells.items() if abs(x - lo) + abs(y - hi) <= radius]) for (lo, hi), n in cells.items()]
+    apart = lambda x, y: max(0, (abs(x - y) - 1) * step + 1) if x != y else 0  # noqa: E731  the least difference of counts in steps x and y
+    cell = lambda lo, hi: (lo * 64 + hi) << 20
+    near = [(lo, hi, cell(lo, hi), n, [[cell(x, y), m] for (x, y), m in cells.items() if apart(x, lo) + apart(y, hi) <= radius]) for (lo, hi), n in cells.items()]
     near = F.broadcast(spark.createDataFrame(near, "lo int, hi int, cell bigint, tiles bigint, near array<array<bigint>>"))
     own = half.join(near, ["lo", "hi"]).select("fp", "near", (F.col("cell") + F.pmod(F.xxhash64("fp"), F.col("tiles"))).alias("own"))
     other = F.flatten(F.transform("near", lambda c: F.transform(F.sequence(F.lit(0).cast("long"), c[1] - 1), lambda k: c[0] + k)))
     dealt = own.select("fp", "own", F.explode(other).alias("other")).select("fp", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    return dealt.groupBy("a", "b").applyInArrow(_compare(radius), "u bigint, v bigint")
+    return dealt.groupBy("a", "b").applyInArrow(_compare(radius), "u binary, v binary")
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -153,7 +192,14 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, tile_rows: int = 32_768) -> DataFrame:
+def grouped(fps: DataFrame, least: Column, radius: int, tile_rows: int) -> DataFrame:
+    """fp, first, n, root of each distinct fingerprint: ``first`` is the minimum of ``least``, root is null without a link."""
+    kinds = cut(fps.groupBy("fp").agg(F.max("lo").alias("lo"), F.max("hi").alias("hi"), F.min(least).alias("first"), F.count(F.lit(1)).alias("n")))
+    roots = components(tile_links(kinds, radius, tile_rows))
+    return kinds.join(roots, kinds.fp == roots.node, "left").select("fp", "first", "n", "root")
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, bits: int = 64, tile_rows: int = 32_768) -> DataFrame:
     """doc_id, fingerprint, component_id: one row per input row.
 
     Texts whose fingerprints differ in ``radius`` bits or fewer are linked; component_id is
@@ -162,13 +208,30 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, tile_rows:
     before any comparison. Rows without a doc_id take part, and have a component_id if any
     row they reach has an id. An empty table gives an empty result.
     """
-    fps = cut(fingerprints(docs, width))
-    kinds = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
-    roots = components(tile_links(kinds.select("fp"), radius, tile_rows))
-    joined = kinds.join(roots, kinds.fp == roots.node, "left").select("fp", "first", "n", "root")
-    linked = joined.filter("root is not null")
+    fps = cut(fingerprints(docs, width, bits))
+    kinds = grouped(fps, F.col("doc_id"), radius, tile_rows)
+    linked = kinds.filter("root is not null")
     least = linked.groupBy("root").agg(F.min("first").alias("component"))
-    known = linked.join(least, "root").select("fp", "component").unionByName(joined.filter("root is null and n > 1").select("fp", F.col("first").alias("component")))
+    known = linked.join(least, "root").select("fp", "component").unionByName(kinds.filter("root is null and n > 1").select("fp", F.col("first").alias("component")))
     known = known.select(F.col("fp").alias("__fp"), "component")
     out = fps.join(known, fps.fp == F.col("__fp"), "left")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def deduplicate(docs: DataFrame, width: int = 5, radius: int = 48, bits: int = 256, tile_rows: int = 32_768) -> DataFrame:
+    """The rows and columns of ``docs``, with one row of each group of near copies: that of the smallest doc_id.
+
+    By default groups are links of about 0.8 or more in Jaccard similarity of five-word
+    shingles: for such texts 39 of 256 bits differ on average, for unrelated ones 128.
+    Rows without an id come last in their group; of rows alike in id and text one stays.
+    Rows of equal id and different texts are different documents. Other columns are kept
+    as they are, whatever their names.
+    """
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    fps = cut(fingerprints(docs.select("doc_id", key.alias("hash"), "text"), width, bits, carry=("doc_id", "hash")))
+    kinds = grouped(fps, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash"), radius, tile_rows)
+    winners = kinds.filter("root is not null").groupBy("root").agg(F.min("first").alias("first")).select("first").unionByName(kinds.filter("root is null").select("first"))
+    name = lambda doc_id: F.coalesce(doc_id.cast("string"), F.lit("~"))  # noqa: E731  never null, so that join and deduplication share one exchange
+    winners = winners.select(name(F.col("first.doc_id")).alias("__of"), F.col("first.hash").alias("__key"))
+    rows = docs.select(whole_row(docs), name(F.col("doc_id")).alias("__of"), key.alias("__key"))
+    return rows.join(winners, ["__of", "__key"], "left_semi").dropDuplicates(["__of", "__key"]).select(f"{ROW}.*")
