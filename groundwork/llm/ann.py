@@ -69,10 +69,14 @@ def encode(books: Codebooks, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return near, (x * c).sum(axis=1), length, codes
 
 
+#: A query visits so many lists at least.
+LEAST_VISITS = 12
+
+
 def visits(books: Codebooks, q: np.ndarray, share: float) -> np.ndarray:
     """The lists that each query visits: the largest expected best inner products."""
     reach = q @ books.centroids.T + 3.0 * np.linalg.norm(q, axis=1)[:, None] * books.spread / np.sqrt(q.shape[1])
-    n = max(1, int(np.ceil(share * len(books.centroids))))
+    n = max(LEAST_VISITS, int(np.ceil(share * len(books.centroids))))
     return np.argsort(-reach, axis=1, kind="stable")[:, :n]
 
 

@@ -136,5 +136,6 @@ def judge(docs: DataFrame, carry: str = "doc_id") -> DataFrame:
 
 def keep(docs: DataFrame) -> DataFrame:
     """The rows and columns of ``docs`` that ``judge`` keeps; other columns may have any names."""
-    judged = judge(docs.select(whole_row(docs), "text"), carry=ROW)
-    return judged.filter("kept").select(f"{ROW}.*")
+    # the id keeps the filter above the measures: pushed below, each use of a measure would become a copy of its expression
+    judged = judge(docs.select(whole_row(docs), "text"), carry=ROW).select(ROW, "kept", F.monotonically_increasing_id().alias("at"))
+    return judged.filter("kept and at >= 0").select(f"{ROW}.*")
