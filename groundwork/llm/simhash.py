@@ -22,7 +22,9 @@ from groundwork.llm.common import ROW, cut, map_texts, whole_row
 SEED = 42
 _ONES = np.uint64(0x0101010101010101)
 #: Compare at most so many pairs in one numpy block.
-BLOCK = 2_000_000
+BLOCK = 500_000
+#: Beyond this radius the counts tell few fingerprints apart, so tiles are not cut finer.
+WIDE = 7
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -56,19 +58,21 @@ def remix(hashes: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(text: str | None, width: int, bits: int = 64) -> bytes:
+def fingerprint(text: str | None, width: int, bits: int = 64, repeats: bool = True) -> bytes:
+    """Without ``repeats`` each shingle of the text counts once."""
     hashes, parts = shingle_hashes(text, width), []
+    hashes = hashes if repeats else np.unique(hashes)
     for _ in range(bits // 64):
         parts.append(majority(hashes))
         hashes = remix(hashes)
     return np.concatenate(parts).tobytes()
 
 
-def fingerprints(docs: DataFrame, width: int = 3, bits: int = 64, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def fingerprints(docs: DataFrame, width: int = 3, bits: int = 64, repeats: bool = True, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``carry`` and fp (binary) with the bit counts of its halves, lo and hi: null and blank texts have fingerprint 0."""
 
     def run(texts: list) -> list[pa.Array]:
-        made = [fingerprint(t, width, bits) for t in texts]
+        made = [fingerprint(t, width, bits, repeats) for t in texts]
         halves = np.bitwise_count(np.frombuffer(b"".join(made), np.uint8).reshape(len(made), 2, bits // 16)).sum(axis=2)
         return [pa.array(made, pa.binary()), *(pa.array(halves[:, k], pa.int32()) for k in (0, 1))]
 
@@ -98,8 +102,8 @@ def _close(a: np.ndarray, b: np.ndarray, radius: int):
 
 
 def _links(a: np.ndarray, b: np.ndarray, radius: int):
-    """As _close; large tiles are cut again by the counts of their quarters."""
-    if len(a) * len(b) <= BLOCK:
+    """As _close; for a small radius, large tiles are cut again by the counts of their quarters."""
+    if len(a) * len(b) <= BLOCK or radius > WIDE:
         yield from _close(a, b, radius)
         return
     parts = []
@@ -149,7 +153,7 @@ def tile_links(fps: DataFrame, radius: int, tile_rows: int) -> DataFrame:
     whose counts differ beyond the radius are never compared. A large cell is several tiles.
     """
     spark = fps.sparkSession
-    step = 1 if radius < 8 else radius + 1
+    step = 1 if radius <= WIDE else radius + 1
     half = fps.select("fp", F.expr(f"lo div {step}").cast("int").alias("lo"), F.expr(f"hi div {step}").cast("int").alias("hi"))
     cells = {(r.lo, r.hi): -(-r.n // tile_rows) for r in half.groupBy("lo", "hi").agg(F.count(F.lit(1)).alias("n")).collect()}  # 33 x 33 at most
     apart = lambda x, y: max(0, (abs(x - y) - 1) * step + 1) if x != y else 0  # noqa: E731  the least difference of counts in steps x and y
@@ -228,7 +232,7 @@ def deduplicate(docs: DataFrame, width: int = 5, radius: int = 48, bits: int = 2
     as they are, whatever their names.
     """
     key = F.xxhash64(F.coalesce("text", F.lit("")))
-    fps = cut(fingerprints(docs.select("doc_id", key.alias("hash"), "text"), width, bits, carry=("doc_id", "hash")))
+    fps = cut(fingerprints(docs.select("doc_id", key.alias("hash"), "text"), width, bits, repeats=False, carry=("doc_id", "hash")))
     kinds = grouped(fps, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash"), radius, tile_rows)
     winners = kinds.filter("root is not null").groupBy("root").agg(F.min("first").alias("first")).select("first").unionByName(kinds.filter("root is null").select("first"))
     name = lambda doc_id: F.coalesce(doc_id.cast("string"), F.lit("~"))  # noqa: E731  never null, so that join and deduplication share one exchange
