@@ -13,12 +13,14 @@ from groundwork.operators.merge import dedup_insert
 
 def deduplicated(events: DataFrame, keys: Sequence[str], at: str, late: str = "7 days") -> DataFrame:
     """Each identity once, as long as its repeats come within ``late``; state older than that is dropped."""
-    return events.withWatermark(at, late).dropDuplicatesWithinWatermark(list(keys))
+    return events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).dropDuplicatesWithinWatermark(list(keys))
 
 
 def windowed_counts(events: DataFrame, at: str, by: Sequence[str], width: str = "1 hour", slide: str | None = None, late: str = "2 hours") -> DataFrame:
     """Events and the sum of their values in each window and group."""
     window = F.window(at, width, slide) if slide else F.window(at, width)
+    if dict(events.dtypes)[at] != "timestamp":  # a watermark needs an instant
+        events = events.withColumn(at, F.col(at).cast("timestamp"))
     out = events.withWatermark(at, late).groupBy(window.alias("w"), *by).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *by, "n", "total")
 

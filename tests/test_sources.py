@@ -54,10 +54,21 @@ def test_stream_merge_is_idempotent(spark, data, tmp_path):
     assert stored.count() == stored.select("event_type", "user_id").distinct().count() == events.limit(200).select("event_type", "user_id").distinct().count()
 
 
+def test_stream_deduplication(spark, data, tmp_path):
+    events = spark.read.parquet(f"{data}/events.parquet")
+    (tmp_path / "in").mkdir()
+    for _ in range(2):
+        events.write.mode("append").parquet(str(tmp_path / "in"))
+    out = feed.deduplicated(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")), ["event_id"], "ts", "60 days")
+    q = out.writeStream.format("memory").queryName("d").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.table("d").count() == events.count()
+
+
 def test_windowed_counts(spark, data, tmp_path):
     events = spark.read.parquet(f"{data}/events.parquet")
     stream = spark.readStream.schema(events.schema).parquet(f"{data}/events.parquet*")
-    counts = feed.windowed_counts(feed.deduplicated(stream, ["event_id"], "ts"), "ts", ["event_type"], "1 day")
+    counts = feed.windowed_counts(stream, "ts", ["event_type"], "1 day")
     q = counts.writeStream.outputMode("append").format("memory").queryName("w").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     got = {(r["start"], r["event_type"]): r["n"] for r in spark.table("w").collect()}
