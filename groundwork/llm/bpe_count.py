@@ -167,6 +167,8 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, limit: int = 20
 
     Null and empty texts have no bytes and no tokens. A special token's string inside a
     text counts as that one token. Whole texts are counted, whatever their length.
+    Letters that are newer than Python's Unicode tables may be split in another way than
+    by the library.
     Repeated rows and null ids are rows like any other; an empty table gives an empty result.
     """
     path = vocabulary or default_vocabulary()
