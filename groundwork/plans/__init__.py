@@ -1,3 +1,3 @@
 """Importing this package registers its queries."""
 
-from groundwork.plans import deriving, feed, merging, resolving, scalars, statistics  # noqa: F401
+from groundwork.plans import deriving, feed, merging, portal, resolving, scalars, statistics  # noqa: F401
