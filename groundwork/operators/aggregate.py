@@ -67,9 +67,12 @@ def owner_portfolios(rows: DataFrame, owner: str, parcel: str, absentee: str, fa
 
 def differentiators(signals: DataFrame, portfolios: DataFrame) -> DataFrame:
     """One row: parcels with two and with three or more signals, owners with two or more parcels."""
-    a = signals.agg(F.count_if(F.col("signal_count") >= 2).alias("multi_signal"), F.count_if(F.col("signal_count") >= 3).alias("triple_signal"))
-    b = portfolios.agg(F.count_if(F.col("parcel_count") >= 2).alias("multi_parcel_owners"))
-    return a.crossJoin(b)  # one row by one row
+    a, b = signals.select("signal_count", F.lit(0).alias("parcel_count")), portfolios.select(F.lit(0).alias("signal_count"), "parcel_count")
+    return a.unionByName(b).agg(
+        F.count_if(F.col("signal_count") >= 2).alias("multi_signal"),
+        F.count_if(F.col("signal_count") >= 3).alias("triple_signal"),
+        F.count_if(F.col("parcel_count") >= 2).alias("multi_parcel_owners"),
+    )
 
 
 def percentile_bands(sales: DataFrame, keys: Sequence[str], share: str, days: str, least: int = 15) -> DataFrame:

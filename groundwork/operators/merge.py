@@ -125,17 +125,17 @@ def retire_stale(stored: DataFrame, forfeit_now: DataFrame, delinquent_now: Data
 
     A delinquent that is now forfeited is ``forfeited``, one on no list ``cured``; a
     forfeit on no list is ``source_removed``. With too few mined rows or too many
-    retirements nothing is retired: the lists are then suspect, not the rows.
+    retirements nothing is retired: the lists are then suspect, not the rows. The two
+    counts behind this guard are taken when the function is called.
     """
     f = forfeit_now.select(F.col(key).alias("__f")).distinct()
     d = delinquent_now.select(F.col(key).alias("__d")).distinct()
-    mined = f.select(F.col("__f")).union(d).agg(F.count_distinct("__f").alias("__mined"))
     marked = stored.join(f, F.col(key) == F.col("__f"), "left").join(d, F.col(key) == F.col("__d"), "left")
     forfeited, listed = F.col("__f").isNotNull(), F.col("__f").isNotNull() | F.col("__d").isNotNull()
     how = F.when((F.col("kind") == "delinquent") & forfeited, "forfeited").when((F.col("kind") == "delinquent") & ~listed, "cured").when((F.col("kind") == "forfeit") & ~listed, "source_removed")
     out = marked.select(key, "kind", how.alias("retired_as")).filter("retired_as is not null")
-    guard = mined.crossJoin(out.agg(F.count(F.lit(1)).alias("__n"))).filter((F.col("__mined") >= least_mined) & (F.col("__n") <= most_retired))  # one row by one row
-    return out.join(F.broadcast(guard.select(F.lit(True).alias("__go"))), F.col("__go"), "inner").drop("__go")
+    sound = f.union(d).distinct().count() >= least_mined and out.count() <= most_retired
+    return out if sound else out.limit(0)
 
 
 def collapse_cases(rows: DataFrame, case: str, date: str, rank: Column, tie: str) -> DataFrame:
