@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field, fields, replace
+from functools import reduce
+from operator import and_
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -95,36 +97,42 @@ def published_window(name: str, as_of: Column) -> Column:
     return F.when(end.isNotNull(), by_end).otherwise(by_sale)
 
 
-def matching(rows: DataFrame, f: Filters, as_of: Column) -> DataFrame:
-    """Every row that the filters keep, in no order."""
+def conditions(f: Filters, as_of: Column) -> list[Column]:
+    """One condition for each filter on single rows."""
+    out = []
     if f.category:
-        rows = rows.filter(in_category(f.category, f.compat))
+        out.append(in_category(f.category, f.compat))
     if f.source:
-        rows = rows.filter(F.col("source") == f.source)
+        out.append(F.col("source") == f.source)
     if f.county is not None:
-        rows = rows.filter(F.col("county") == county_slug(F.lit(f.county)))
+        out.append(F.col("county") == county_slug(F.lit(f.county)))
     if f.observed_since:
-        rows = rows.filter(F.col("observed_at") > F.lit(f.observed_since).cast("timestamp"))
+        out.append(F.col("observed_at") > F.lit(f.observed_since).cast("timestamp"))
     if f.status:
-        rows = rows.filter(F.lower("status").contains("postpon") if f.status == "postponed" else F.col("status").isNull())
+        out.append(F.lower("status").contains("postpon") if f.status == "postponed" else F.col("status").isNull())
     for name, (low, high) in f.ranges.items():
-        rows = rows if low is None else rows.filter(F.col(name) >= low)
-        rows = rows if high is None else rows.filter(F.col(name) <= high)
-    for name, value in f.equal.items():
-        rows = rows.filter(F.col(name) == value)
+        out += [F.col(name) >= low] if low is not None else []
+        out += [F.col(name) <= high] if high is not None else []
+    out += [F.col(name) == value for name, value in f.equal.items()]
     if f.redemption:
-        rows = rows.filter(published_window(f.redemption, as_of))
+        out.append(published_window(f.redemption, as_of))
     if f.outcomes:
-        rows = rows.filter(F.col("outcome").isin(*f.outcomes))
+        out.append(F.col("outcome").isin(*f.outcomes))
     if f.absentee is not None:
-        rows = rows.filter(F.col("is_absentee") == f.absentee)
-    if f.redeemed is False:
-        rows = rows.filter(~F.coalesce("is_redeemed", F.lit(False)))
-    elif f.redeemed:
-        rows = rows.filter("is_redeemed")
+        out.append(F.col("is_absentee") == f.absentee)
+    if f.redeemed is not None:
+        known = F.coalesce("is_redeemed", F.lit(False))
+        out.append(known if f.redeemed else ~known)
     if f.multi_signal:
-        rows = best_per_key(rows.filter(F.col("signal_count") >= f.multi_signal), "parcel_key", [actionability(), F.col("id")])
-    return rows
+        out.append(F.col("signal_count") >= f.multi_signal)
+    return out
+
+
+def matching(rows: DataFrame, f: Filters, as_of: Column) -> DataFrame:
+    """Every row that the filters keep, in no order; one of each parcel if several signals are asked for."""
+    for ok in conditions(f, as_of):
+        rows = rows.filter(ok)
+    return best_per_key(rows, "parcel_key", [actionability(), F.col("id")]) if f.multi_signal else rows
 
 
 def page(rows: DataFrame, f: Filters, as_of: Column) -> DataFrame:
@@ -178,14 +186,16 @@ def from_words(asked: dict[str, Any]) -> Filters:
 
 
 def saved_search_counts(rows: DataFrame, searches: dict[str, Filters], as_of: Column) -> DataFrame:
-    """search, n: every saved search counted in one pass over the rows."""
-    spark = rows.sparkSession
-    if not searches:
-        return spark.createDataFrame([], "search string, n bigint")
-    hits = [matching(rows, f, as_of).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("search"), "n") for name, f in searches.items()]
-    out = hits[0]
-    for h in hits[1:]:
-        out = out.unionByName(h)
+    """search, n: plain searches are counted in one pass over the rows; each that wants one row of a parcel takes its own."""
+    out = rows.sparkSession.createDataFrame([], "search string, n bigint")
+    plain = {name: reduce(and_, conditions(f, as_of), F.lit(True)) for name, f in searches.items() if not f.multi_signal}
+    if plain:
+        counts = rows.agg(*[F.count_if(ok).alias(name) for name, ok in plain.items()])
+        pairs = F.array(*[F.struct(F.lit(name).alias("search"), F.col(f"`{name}`").alias("n")) for name in plain])
+        out = out.unionByName(counts.select(F.inline(pairs)))
+    for name, f in searches.items():
+        if f.multi_signal:
+            out = out.unionByName(matching(rows, f, as_of).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("search"), "n"))
     return out
 
 

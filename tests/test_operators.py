@@ -100,3 +100,11 @@ def test_promotion_of_packages(spark):
     events, sales, stubs = emit.promotion(n, F.col("p"))
     assert sorted((r["source_id"], r["event_value"] and float(r["event_value"])) for r in events.collect()) == [("n1#1234567", None), ("n1#7654321", None), ("n2", 5.0)]
     assert sales.count() == 3 and [r["parcel_id"] for r in stubs.collect()] == ["ANOKA-FC-n2"]
+
+
+def test_counts_of_saved_searches_with_signals(spark):
+    rows = spark.createDataFrame([(1, "p", "mpls_vbr", "x", 3), (2, "p", "mpls_vbr", "x", 3), (3, None, "mpls_vbr", "x", 2), (4, "q", "ramsey_tfl", "x", 1)], "id int, parcel_key string, source string, event_type string, signal_count int")
+    asked = {"many": search.Filters(multi_signal=2), "vacant": search.Filters(category="vacant"), "all": search.Filters()}
+    got = {r["search"]: r["n"] for r in search.saved_search_counts(rows, asked, F.current_date()).collect()}
+    assert got == {"many": 2, "vacant": 3, "all": 4}
+    assert search.saved_search_counts(rows, {}, F.current_date()).count() == 0
