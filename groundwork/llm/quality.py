@@ -52,10 +52,16 @@ def repeated_words(words: Column, n: int = 8) -> Column:
     """Words inside ``n``-word windows that occur at least twice in the text, first ones included.
 
     Equal windows have equal hashes, so texts without an equal pair of hashes are done;
-    the rest compare the windows themselves.
+    the rest compare the windows themselves. ``n`` is a power of two: the hash of a window
+    is that of its halves' hashes.
     """
-    starts = F.sequence(F.lit(0), F.size(words) - n)
-    hashes = F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(n)]))
+
+    def doubled(hashes: Column, k: int) -> Column:
+        return let(hashes, lambda h: F.transform(F.slice(h, 1, F.greatest(F.size(h) - k, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(h, i + k))))
+
+    hashes, k = F.transform(words, lambda w: F.xxhash64(w)), 1
+    while k < n:
+        hashes, k = doubled(hashes, k), 2 * k
 
     def exact(w: Column) -> Column:
         grams = F.array_sort(F.transform(starts_of(w), lambda i: F.struct(F.array_join(F.slice(w, i + 1, n), " ").alias("g"), i.alias("i"))))
@@ -99,15 +105,17 @@ def measures(docs: DataFrame, carry: str = "doc_id") -> DataFrame:
         "text",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        _without(F.col("text"), r"[#*$%&|<>]+").cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
         F.filter(F.transform("words", lambda w: F.lower(w)), lambda w: w.isin(everything)).alias("hits"),
         F.length("text").alias("n_chars"),
     )
-    known = [_without(F.col("text"), r) for r in ("[aeiou]+", "[b-df-hj-np-tv-z]+", "[A-Z]+", "[0-9]+")]
-    marks = _without(F.col("text"), r"[!-/:-@\[-`{-~]+")
-    base = base.select("*", F.array(*known, (F.col("n_chars") - F.col("word_chars")), marks).alias("classes")).drop("text")
+    # each step counts what it takes out, and the next ones read only what is left
+    base = base.withColumn("rest", F.regexp_replace("text", "[b-df-hj-np-tv-z]+", "")).drop("text").withColumn("bare", F.regexp_replace("rest", "[aeiou]+", ""))
+    long = lambda c: F.length(c).cast("long")
+    capitals, digits, marks, symbols = [_without(F.col("bare"), r).cast("long") for r in ("[A-Z]+", "[0-9]+", r"[!-/:-@\[-`{-~]+", r"[#*$%&|<>]+")]
+    classes = F.array(long("rest") - long("bare"), F.col("n_chars") - long("rest"), capitals, digits, F.col("n_chars") - F.col("word_chars"), marks)
+    base = base.select("*", symbols.alias("n_symbols"), classes.alias("classes")).drop("rest", "bare")
     rest = F.col("n_chars") - F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x)
     p = F.transform(F.concat("classes", F.array(rest)), lambda x: x / F.greatest(F.col("n_chars"), F.lit(1)))
 
