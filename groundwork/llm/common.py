@@ -30,6 +30,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows in a batch that goes to a Python worker: texts may be long, and a worker holds a batch whole.
+BATCH_ROWS = 500
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Lower the session's Arrow batches to BATCH_ROWS rows, so that a worker's memory does not grow with the default of 10,000."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def map_texts(df: DataFrame, fn: Callable[[list], list[pa.Array]], schema: str, text: str = "text", carry: Sequence[str] = ("doc_id",)) -> DataFrame:
     """``carry`` columns plus the arrays that ``fn`` makes of a batch of texts (null: None)."""
     names = [*carry]
@@ -39,7 +51,7 @@ def map_texts(df: DataFrame, fn: Callable[[list], list[pa.Array]], schema: str,
             made = fn(batch.column(len(names)).to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), *made], names=[*names, *made_names])
 
-    kept = df.select(*names, F.col(text).cast("string").alias("__text"))
+    kept = small_batches(df).select(*names, F.col(text).cast("string").alias("__text"))
     made_names = [part.split()[0] for part in schema.split(",")]
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
     return kept.mapInArrow(run, f"{head}, {schema}")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundwork.llm.common import map_texts
+from groundwork.llm.common import map_texts, small_batches
 
 #: Hashed n-gram buckets.
 BUCKETS = 1 << 14
@@ -63,8 +63,8 @@ class LanguageModel:
         names, scores = ["und"] * len(texts), [0.0] * len(texts)
         if not self.languages:
             return names, scores
-        for start in range(0, len(texts), 128):  # so many dense rows at a time
-            found = [(i, c) for i in range(start, min(start + 128, len(texts))) if (c := gram_counts(texts[i])) is not None]
+        for start in range(0, len(texts), 32):  # so many dense rows at a time
+            found = [(i, c) for i in range(start, min(start + 32, len(texts))) if (c := gram_counts(texts[i])) is not None]
             if not found:
                 continue
             p = softmax((self.vectors(np.stack([c for _, c in found])) @ self.weights + self.bias) / self.temperature)
@@ -131,7 +131,7 @@ def fit(train: DataFrame, rows_per_language: int = 800, seed: int = 5) -> Langua
     at most twice that in all; document frequencies come from every document. A fifth of the
     sample fits the temperature only. Without documents the model knows no language.
     """
-    train = train.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
+    train = small_batches(train).filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
     sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return LanguageModel()
@@ -204,4 +204,4 @@ def keep(docs: DataFrame, model: LanguageModel, least: float = 0.5) -> DataFrame
             names, scores = model.predict(batch.column(at).to_pylist())
             yield batch.filter(pa.array([n != "und" and s >= least for n, s in zip(names, scores)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from groundwork.llm.common import map_texts
+from groundwork.llm.common import map_texts, small_batches
 
 KINDS = ("assign", "access", "hex", "crf")
 _ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
@@ -318,4 +318,4 @@ def redact(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
                 columns[length] = pa.array([None if t is None else len(t) for t in texts], batch.schema.field(length).type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
