@@ -25,6 +25,9 @@ _ONES = np.uint64(0x0101010101010101)
 BLOCK = 500_000
 #: Beyond this radius the counts tell few fingerprints apart, so tiles are not cut finer.
 WIDE = 7
+#: Candidates for a Jaccard similarity of 0.8 in 256 bits: each bit differs with a chance of 0.19 at most (four shingles
+#: and one more), so over CANDIDATE in all, or over HALF in the first 128, comes less than once in a million such pairs.
+CANDIDATE, HALF = 80, 50
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -60,20 +63,37 @@ def remix(hashes: np.ndarray) -> np.ndarray:
 
 def fingerprint(text: str | None, width: int, bits: int = 64, repeats: bool = True) -> bytes:
     """Without ``repeats`` each shingle of the text counts once."""
-    hashes, parts = shingle_hashes(text, width), []
-    hashes = hashes if repeats else np.unique(hashes)
+    hashes = shingle_hashes(text, width)
+    return print_of(hashes if repeats else np.unique(hashes), bits)
+
+
+def print_of(hashes: np.ndarray, bits: int) -> bytes:
+    parts = []
     for _ in range(bits // 64):
         parts.append(majority(hashes))
         hashes = remix(hashes)
     return np.concatenate(parts).tobytes()
 
 
-def fingerprints(docs: DataFrame, width: int = 3, bits: int = 64, repeats: bool = True, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``carry`` and fp (binary) with the bit counts of its halves, lo and hi: null and blank texts have fingerprint 0."""
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, width))
+
+
+def set_node(text: str | None, width: int, bits: int) -> bytes:
+    """The fingerprint of the text's set of shingles, a hash of the set and its size: texts of equal sets are one node."""
+    hashes = shingle_set(text, width)
+    return print_of(hashes, bits) + np.array([xxhash.xxh64_intdigest(hashes.tobytes(), seed=SEED), len(hashes)], np.uint64).tobytes()
+
+
+def fingerprints(docs: DataFrame, width: int = 3, bits: int = 64, repeats: bool = True, carry: tuple[str, ...] = ("doc_id",), nodes: bool = False) -> DataFrame:
+    """``carry`` and fp (binary) with the bit counts of its halves, lo and hi: null and blank texts have fingerprint 0.
+
+    With ``nodes`` fp is the ``set_node``, which begins with the fingerprint.
+    """
 
     def run(texts: list) -> list[pa.Array]:
-        made = [fingerprint(t, width, bits, repeats) for t in texts]
-        halves = np.bitwise_count(np.frombuffer(b"".join(made), np.uint8).reshape(len(made), 2, bits // 16)).sum(axis=2)
+        made = [set_node(t, width, bits) if nodes else fingerprint(t, width, bits, repeats) for t in texts]
+        halves = np.bitwise_count(np.frombuffer(b"".join(m[: bits // 8] for m in made), np.uint8).reshape(len(made), 2, bits // 16)).sum(axis=2)
         return [pa.array(made, pa.binary()), *(pa.array(halves[:, k], pa.int32()) for k in (0, 1))]
 
     return map_texts(docs, run, "fp binary, lo int, hi int", carry=carry)
@@ -83,8 +103,9 @@ def _quarters(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x.view("<u2")).reshape(len(x), 4, -1).sum(axis=2).astype(np.int16)
 
 
-def _close(a: np.ndarray, b: np.ndarray, radius: int):
-    """Index pairs of rows (of 64-bit words) within the radius, in blocks."""
+def _close(a: np.ndarray, b: np.ndarray, radius: int, half: int | None = None):
+    """Index pairs of rows (of 64-bit words) within the radius, in blocks; with ``half``, the first half of the words within that."""
+    half = radius if half is None else half
     step = max(1, BLOCK // max(1, len(b)))
     words, first = a.shape[1], (a.shape[1] + 1) // 2
     columns = [np.ascontiguousarray(b[:, k]) for k in range(words)]
@@ -92,7 +113,7 @@ def _close(a: np.ndarray, b: np.ndarray, radius: int):
         apart = np.bitwise_count(a[at : at + step, None, 0] ^ columns[0])
         for k in range(1, first):
             apart += np.bitwise_count(a[at : at + step, None, k] ^ columns[k])
-        i, j = np.nonzero(apart <= radius)
+        i, j = np.nonzero(apart <= half)
         if words > first and len(i):  # the rest of the words for the pairs that half of them leave
             rest = apart[i, j].astype(np.int64)
             for k in range(first, words):
@@ -101,10 +122,10 @@ def _close(a: np.ndarray, b: np.ndarray, radius: int):
         yield i + at, j
 
 
-def _links(a: np.ndarray, b: np.ndarray, radius: int):
+def _links(a: np.ndarray, b: np.ndarray, radius: int, half: int | None = None):
     """As _close; for a small radius, large tiles are cut again by the counts of their quarters."""
     if len(a) * len(b) <= BLOCK or radius > WIDE:
-        yield from _close(a, b, radius)
+        yield from _close(a, b, radius, half)
         return
     parts = []
     for x in (a, b):
@@ -130,7 +151,15 @@ def _join(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return parent
 
 
-def _compare(radius: int):
+def _sized(x: np.ndarray, y: np.ndarray, similar: float) -> np.ndarray:
+    """Whether sets of the nodes' sizes can be so similar."""
+    x, y = x[:, -1].astype(float), y[:, -1].astype(float)
+    return np.minimum(x, y) >= similar * np.maximum(x, y)
+
+
+def _compare(radius: int, similar: float | None = None):
+    """Links within the radius; with ``similar`` those between set nodes that may be so similar."""
+
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         raw, side = rows.column("fp").to_pylist(), rows.column("side").to_numpy()
         fp = np.frombuffer(b"".join(raw), np.uint64).reshape(len(raw), -1)
@@ -138,7 +167,11 @@ def _compare(radius: int):
         alone = key[0].as_py() == key[1].as_py()
         both = a if alone else np.concatenate([a, b])
         parent = np.arange(len(both))
-        for i, j in _links(a, a if alone else b, radius):
+        words, half = (None, None) if similar is None else (-2, HALF)
+        for i, j in _links(a[:, :words], (a if alone else b)[:, :words], radius, half):
+            if similar is not None:
+                fit = _sized(a[i], (a if alone else b)[j], similar)
+                i, j = i[fit], j[fit]
             parent = _join(parent, i, j if alone else j + len(a))
         child = np.nonzero(parent != np.arange(len(both)))[0]
         return pa.table({name: pa.array([x.tobytes() for x in both[at]], pa.binary()) for name, at in (("u", child), ("v", parent[child]))})
@@ -146,7 +179,7 @@ def _compare(radius: int):
     return run
 
 
-def tile_links(fps: DataFrame, radius: int, tile_rows: int) -> DataFrame:
+def tile_links(fps: DataFrame, radius: int, tile_rows: int, similar: float | None = None) -> DataFrame:
     """u, v: links between distinct fingerprints (fp, lo, hi) whose components are those of all links within the radius.
 
     A cell holds the fingerprints whose halves' bit counts lie in the same steps; cells
@@ -163,7 +196,7 @@ def tile_links(fps: DataFrame, radius: int, tile_rows: int) -> DataFrame:
     own = half.join(near, ["lo", "hi"]).select("fp", "near", (F.col("cell") + F.pmod(F.xxhash64("fp"), F.col("tiles"))).alias("own"))
     other = F.flatten(F.transform("near", lambda c: F.transform(F.sequence(F.lit(0).cast("long"), c[1] - 1), lambda k: c[0] + k)))
     dealt = own.select("fp", "own", F.explode(other).alias("other")).select("fp", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    return dealt.groupBy("a", "b").applyInArrow(_compare(radius), "u binary, v binary")
+    return dealt.groupBy("a", "b").applyInArrow(_compare(radius, similar), "u binary, v binary")
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -196,10 +229,64 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def grouped(fps: DataFrame, least: Column, radius: int, tile_rows: int) -> DataFrame:
+def _verify(radius: int, similar: float):
+    """A spanning forest of the pairs of set nodes whose sets are so similar; pairs that are joined already are not looked at."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        raw, sets = rows.column("node").to_pylist(), [np.frombuffer(s, np.uint64) for s in rows.column("shingles").to_pylist()]
+        nodes, side = np.frombuffer(b"".join(raw), np.uint64).reshape(len(raw), -1), rows.column("side").to_numpy()
+        alone = key[1].as_py() == key[2].as_py()
+        at_a, at_b = np.nonzero(side == 0)[0], np.nonzero(side == (0 if alone else 1))[0]
+        parent, found = list(range(len(raw))), []
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for i, j in _close(nodes[at_a, :-2], nodes[at_b, :-2], radius, HALF):
+            i, j = at_a[i], at_b[j]
+            fit = _sized(nodes[i], nodes[j], similar) & ((i < j) | (not alone))
+            roots = np.fromiter(map(find, range(len(raw))), np.int64)
+            fit &= roots[i] != roots[j]
+            for x, y in zip(i[fit].tolist(), j[fit].tolist()):
+                if (p := find(x)) == (q := find(y)):
+                    continue
+                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if both / max(1, len(sets[x]) + len(sets[y]) - both) >= similar:
+                    parent[max(p, q)] = min(p, q)
+                    found.append((raw[x], raw[y]))
+        return pa.table({name: pa.array([f[k] for f in found], pa.binary()) for k, name in enumerate("uv")})
+
+    return run
+
+
+def verified_links(docs: DataFrame, kinds: DataFrame, radius: int, similar: float, width: int, tile_rows: int, set_rows: int) -> DataFrame:
+    """u, v: links between set nodes whose components are those of all links of ``similar`` or more in exact Jaccard similarity.
+
+    Fingerprints give candidates. Only their sets travel, to tiles of ``set_rows`` within
+    their component of candidates; small components share a tile.
+    """
+    near = components(tile_links(kinds, radius, tile_rows, similar))
+    near = cut(near.join(near.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "root"))
+    tiles, spread = F.ceil(F.col("size") / set_rows), max(1, -(-near.count() // set_rows))
+    bucket = F.when(tiles > 1, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(spread)).cast("string").cast("binary"))
+    asked = near.join(kinds, near.node == kinds.fp).select("node", bucket.alias("bucket"), tiles.cast("int").alias("tiles"), _name(F.col("first.doc_id")).alias("__of"), F.col("first.hash").alias("__key"))
+    texts = docs.select(_name(F.col("doc_id")).alias("__of"), _text_key().alias("__key"), "text").join(asked, ["__of", "__key"]).dropDuplicates(["__of", "__key"])
+    sets = map_texts(texts, lambda many: [pa.array([shingle_set(t, width).tobytes() for t in many], pa.binary())], "shingles binary", carry=("node", "bucket", "tiles"))
+    own = sets.withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.select("bucket", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "shingles")
+    return dealt.groupBy("bucket", "a", "b").applyInArrow(_verify(radius, similar), "u binary, v binary")
+
+
+def kinds_of(fps: DataFrame, least: Column) -> DataFrame:
+    return cut(fps.groupBy("fp").agg(F.max("lo").alias("lo"), F.max("hi").alias("hi"), F.min(least).alias("first"), F.count(F.lit(1)).alias("n")))
+
+
+def grouped(kinds: DataFrame, links: DataFrame) -> DataFrame:
     """fp, first, n, root of each distinct fingerprint: ``first`` is the minimum of ``least``, root is null without a link."""
-    kinds = cut(fps.groupBy("fp").agg(F.max("lo").alias("lo"), F.max("hi").alias("hi"), F.min(least).alias("first"), F.count(F.lit(1)).alias("n")))
-    roots = components(tile_links(kinds, radius, tile_rows))
+    roots = components(links)
     return kinds.join(roots, kinds.fp == roots.node, "left").select("fp", "first", "n", "root")
 
 
@@ -213,7 +300,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, bits: int
     row they reach has an id. An empty table gives an empty result.
     """
     fps = cut(fingerprints(docs, width, bits))
-    kinds = grouped(fps, F.col("doc_id"), radius, tile_rows)
+    kinds = kinds_of(fps, F.col("doc_id"))
+    kinds = grouped(kinds, tile_links(kinds, radius, tile_rows))
     linked = kinds.filter("root is not null")
     least = linked.groupBy("root").agg(F.min("first").alias("component"))
     known = linked.join(least, "root").select("fp", "component").unionByName(kinds.filter("root is null and n > 1").select("fp", F.col("first").alias("component")))
@@ -222,20 +310,33 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, bits: int
     return out.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def deduplicate(docs: DataFrame, width: int = 5, radius: int = 48, bits: int = 256, tile_rows: int = 32_768) -> DataFrame:
+def _name(doc_id: Column) -> Column:
+    """Never null, so that join and deduplication share one exchange."""
+    return F.coalesce(doc_id.cast("string"), F.lit("~"))
+
+
+def _text_key() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def deduplicate(docs: DataFrame, width: int = 5, radius: int = 48, bits: int = 256, tile_rows: int = 32_768, similar: float | None = None, set_rows: int = 2_048) -> DataFrame:
     """The rows and columns of ``docs``, with one row of each group of near copies: that of the smallest doc_id.
 
-    By default groups are links of about 0.8 or more in Jaccard similarity of five-word
-    shingles: for such texts 39 of 256 bits differ on average, for unrelated ones 128.
+    With ``similar`` (0.8 or more, for 256 bits) groups are links of so much or more in
+    exact Jaccard similarity of sets of shingles; fingerprints within CANDIDATE bits only
+    say which pairs are looked at. Without it groups are links within ``radius``, by the
+    fingerprints alone: about 0.7 or more, as at 0.8 39 of 256 bits differ on average.
     Rows without an id come last in their group; of rows alike in id and text one stays.
     Rows of equal id and different texts are different documents. Other columns are kept
     as they are, whatever their names.
     """
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    fps = cut(fingerprints(docs.select("doc_id", key.alias("hash"), "text"), width, bits, repeats=False, carry=("doc_id", "hash")))
-    kinds = grouped(fps, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash"), radius, tile_rows)
+    if similar is not None and (similar < 0.8 or bits != 256):
+        raise ValueError("candidates are made for a similarity of 0.8 or more in 256 bits")
+    fps = cut(fingerprints(docs.select("doc_id", _text_key().alias("hash"), "text"), width, bits, repeats=False, carry=("doc_id", "hash"), nodes=similar is not None))
+    kinds = kinds_of(fps, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash"))
+    links = tile_links(kinds, radius, tile_rows) if similar is None else verified_links(docs, kinds, CANDIDATE, similar, width, tile_rows, set_rows)
+    kinds = grouped(kinds, links)
     winners = kinds.filter("root is not null").groupBy("root").agg(F.min("first").alias("first")).select("first").unionByName(kinds.filter("root is null").select("first"))
-    name = lambda doc_id: F.coalesce(doc_id.cast("string"), F.lit("~"))  # noqa: E731  never null, so that join and deduplication share one exchange
-    winners = winners.select(name(F.col("first.doc_id")).alias("__of"), F.col("first.hash").alias("__key"))
-    rows = docs.select(whole_row(docs), name(F.col("doc_id")).alias("__of"), key.alias("__key"))
+    winners = winners.select(_name(F.col("first.doc_id")).alias("__of"), F.col("first.hash").alias("__key"))
+    rows = docs.select(whole_row(docs), _name(F.col("doc_id")).alias("__of"), _text_key().alias("__key"))
     return rows.join(winners, ["__of", "__key"], "left_semi").dropDuplicates(["__of", "__key"]).select(f"{ROW}.*")
