@@ -15,7 +15,7 @@ import hashlib
 import random
 import re
 import zlib
-from bisect import bisect_left
+from bisect import bisect_right
 from functools import lru_cache
 from itertools import accumulate
 
@@ -157,15 +157,15 @@ class Tagger:
         return out
 
     def all_spans(self, text: str | None) -> list[Span]:
-        """Base spans, and the field's spans that overlap none of them."""
+        """Base spans, and the field's spans that lie in none of them; the two may overlap."""
         if not text:
             return []
         base = base_spans(text)
         more = self.spans(text) if _STRING.search(text) else []
         if base and more:
             starts, reach = [s[0] for s in base], list(accumulate((s[1] for s in base), max))
-            # of the base spans that start before a span's end, does any reach beyond its start?
-            more = [s for s in more if not (k := bisect_left(starts, s[1])) or reach[k - 1] <= s[0]]
+            # of the base spans that start at a span's start or before, does any reach its end?
+            more = [s for s in more if not (k := bisect_right(starts, s[0])) or reach[k - 1] < s[1]]
         return sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
