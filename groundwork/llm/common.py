@@ -21,25 +21,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and cut its lineage with an eager checkpoint in the shared folder.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only where that is unset
-    (tests, one machine) a temporary one is made.
+    The folder is the cluster's ``spark.checkpoint.dir``. Where that is unset, one machine
+    (a local master) takes a temporary one; a cluster fails.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
 
 
-#: Rows in a batch that goes to a Python worker: texts may be long, and a worker holds a batch whole.
-BATCH_ROWS = 500
+#: Rows and bytes of a batch that goes to a Python worker, which holds a batch whole: texts may be long.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """Lower the session's Arrow batches to BATCH_ROWS rows, so that a worker's memory does not grow with the default of 10,000."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
-        conf.set(name, str(BATCH_ROWS))
-    return df
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches. The queries call this; the operators leave a caller's session as it is."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < int(spark.conf.get(name, "0").rstrip("bB")) <= most:
+            spark.conf.set(name, str(most))
 
 
 def map_texts(df: DataFrame, fn: Callable[[list], list[pa.Array]], schema: str, text: str = "text", carry: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -51,7 +53,7 @@ def map_texts(df: DataFrame, fn: Callable[[list], list[pa.Array]], schema: str,
             made = fn(batch.column(len(names)).to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), *made], names=[*names, *made_names])
 
-    kept = small_batches(df).select(*names, F.col(text).cast("string").alias("__text"))
+    kept = df.select(*names, F.col(text).cast("string").alias("__text"))
     made_names = [part.split()[0] for part in schema.split(",")]
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
     return kept.mapInArrow(run, f"{head}, {schema}")
@@ -97,6 +99,21 @@ def ranked(df: DataFrame, group: list[str], cell: str, order: list[Column], out:
     return out_df.withColumn(out, F.col("__before") + F.col("__in") - 1).drop("__in", "__before", *[f"__o_{c}" for c in [*group, cell]])
 
 
+def join_hot(rows: DataFrame, table: DataFrame, key: str, by: str, total: int, how: str = "inner", keep_n: bool = False) -> DataFrame:
+    """``rows`` joined with ``table``, unique by ``key``, whose column n is the number of rows that ask for a key.
+
+    A key that over a thousandth of the ``total`` rows ask for (so there are a thousand at
+    most, and their list is broadcast) is cut into slices by a hash of the column ``by``.
+    """
+    limit = max(64, total // 1000)
+    slices = F.ceil(F.col("n") / limit)
+    hot = table.filter(F.col("n") > limit).select(F.col(key).alias("__hot"), slices.alias("__slices"))
+    left = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
+    left = left.withColumn("__slice", F.coalesce(F.pmod(F.xxhash64(by), F.col("__slices")), F.lit(0).cast("long"))).drop("__hot", "__slices")
+    right = table.withColumn("__slice", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("n") > limit, slices - 1).otherwise(F.lit(0).cast("long")))))
+    return left.join(right if keep_n else right.drop("n"), [key, "__slice"], how).drop("__slice")
+
+
 def hex_digits(rows: int, slice_rows: int) -> int:
     """So many leading hex digits of a random key split ``rows`` into slices of about ``slice_rows``."""
     k = 0

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundwork.llm import ann, bpe_count, chat, language, packing, pieces, quality, secrets, sharding, simhash
-from groundwork.llm.common import table
+from groundwork.llm.common import bound_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,8 +62,18 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents"))
 
 
+def bounded(query: Query) -> Query:
+    """The query in a session whose Arrow batches are bounded."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Query]:
-    return {
+    named = {
         "op1_secrets": op1_secrets,
         "op2_nearest": op2_nearest,
         "op3_token_counts": op3_token_counts,
@@ -75,6 +85,7 @@ def queries() -> dict[str, Query]:
         "op9_language": op9_language,
         "op10_pieces": op10_pieces,
     }
+    return {name: bounded(query) for name, query in named.items()}
 
 
 OP4_SQL = r"""

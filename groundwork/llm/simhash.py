@@ -5,6 +5,12 @@ of their two halves. Two fingerprints within the radius have halves whose counts
 than the radius in sum, so only such tile pairs are compared, each as a numpy
 exclusive-or with bit counts. A task reports a spanning forest of the links it finds,
 never all pairs; components of those links give the groups.
+
+At the radius that near copies of 0.8 in Jaccard similarity need (a fifth of the bits)
+population counts tell nothing apart. There ``deduplicate`` first deals the fingerprints
+into cells by keys of their shingle sets (minima of hash functions, which two such sets
+share with all but certainty), compares by exclusive-or inside a cell, skipping sets whose
+sizes differ too much, and verifies what is left on the sets themselves.
 """
 
 from __future__ import annotations
@@ -17,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundwork.llm.common import ROW, cut, map_texts, whole_row
+from groundwork.llm.common import ROW, cut, join_hot, map_texts, whole_row
 
 SEED = 42
 _ONES = np.uint64(0x0101010101010101)
@@ -28,6 +34,11 @@ WIDE = 7
 #: Candidates for a Jaccard similarity of 0.8 in 256 bits: each bit differs with a chance of 0.19 at most (four shingles
 #: and one more), so over CANDIDATE in all, or over HALF in the first 128, comes less than once in a million such pairs.
 CANDIDATE, HALF = 80, 50
+#: Cells of a shingle set: BANDS keys of BAND_ROWS minima each. Sets of 0.8 share no key in (1 - 0.8^4)^28 = 4e-7 of the cases.
+BANDS, BAND_ROWS = 28, 4
+_FACTORS = np.random.default_rng(SEED).integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Runs of a cell longer than this are compared as blocks, shorter ones together by offset.
+LONG_RUN = 32
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -79,26 +90,45 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, width))
 
 
-def set_node(text: str | None, width: int, bits: int) -> bytes:
-    """The fingerprint of the text's set of shingles, a hash of the set and its size: texts of equal sets are one node."""
-    hashes = shingle_set(text, width)
+def set_node(hashes: np.ndarray, bits: int) -> bytes:
+    """The fingerprint of a set of shingles, a hash of the set and its size: texts of equal sets are one node."""
     return print_of(hashes, bits) + np.array([xxhash.xxh64_intdigest(hashes.tobytes(), seed=SEED), len(hashes)], np.uint64).tobytes()
 
 
-def fingerprints(docs: DataFrame, width: int = 3, bits: int = 64, repeats: bool = True, carry: tuple[str, ...] = ("doc_id",), nodes: bool = False) -> DataFrame:
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """BANDS signed 64-bit cells of a set of shingle hashes; sets share a cell of a band if the band's minima agree."""
+    low = np.full(len(_FACTORS), np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), 256):
+        np.minimum(low, (hashes[at : at + 256, None] * _FACTORS).min(axis=0), out=low)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for column in low.reshape(BANDS, BAND_ROWS).T:
+        key = remix(key ^ column)
+    return key.view(np.int64)
+
+
+def fingerprints(docs: DataFrame, width: int = 3, bits: int = 64, repeats: bool = True, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``carry`` and fp (binary) with the bit counts of its halves, lo and hi: null and blank texts have fingerprint 0.
 
-    With ``nodes`` fp is the ``set_node``, which begins with the fingerprint.
     """
 
     def run(texts: list) -> list[pa.Array]:
-        made = [set_node(t, width, bits) if nodes else fingerprint(t, width, bits, repeats) for t in texts]
-        halves = np.bitwise_count(np.frombuffer(b"".join(m[: bits // 8] for m in made), np.uint8).reshape(len(made), 2, bits // 16)).sum(axis=2)
+        made = [fingerprint(t, width, bits, repeats) for t in texts]
+        halves = np.bitwise_count(np.frombuffer(b"".join(made), np.uint8).reshape(len(made), 2, bits // 16)).sum(axis=2)
         return [pa.array(made, pa.binary()), *(pa.array(halves[:, k], pa.int32()) for k in (0, 1))]
 
     return map_texts(docs, run, "fp binary, lo int, hi int", carry=carry)
 
 
+def set_nodes(docs: DataFrame, width: int, bits: int, carry: tuple[str, ...]) -> DataFrame:
+    """``carry``, fp (the ``set_node``, which begins with the fingerprint) and bands, the cells of the set."""
+
+    def run(texts: list) -> list[pa.Array]:
+        sets = [shingle_set(t, width) for t in texts]
+        return [pa.array([set_node(s, bits) for s in sets], pa.binary()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))]
+
+    return map_texts(docs, run, "fp binary, bands array<bigint>", carry=carry)
+
+
 def _quarters(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x.view("<u2")).reshape(len(x), 4, -1).sum(axis=2).astype(np.int16)
 
@@ -157,29 +187,94 @@ def _sized(x: np.ndarray, y: np.ndarray, similar: float) -> np.ndarray:
     return np.minimum(x, y) >= similar * np.maximum(x, y)
 
 
-def _compare(radius: int, similar: float | None = None):
-    """Links within the radius; with ``similar`` those between set nodes that may be so similar."""
+def _forest(both: np.ndarray, pairs) -> pa.Table:
+    """u, v: a spanning forest of the rows of ``both`` under the index pairs; v is the first row of its tree."""
+    parent = np.arange(len(both))
+    for i, j in pairs:
+        parent = _join(parent, i, j)
+    child = np.nonzero(parent != np.arange(len(both)))[0]
+    return pa.table({name: pa.array([x.tobytes() for x in both[at]], pa.binary()) for name, at in (("u", child), ("v", parent[child]))})
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    raw = column.to_pylist()
+    return np.frombuffer(b"".join(raw), np.uint64).reshape(len(raw), -1)
+
+
+def _compare(radius: int):
+    """Links within the radius between the two sides of a tile pair."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        raw, side = rows.column("fp").to_pylist(), rows.column("side").to_numpy()
-        fp = np.frombuffer(b"".join(raw), np.uint64).reshape(len(raw), -1)
+        side, fp = rows.column("side").to_numpy(), _matrix(rows.column("fp"))
         a, b = fp[side == 0], fp[side == 1]
-        alone = key[0].as_py() == key[1].as_py()
-        both = a if alone else np.concatenate([a, b])
-        parent = np.arange(len(both))
-        words, half = (None, None) if similar is None else (-2, HALF)
-        for i, j in _links(a[:, :words], (a if alone else b)[:, :words], radius, half):
-            if similar is not None:
-                fit = _sized(a[i], (a if alone else b)[j], similar)
-                i, j = i[fit], j[fit]
-            parent = _join(parent, i, j if alone else j + len(a))
-        child = np.nonzero(parent != np.arange(len(both)))[0]
-        return pa.table({name: pa.array([x.tobytes() for x in both[at]], pa.binary()) for name, at in (("u", child), ("v", parent[child]))})
+        if key[0].as_py() == key[1].as_py():
+            return _forest(a, _links(a, a, radius))
+        return _forest(np.concatenate([a, b]), ((i, j + len(a)) for i, j in _links(a, b, radius)))
 
     return run
 
 
-def tile_links(fps: DataFrame, radius: int, tile_rows: int, similar: float | None = None) -> DataFrame:
+def _cell_pairs(cell: np.ndarray, x: np.ndarray, side: np.ndarray | None, similar: float):
+    """Index pairs of set nodes in one cell (of two sides, if any) that may be so similar by size and fingerprint."""
+
+    def near(i: np.ndarray, j: np.ndarray):
+        fit = _sized(x[i], x[j], similar)
+        i, j = i[fit], j[fit]
+        apart = np.bitwise_count(x[i, :-2] ^ x[j, :-2]).astype(np.int64)
+        fit = (apart[:, : apart.shape[1] // 2].sum(axis=1) <= HALF) & (apart.sum(axis=1) <= CANDIDATE)
+        return i[fit], j[fit]
+
+    def blocks(a: np.ndarray, b: np.ndarray):
+        for i, j in _close(x[a, :-2], x[b, :-2], CANDIDATE, HALF):
+            fit = _sized(x[a[i]], x[b[j]], similar)
+            yield a[i[fit]], b[j[fit]]
+
+    if side is not None:
+        yield from blocks(np.nonzero(side == 0)[0], np.nonzero(side == 1)[0])
+        return
+    order = np.argsort(cell, kind="stable")
+    new = np.concatenate([[True], np.diff(cell[order]) != 0])
+    starts = np.nonzero(new)[0]
+    size = np.diff(np.append(starts, len(order)))
+    for at, n in zip(starts[size > LONG_RUN], size[size > LONG_RUN]):
+        yield from blocks(order[at : at + n], order[at : at + n])
+    left = (np.repeat(starts + size, size) - np.arange(len(order))) * (np.repeat(size, size) <= LONG_RUN)  # rows from here to the end of a short run
+    for gap in range(1, LONG_RUN):
+        first = np.nonzero(left > gap)[0]
+        if not len(first):
+            return
+        yield near(order[first], order[first + gap])
+
+
+def _compare_cells(similar: float):
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        x = _matrix(rows.column("fp"))
+        two = key[1].as_py() != key[2].as_py()
+        return _forest(x, _cell_pairs(rows.column("cell").to_numpy(), x, rows.column("side").to_numpy() if two else None, similar))
+
+    return run
+
+
+def cell_links(kinds: DataFrame, similar: float, tile_rows: int, bucket_rows: int) -> DataFrame:
+    """u, v: links between set nodes (fp, bands) whose components are those of all pairs in one cell that may be so similar.
+
+    Many cells share a bucket of about ``bucket_rows`` rows. A cell of over ``tile_rows``
+    and a thousandth of all rows is cut into tiles, compared pair by pair; there are
+    a thousand such cells at most, so their list can be broadcast.
+    """
+    total = kinds.count() * BANDS
+    limit = max(tile_rows, total // 1000)
+    dealt = kinds.select("fp", F.explode("bands").alias("cell"))
+    large = dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select("cell", F.ceil(F.col("n") / tile_rows).alias("tiles"))
+    rows = dealt.join(F.broadcast(large), "cell", "left")
+    own = F.when(F.col("tiles").isNull(), F.pmod(F.xxhash64("cell"), F.lit(max(1, -(-total // bucket_rows))))).otherwise(F.pmod(F.xxhash64("fp"), F.col("tiles")))
+    other = F.when(F.col("tiles").isNull(), F.array("own")).otherwise(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
+    rows = rows.withColumn("own", own).withColumn("at", F.when(F.col("tiles").isNotNull(), F.col("cell"))).withColumn("other", F.explode(other))
+    rows = rows.select("at", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cell", "fp")
+    return rows.groupBy("at", "a", "b").applyInArrow(_compare_cells(similar), "u binary, v binary")
+
+
+def tile_links(fps: DataFrame, radius: int, tile_rows: int) -> DataFrame:
     """u, v: links between distinct fingerprints (fp, lo, hi) whose components are those of all links within the radius.
 
     A cell holds the fingerprints whose halves' bit counts lie in the same steps; cells
@@ -196,14 +291,15 @@ def tile_links(fps: DataFrame, radius: int, tile_rows: int, similar: float | Non
     own = half.join(near, ["lo", "hi"]).select("fp", "near", (F.col("cell") + F.pmod(F.xxhash64("fp"), F.col("tiles"))).alias("own"))
     other = F.flatten(F.transform("near", lambda c: F.transform(F.sequence(F.lit(0).cast("long"), c[1] - 1), lambda k: c[0] + k)))
     dealt = own.select("fp", "own", F.explode(other).alias("other")).select("fp", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    return dealt.groupBy("a", "b").applyInArrow(_compare(radius, similar), "u binary, v binary")
+    return dealt.groupBy("a", "b").applyInArrow(_compare(radius), "u binary, v binary")
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, root (the component's smallest node) of every node in ``links`` (u, v).
 
     Alternates large-star and small-star steps; each round ends in a checkpoint, and the
-    rounds stop when the links no longer change.
+    rounds stop when the links no longer change. A hub's links are joined with its
+    minimum in slices, on many tasks.
     """
     edges = cut(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
 
@@ -215,10 +311,10 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if not seen[0]:
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_hot(both, low, "u", "v", 2 * seen[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = join_hot(large, low, "u", "v", 2 * seen[0]).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         edges = cut(small.filter("u <> v").distinct())
         now = mark(edges)
         if now == seen:
@@ -261,15 +357,16 @@ def _verify(radius: int, similar: float):
     return run
 
 
-def verified_links(docs: DataFrame, kinds: DataFrame, radius: int, similar: float, width: int, tile_rows: int, set_rows: int) -> DataFrame:
+def verified_links(docs: DataFrame, kinds: DataFrame, similar: float, width: int, tile_rows: int, set_rows: int) -> DataFrame:
     """u, v: links between set nodes whose components are those of all links of ``similar`` or more in exact Jaccard similarity.
 
-    Fingerprints give candidates. Only their sets travel, to tiles of ``set_rows`` within
-    their component of candidates; small components share a tile.
+    Cells and fingerprints give candidates. Only their sets travel, to tiles of ``set_rows``
+    within their component of candidates; small components share a tile.
     """
-    near = components(tile_links(kinds, radius, tile_rows, similar))
-    near = cut(near.join(near.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "root"))
-    tiles, spread = F.ceil(F.col("size") / set_rows), max(1, -(-near.count() // set_rows))
+    near = cut(components(cell_links(kinds, similar, tile_rows, 4 * tile_rows)))
+    count = near.count()
+    near = cut(join_hot(near, near.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root", "node", count, keep_n=True))
+    tiles, spread = F.ceil(F.col("n") / set_rows), max(1, -(-count // set_rows))
     bucket = F.when(tiles > 1, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(spread)).cast("string").cast("binary"))
     asked = near.join(kinds, near.node == kinds.fp).select("node", bucket.alias("bucket"), tiles.cast("int").alias("tiles"), _name(F.col("first.doc_id")).alias("__of"), F.col("first.hash").alias("__key"))
     texts = docs.select(_name(F.col("doc_id")).alias("__of"), _text_key().alias("__key"), "text").join(asked, ["__of", "__key"]).dropDuplicates(["__of", "__key"])
@@ -277,17 +374,7 @@ def verified_links(docs: DataFrame, kinds: DataFrame, radius: int, similar: floa
     own = sets.withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     dealt = dealt.select("bucket", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "shingles")
-    return dealt.groupBy("bucket", "a", "b").applyInArrow(_verify(radius, similar), "u binary, v binary")
-
-
-def kinds_of(fps: DataFrame, least: Column) -> DataFrame:
-    return cut(fps.groupBy("fp").agg(F.max("lo").alias("lo"), F.max("hi").alias("hi"), F.min(least).alias("first"), F.count(F.lit(1)).alias("n")))
-
-
-def grouped(kinds: DataFrame, links: DataFrame) -> DataFrame:
-    """fp, first, n, root of each distinct fingerprint: ``first`` is the minimum of ``least``, root is null without a link."""
-    roots = components(links)
-    return kinds.join(roots, kinds.fp == roots.node, "left").select("fp", "first", "n", "root")
+    return dealt.groupBy("bucket", "a", "b").applyInArrow(_verify(CANDIDATE, similar), "u binary, v binary")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, bits: int = 64, tile_rows: int = 32_768) -> DataFrame:
@@ -300,13 +387,13 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, bits: int
     row they reach has an id. An empty table gives an empty result.
     """
     fps = cut(fingerprints(docs, width, bits))
-    kinds = kinds_of(fps, F.col("doc_id"))
-    kinds = grouped(kinds, tile_links(kinds, radius, tile_rows))
-    linked = kinds.filter("root is not null")
-    least = linked.groupBy("root").agg(F.min("first").alias("component"))
-    known = linked.join(least, "root").select("fp", "component").unionByName(kinds.filter("root is null and n > 1").select("fp", F.col("first").alias("component")))
-    known = known.select(F.col("fp").alias("__fp"), "component")
-    out = fps.join(known, fps.fp == F.col("__fp"), "left")
+    kinds = cut(fps.groupBy("fp").agg(F.max("lo").alias("lo"), F.max("hi").alias("hi"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
+    roots = components(tile_links(kinds, radius, tile_rows))
+    linked = cut(kinds.join(roots, kinds.fp == roots.node).select("fp", "first", "n", "root"))
+    least = linked.groupBy("root").agg(F.min("first").alias("component"), F.count(F.lit(1)).alias("n"))
+    known = join_hot(linked.withColumnRenamed("n", "of"), least, "root", "fp", linked.count()).select("fp", "component", F.col("of").alias("n"))
+    alone = kinds.filter("n > 1").join(linked, "fp", "left_anti").select("fp", F.col("first").alias("component"), "n")
+    out = join_hot(fps, known.unionByName(alone), "fp", "doc_id", fps.count(), how="left")
     return out.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
@@ -319,23 +406,22 @@ def _text_key() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def deduplicate(docs: DataFrame, width: int = 5, radius: int = 48, bits: int = 256, tile_rows: int = 32_768, similar: float | None = None, set_rows: int = 2_048) -> DataFrame:
+def deduplicate(docs: DataFrame, width: int = 5, similar: float = 0.8, bits: int = 256, tile_rows: int = 32_768, set_rows: int = 2_048) -> DataFrame:
     """The rows and columns of ``docs``, with one row of each group of near copies: that of the smallest doc_id.
 
-    With ``similar`` (0.8 or more, for 256 bits) groups are links of so much or more in
-    exact Jaccard similarity of sets of shingles; fingerprints within CANDIDATE bits only
-    say which pairs are looked at. Without it groups are links within ``radius``, by the
-    fingerprints alone: about 0.7 or more, as at 0.8 39 of 256 bits differ on average.
-    Rows without an id come last in their group; of rows alike in id and text one stays.
-    Rows of equal id and different texts are different documents. Other columns are kept
-    as they are, whatever their names.
+    Groups are links of ``similar`` (0.8 or more) in exact Jaccard similarity of the sets of
+    ``width``-word shingles; cells and fingerprints only say which pairs are looked at.
+    Texts without a word are copies of each other. Rows without an id come last in their
+    group; of rows alike in id and text one stays. Rows of equal id and different texts
+    are different documents. Other columns are kept as they are, whatever their names.
+    An empty table gives an empty result.
     """
-    if similar is not None and (similar < 0.8 or bits != 256):
+    if similar < 0.8 or bits != 256:
         raise ValueError("candidates are made for a similarity of 0.8 or more in 256 bits")
-    fps = cut(fingerprints(docs.select("doc_id", _text_key().alias("hash"), "text"), width, bits, repeats=False, carry=("doc_id", "hash"), nodes=similar is not None))
-    kinds = kinds_of(fps, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash"))
-    links = tile_links(kinds, radius, tile_rows) if similar is None else verified_links(docs, kinds, CANDIDATE, similar, width, tile_rows, set_rows)
-    kinds = grouped(kinds, links)
+    nodes = cut(set_nodes(docs.select("doc_id", _text_key().alias("hash"), "text"), width, bits, carry=("doc_id", "hash")))
+    kinds = cut(nodes.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("first"), F.first("bands").alias("bands")))
+    roots = components(verified_links(docs, kinds.select("fp", "bands", "first"), similar, width, tile_rows, set_rows))
+    kinds = kinds.join(roots, kinds.fp == roots.node, "left").select("first", "root")
     winners = kinds.filter("root is not null").groupBy("root").agg(F.min("first").alias("first")).select("first").unionByName(kinds.filter("root is null").select("first"))
     winners = winners.select(_name(F.col("first.doc_id")).alias("__of"), F.col("first.hash").alias("__key"))
     rows = docs.select(whole_row(docs), _name(F.col("doc_id")).alias("__of"), _text_key().alias("__key"))

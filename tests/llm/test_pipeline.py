@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from groundwork.llm import language, packing, quality, secrets, simhash
+from groundwork.llm import language, packing, quality, secrets
+from tests.llm.test_simhash import alike, five_words, plain_components
 
 
 @pytest.fixture(scope="module")
@@ -43,20 +44,9 @@ def test_language_takes_effect(stages):
 
 def test_near_copies_go(stages):
     rows = sorted(tuple(r) for r in stages[2].collect())
-    fps = [int.from_bytes(simhash.fingerprint(r[1], 5, 256, repeats=False), "big") for r in rows]
-    root = list(range(len(rows)))
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for i in range(len(rows)):
-        for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 48:
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
-    assert as_rows(stages[3]) == sorted((r for k, r in enumerate(rows) if find(k) == k), key=repr)
+    sets = [five_words(r[1]) for r in rows]
+    roots = plain_components(len(rows), lambda i, j: alike(sets[i], sets[j]))
+    assert as_rows(stages[3]) == sorted((r for k, r in enumerate(rows) if roots[k] == k), key=repr)
 
 
 def test_secrets_go(stages):

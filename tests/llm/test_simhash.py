@@ -90,25 +90,68 @@ def test_wide_fingerprints_equal_brute_force():
         assert got == want
 
 
-def test_deduplicate_keeps_one_of_each_group(documents):
-    docs = documents.filter("text is not null and size(split(text, ' ')) >= 20")
-    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
-    kept = {r["doc_id"] for r in simhash.deduplicate(docs).collect()}
-    ids, fps = sorted(rows), {}
-    for i in ids:
-        fps[i] = int.from_bytes(simhash.fingerprint(rows[i], 5, 256, repeats=False), "big")
-    roots = plain_components(len(ids), lambda i, j: (fps[ids[i]] ^ fps[ids[j]]).bit_count() <= 48)
-    assert kept == {ids[k] for k, r in enumerate(roots) if r == k}
-    # near copies are caught, and what goes has a near copy
-    sets = {i: {" ".join(w[k : k + 5]) for k in range(len(w) - 4)} for i in ids for w in [rows[i].lower().split()]}
-    alike = {(i, j): len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j])) for n, i in enumerate(ids) for j in ids[:n] if not sets[i].isdisjoint(sets[j])}
-    close = [pair for pair, s in alike.items() if s >= 0.8]
-    assert close and sum(not set(pair) <= kept for pair in close) >= 0.9 * len(close)
-    best = {}
-    for pair, s in alike.items():
-        for i in pair:
-            best[i] = max(best.get(i, 0), s)
-    assert all(best[i] >= 0.4 for i in set(ids) - kept)
+def five_words(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", low)
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def alike(a, b):
+    """Of 0.8 or more; sizes first."""
+    return min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and jaccard(a, b) >= 0.8
+
+
+def test_deduplicate_equals_brute_force(documents):
+    """Every pair of 0.8 or more is linked, and no pair below."""
+    rows = {r["doc_id"]: five_words(r["text"]) for r in documents.collect()}
+    ids = sorted(rows)
+    roots = plain_components(len(ids), lambda i, j: alike(rows[ids[i]], rows[ids[j]]))
+    kept = {r["doc_id"] for r in simhash.deduplicate(documents).collect()}
+    assert kept == {ids[k] for k, r in enumerate(roots) if r == k} and len(kept) < len(ids)
+
+
+def near_copies(spark, n, words=80, seed=3):
+    """One text with a word or two changed in each copy, unrelated texts, and pairs just above and below 0.8."""
+    rng = np.random.default_rng(seed)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    base, rows = [word() for _ in range(words)], []
+    for i in range(n):
+        copy = list(base)
+        for at in rng.integers(0, words, int(rng.integers(0, 4))):
+            copy[at] = word()
+        rows.append((i, " ".join(copy)))
+    for i in range(n, n + 40):
+        own = [word() for _ in range(60)]
+        rows += [(10 * i, " ".join(own)), (10 * i + 1, " ".join([*own[: 60 - i % 14], *(word() for _ in range(i % 14))]))]
+    return spark.createDataFrame(rows, "doc_id bigint, text string"), rows
+
+
+def test_large_groups_of_near_copies_equal_brute_force(spark):
+    """Cells that are cut into tiles, long and short runs, components over several tiles of sets."""
+    df, rows = near_copies(spark, 200)
+    sets = [five_words(t) for _, t in rows]
+    roots = plain_components(len(rows), lambda i, j: alike(sets[i], sets[j]))
+    want = {rows[k][0] for k, r in enumerate(roots) if r == k}
+    assert 1 < len(want) < len(rows)
+    for tile, some in ((32_768, 2_048), (40, 30)):
+        assert {r["doc_id"] for r in simhash.deduplicate(df, tile_rows=tile, set_rows=some).collect()} == want
+
+
+def test_bands_find_pairs_at_the_threshold():
+    """Sets of 0.8 share a cell, and pairs of 0.8 or more lie within the fingerprints' bounds."""
+    rng = np.random.default_rng(8)
+    for n in (5, 20, 90, 900):
+        for _ in range(60):
+            both = rng.integers(0, 2**63, n + 2 * max(1, n // 8), dtype=np.uint64)
+            cut = max(1, n // 8) if n >= 8 else 0
+            a, b = both[: n + cut], np.concatenate([both[:n], both[n + cut : n + 2 * cut]])
+            assert (simhash.band_keys(a) == simhash.band_keys(b)).any()
+            x, y = (np.frombuffer(simhash.print_of(np.unique(s), 256), np.uint64) for s in (a, b))
+            assert np.bitwise_count(x ^ y).sum() <= simhash.CANDIDATE
 
 
 def test_odd_rows(odd, empty):
@@ -147,5 +190,7 @@ def test_components_of_random_graphs(spark):
             root[max(x, y)] = min(x, y)
     assert got == {x: find(x) for x in root}
     assert simhash.components(df.limit(0)).count() == 0
+    star = spark.range(1, 3_000).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v"))
+    assert {r["root"] for r in simhash.components(star).collect()} == {0}
     path = spark.range(300).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     assert {r["root"] for r in simhash.components(path).collect()} == {0}
