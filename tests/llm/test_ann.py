@@ -73,3 +73,29 @@ def test_hot_lists_are_whole(spark):
     want = brute(rows)
     assert set(got) == set(want) and all(len(v) == 20 for v in got.values())
     assert sum(len(set(got[q]) & {v for v, _ in want[q]}) for q in want) >= 0.9 * 20 * len(want)
+
+
+def test_repeated_ids_count_once(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(v) for v in rng.normal(size=8)], 0) for i in range(30)]
+    again = [(20, [9.0] * 8, 0), (7, [9.0] * 8, 0), (7, rows[7][1], 1)]  # the smallest vector of an id counts
+    rows[20], rows[7] = (20, min(rows[20][1], [9.0] * 8), 0), (7, min(rows[7][1], [9.0] * 8), 0)
+    got = {}
+    for r in ann.search(spark.createDataFrame(rows + again, SCHEMA)).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == {q: [v for v, _ in f] for q, f in brute(rows).items()}
+
+
+def test_clustered_vectors_need_few_lists(spark):
+    """Where vectors have clusters, a query visits a small part of the lists and finds nearly all."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(40, 16))[rng.integers(0, 40, 8_000)] * 3 + 0.3 * rng.normal(size=(8_000, 16))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    books = ann.learn(x, 178, 8, rows=8_000)
+    assert books.visited <= 30
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    got = {}
+    for r in ann.search(spark.createDataFrame(rows, SCHEMA), every=200).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = brute(rows, every=200)
+    assert sum(len(got[q] & {v for v, _ in want[q]}) for q in want) >= 0.9 * 20 * len(want)

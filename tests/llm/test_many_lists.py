@@ -6,7 +6,7 @@ from groundwork.llm import ann
 
 
 def test_recall_where_lists_are_skipped(spark, tmp_path):
-    """64,000 vectors make 40 lists, of which a query visits 30 by default."""
+    """64,000 vectors without clusters make 506 lists, of which a query visits a part."""
     n, d, every = 64_000, 32, 2_000
     x = np.random.default_rng(12).normal(size=(n, d)).astype(np.float32)
     table = pa.table({"vec_id": pa.array(np.arange(n)), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), d).cast(pa.list_(pa.float32()))})
