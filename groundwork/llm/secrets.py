@@ -1,12 +1,13 @@
 r"""Secret scans with a linear-chain conditional random field.
 
-Base patterns give the certain spans. Beside them, tokens of machine-made strings are
-tagged begin, inside or outside of a secret from their shape, the neighbouring words and
-features of the whole text, and decoded by Viterbi.
-
-Only tokens in strings of 16 or more key signs with both a letter and a digit may be
-tagged begin or inside; every other token is outside by constraint. A chain splits
-exactly at such tokens, so Viterbi runs over the strings alone, whatever lies between.
+Base patterns give the certain spans. Beside them every token of a text is tagged begin,
+inside or outside of a secret from its shape, the part it stands in, the neighbouring
+words and features of the whole text; the whole text is decoded at once by Viterbi, with
+a start and an end step. A token is a run of letters and digits or a single sign; a secret
+holds no white space, so a token after white space is never inside.
+
+Features are computed from arrays of code points and Viterbi from max-plus products of
+blocks of steps, so no token is handled by itself in Python.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-import zlib
 from bisect import bisect_right
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
 
@@ -30,15 +31,12 @@ _ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_STRING = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-_TOKEN = re.compile(r"[A-Za-z0-9]+|[+/_.=-]")
-_WORD = re.compile(r"[A-Za-z]+")
-_DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
-#: Words that name a credential.
-_CREDENTIAL = frozenset("auth authorization bearer basic credential credentials key apikey secret token password passwd pwd pass private access session cookie client signature jwt pat".split())
+#: Words that name a credential, found inside longer words too if they have five letters or more.
+CREDENTIAL = "auth authorization bearer basic credential key secret token password passwd passphrase passcode pwd pass private access session cookie client signature jwt pin login".split()
 
 OUT, BEGIN, INSIDE = 0, 1, 2
-FEATURES = 1 << 13
+#: Texts are decoded together up to so many code points.
+TOGETHER = 300_000
 Span = tuple[int, int, str]
 
 
@@ -54,215 +52,439 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def _shape(token: str) -> str:
-    """Kinds of signs with runs collapsed, and the length's size."""
-    s = re.sub(r"[0-9]+", "9", re.sub(r"[a-z]+", "a", re.sub(r"[A-Z]+", "A", token)))
-    return f"{s[:6]}{'+' * (len(s) > 6)}{min(len(token), 40) // 4}"
-
-
-def _mix(token: str) -> int:
-    """Changes between kinds of signs, as a share of the length, in tenths."""
-    kinds = ["9" if c.isdigit() else "A" if c.isupper() else "a" for c in token]
-    return 10 * sum(a != b for a, b in zip(kinds, kinds[1:])) // max(1, len(token))
-
-
-def text_features(text: str) -> list[str]:
-    """Features of the whole text, shared by its tokens."""
-    code = sum(c in text for c in ("{", "};", "=>", "import ", "export ", "://"))
-    return [f"code{min(code, 3)}", f"config{'=' in text}", f"lines{min(text.count(chr(10)), 7) // 2}"]
-
-
-def string_features(text: str, start: int, end: int, whole: list[str]) -> tuple[list[re.Match], list[list[int]]]:
-    """Tokens of the string text[start:end] and the hashed features of each."""
-    string = text[start:end]
-    tokens = list(_TOKEN.finditer(string))
-    before = text[max(0, start - 32) : start]
-    words = [w.lower() for w in _WORD.findall(before)][-2:]
-    inner = {w.lower() for w in _WORD.findall(string)}
-    context = [
-        *whole,
-        f"lead{before[-2:].strip()[-1:]}",
-        f"follow{text[end : end + 1].strip()}",
-        f"w1{words[-1] if words and words[-1] in _CREDENTIAL else '-'}",
-        f"named{any(w in _CREDENTIAL for w in words)}{bool(inner & _CREDENTIAL)}",
-        f"n{min(len(tokens), 12) // 2}",
-        f"len{min(len(string), 80) // 8}",
-        f"kinds{len(set(string)) * 8 // len(string)}{any(c.isupper() for c in string)}{any(c.islower() for c in string)}",
-    ]
-    longest = max((m[0] for m in tokens), key=len)
-    context.append(f"longest{_shape(longest)}{min(_mix(longest), 6)}")
-    shapes = ["<", *[_shape(m[0]) if m[0].isalnum() else m[0] for m in tokens], ">"]
-    out = []
-    for i, m in enumerate(tokens):
-        t = m[0]
-        own = [
-            "bias",
-            f"s{shapes[i + 1]}",
-            f"p{shapes[i]}|{shapes[i + 1]}",
-            f"f{shapes[i + 1]}|{shapes[i + 2]}",
-            f"mix{min(_mix(t), 7)}{min(len(t), 32) // 4}",
-            f"distinct{len(set(t)) * 6 // len(t)}{min(len(t), 24) // 6}",
-            f"place{i == 0}{i == len(tokens) - 1}",
-            f"prev{text[start + m.start() - 1 : start + m.start()]}" if start + m.start() else "prev",
+# kinds of code points
+_WHITE, _LOWER, _UPPER, _DIGIT, _OTHER, _SIGN = range(6)
+_KIND = np.full(129, _SIGN, np.int8)  # 128 stands for all that is not ASCII
+_KIND[[*range(9, 14), *range(28, 33)]], _KIND[128] = _WHITE, _OTHER
+_KIND[97:123], _KIND[65:91], _KIND[48:58] = _LOWER, _UPPER, _DIGIT
+_VOWEL, _RARE, _BREAK = (np.isin(np.arange(129), np.frombuffer(signs, np.uint8)) for signs in (b"aeiouyAEIOUY", b"jkqvwxyzJKQVWXYZ", b"=:\"'`()[]{}<>,;|"))
+_SIZES = np.array([1, 2, 3, 4, 6, 8, 10, 12, 14, 16, 20, 24, 32, 48])
+
+
+def _size(n: np.ndarray) -> np.ndarray:
+    """Size class of a length, 0 to 14."""
+    return np.searchsorted(_SIZES, n, side="right")
+
+
+def _share(part: np.ndarray, whole: np.ndarray, steps: int) -> np.ndarray:
+    """part / whole in ``steps`` classes; 0 if there is no whole."""
+    return np.minimum(part * steps // np.maximum(whole, 1), steps - 1)
+
+
+def _runs(member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of True."""
+    edge = np.diff(member.astype(np.int8), prepend=0, append=0)
+    return np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
+
+
+def text_features(low: bytes) -> int:
+    """Features of the whole text, shared by its tokens: signs of code, settings, many lines."""
+    signs = sum(low.count(c) > 0 for c in (b"{", b"};", b"=>", b"import ", b"export ", b"def ", b"#!/"))
+    lines, settings = low.count(b"\n") + 1, low.count(b"=") + low.count(b": ")
+    return (min(signs, 2) * 3 + int(np.searchsorted([1, 6], settings))) * 3 + int(np.searchsorted([2, 9], lines))
+
+
+class Tokens:
+    """Tokens of texts that stand one after another: start, end, glued to the token before, first and last of a text, and the indices of their features (groups x tokens)."""
+
+    #: Between two texts: more lines than a word's context crosses.
+    GAP = "\n\n\n"
+
+    #: Number of values of each feature group.
+    GROUPS = (40 * 15, 41 * 41 * 2, 41 * 41 * 2, 16 * 15 * 2, 6 * 15 * 4, 8 * 15 * 2, 6 * 5 * 2 * 15, 8 * 3 * 16, 8 * 15 * 6, 26 * 6, 26 * 3 * 6, 27 * 6 * 2, 4 * 6 * 6, 7 * 6 * 15)
+    OFFSETS = np.concatenate([[0], np.cumsum(GROUPS)])
+
+    def __init__(self, texts: list[str]):
+        raw = [np.frombuffer(x.encode("utf-32-le", "surrogatepass"), "<u4") for x in texts]
+        gap = np.full(len(self.GAP), 10, np.uint32)
+        code = np.concatenate([part for x in raw for part in (x, gap)]) if raw else gap
+        code = np.minimum(code, 128).astype(np.uint8)
+        self.base = np.cumsum([0, *(len(x) + len(gap) for x in raw)])  # where each text begins
+        kind = _KIND[code]
+        solid, sign = kind != _WHITE, kind == _SIGN
+        word = solid & ~sign
+        firsts, lasts = sign | word, sign | word
+        firsts[1:] &= sign[1:] | ~word[:-1]
+        lasts[:-1] &= sign[:-1] | ~word[1:]
+        self.start, self.end = np.nonzero(firsts)[0].astype(np.int32), np.nonzero(lasts)[0].astype(np.int32) + 1
+        n = len(self.start)
+        self.text = np.searchsorted(self.base, self.start, side="right") - 1
+        self.first, self.last, self.glued = np.ones(n, bool), np.ones(n, bool), np.zeros(n, bool)
+        if n:
+            self.first[1:] = self.last[:-1] = self.text[1:] != self.text[:-1]
+            self.glued[1:] = self.start[1:] == self.end[:-1]
+            self.features = self._features(code, kind)
+
+    def _features(self, code: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        start, end = self.start, self.end
+        total = lambda member: np.concatenate([[0], np.cumsum(member, dtype=np.int32)])
+        lower, upper, digit, other, vowel, rare = (total(m) for m in (kind == _LOWER, kind == _UPPER, kind == _DIGIT, kind == _OTHER, _VOWEL[code], _RARE[code]))
+        turn = total(np.concatenate([[False], (kind[1:] != kind[:-1])]))
+        of = lambda sums, a, b: sums.take(b) - sums.take(a)
+        n = end - start
+        lo, up, di, ot = (of(c, start, end) for c in (lower, upper, digit, other))
+        letters, sign = lo + up, kind[start] == _SIGN
+        # shapes: 0 lower, 1 capitalised, 2 upper, 3 mixed case, 4 digits, 5 to 7 letters with digits (lower, upper, mixed), 8 beyond ASCII, 9 and on signs
+        signs = np.searchsorted(np.nonzero(_KIND == _SIGN)[0], code[start]).astype(np.int32) % 31
+        case = np.where(up == 0, 0, np.where(lo == 0, 2, np.where((up == 1) & (kind[start] == _UPPER), 1, 3)))
+        shape = np.where(sign, 9 + signs, np.where(ot > 0, 8, np.where(di == n, 4, np.where(di == 0, case, 5 + np.where(up == 0, 0, np.where(lo == 0, 1, 2))))))
+        plain = (shape <= 2) & (n <= 24) & (5 * of(vowel, start, end) >= n) & (4 * of(vowel, start, end) <= 3 * n + 3) & (10 * of(rare, start, end) <= 3 * n + 7) | (shape == 8)
+        # parts: runs without white space and marks that separate
+        a, b = _runs((kind != _WHITE) & ~_BREAK[code])
+        at = np.searchsorted(b, start, side="right")
+        at = np.minimum(at, max(0, len(a) - 1))
+        inside = (a[at] <= start) & (end <= b[at]) if len(a) else np.zeros(len(start), bool)
+        if not len(a):
+            a, b = np.zeros(1, int), np.zeros(1, int)
+        long = b - a
+        p_lo, p_up, p_di, p_vo, p_ra = (of(c, a, b) for c in (lower, upper, digit, vowel, rare))
+        p_le, p_ot = p_lo + p_up, of(other, a, b)
+        mask = (p_lo > 0) + 2 * (p_up > 0) + 4 * (p_di > 0) + 8 * (long > p_le + p_di + p_ot)
+        wordy = np.bincount(at[inside], (n * plain)[inside], len(a)).astype(int)
+        count = np.bincount(at[inside], minlength=len(a))
+        p_plain = np.where(long > 0, _share(wordy, np.maximum(p_le + p_ot + p_di, 1), 5), 0) + (wordy > 0)  # 0 none to 5 nearly all
+        turns = _share(of(turn, np.minimum(a + 1, b), b), long, 8)
+        per = lambda x: np.where(inside, x[at], 0)
+        size, m, pl = per(_size(long)), per(mask), per(p_plain)
+        # credential words before and after
+        low = np.where(kind == _UPPER, code + 32, code).tobytes()
+        name = np.zeros(len(start), np.int32)
+        for k, w in enumerate(CREDENTIAL, 1):
+            needle, i = w.encode(), low.find(w.encode())
+            found = []
+            while i >= 0:
+                found.append(i)
+                i = low.find(needle, i + 1)
+            if found:
+                t = np.searchsorted(start, found, side="right") - 1
+                whole = (start[t] == found) & (end[t] == np.array(found) + len(w)) | (len(w) >= 5)
+                name[t[whole]] = k
+        here = np.arange(len(start), dtype=np.int32)
+        last = np.maximum.accumulate(np.where(name > 0, here, -1))
+        line = total(code == 10)[start]
+        near = (last >= 0) & (line - line[last] <= 1)
+        gap = np.where(near, np.minimum(np.searchsorted([1, 2, 3, 4, 6, 10], here - last, side="right"), 6), 7)
+        named = np.where(near & (here - last <= 9), name[last], 0)
+        sets = total((code[start] == 61) | (code[start] == 58))
+        sets = np.where(near, np.minimum(sets[here] - sets[np.maximum(last, 0)], 2), 0)
+        ahead = np.concatenate([name[1:], [0]])
+        ahead = np.where(ahead > 0, ahead, np.concatenate([name[2:], [0, 0]])[: len(name)])
+        ahead[self.last] = 0
+        shape = shape.astype(np.int32)
+        prev, nxt = np.full(len(shape), 40, np.int32), np.full(len(shape), 40, np.int32)
+        prev[1:], nxt[:-1] = shape[:-1], shape[1:]
+        prev[self.first] = nxt[self.last] = 40
+        whole = np.array([text_features(low[i:j]) for i, j in zip(self.base[:-1], self.base[1:])], np.int32)[self.text]
+        glue, glue_next = self.glued.astype(int), np.concatenate([self.glued[1:], [False]]).astype(int)
+        first = inside & np.concatenate([[True], (at[1:] != at[:-1]) | ~inside[:-1]])
+        final = inside & np.concatenate([(at[:-1] != at[1:]) | ~inside[1:], [True]])
+        isword = (~sign).astype(int)
+        groups = [
+            shape * 15 + _size(n),
+            (prev * 41 + shape) * 2 + glue,
+            (nxt * 41 + shape) * 2 + glue_next,
+            (m * 15 + size) * 2 + isword,
+            (pl * 15 + size) * 4 + per(_share(p_di, long, 4)),
+            (per(turns) * 15 + size) * 2 + isword,
+            ((per(_share(p_vo * 10, p_le * 7, 6)) * 5 + per(_share(p_ra, p_le, 5))) * 2 + per((p_di > 0).astype(int))) * 15 + size,
+            (gap * 3 + sets) * 16 + m,
+            (gap * 15 + size) * 6 + pl,
+            named * 6 + pl,
+            (named * 3 + sets) * 6 + per(np.minimum(count, 5)),
+            (whole * 6 + pl) * 2 + isword,
+            (first * 2 + final) * 36 + per(np.minimum(count, 5)) * 6 + pl,
+            ((ahead > 0) * 3 + np.minimum(sign * 2 + plain, 2)) * 90 + pl * 15 + size,
         ]
-        out.append([zlib.crc32(f.encode()) % FEATURES for f in [*own, *context, *(f"{c}|{i == 0}{t.isalnum()}" for c in context[3:])]])
-    return tokens, out
+        out = np.empty((len(groups), len(start)), np.int32)
+        for row, group, offset in zip(out, groups, self.OFFSETS):
+            np.add(group, offset, out=row, casting="unsafe")
+        return out
+
+
+def viterbi(emit: np.ndarray, first: np.ndarray, move: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The best tags of chains that stand one after another; ``first`` marks the first token of each.
+
+    Steps are matrices of a max-plus product. Blocks of about the square root of the
+    number of steps are multiplied side by side, the blocks' products are applied one
+    after another, and the ways back are followed in the blocks again.
+    """
+    n = len(emit)
+    if not n:
+        return np.zeros(0, np.int8)
+    step = np.where(first[:, None, None], end[:, None] + begin[None, :], move)
+    step[0] = np.where(np.arange(3)[:, None] == 0, begin[None, :], -1e9)  # from a single state before all
+    step = step + emit[:, None, :]
+    width = int(np.ceil(n**0.5))
+    blocks = -(-n // width)
+    same = np.where(np.eye(3) > 0, 0.0, -1e9)
+    step = np.concatenate([step, np.broadcast_to(same, (blocks * width - n, 3, 3))]).reshape(blocks, width, 3, 3)
+    lanes = np.ascontiguousarray(step.transpose(1, 2, 3, 0))  # step of a block, from, to, block
+    product = lanes[0]
+    for k in range(1, width):
+        product = np.maximum(np.maximum(product[:, 0, None] + lanes[k, 0], product[:, 1, None] + lanes[k, 1]), product[:, 2, None] + lanes[k, 2])
+    product = product.transpose(2, 0, 1)
+    at = np.empty((blocks, 3))
+    now = np.array([0.0, -1e9, -1e9])
+    for k in range(blocks):
+        at[k] = now
+        now = (now[:, None] + product[k]).max(axis=0)
+    came = np.empty((blocks, width, 3), np.int8)
+    for k in range(width):
+        options = at[:, :, None] + step[:, k]
+        came[:, k] = options.argmax(axis=1)
+        at = options.max(axis=1)
+    back = np.tile(np.arange(3), (blocks, 1))
+    for k in range(width - 1, -1, -1):
+        back = np.take_along_axis(came[:, k], back, axis=1)
+    tag = int(np.argmax(now + end))
+    last = np.empty(blocks, np.int64)
+    for k in range(blocks - 1, -1, -1):
+        last[k] = tag
+        tag = int(back[k, tag])
+    tags, rows = np.empty((blocks, width), np.int8), np.arange(blocks)
+    for k in range(width - 1, -1, -1):
+        tags[:, k] = last
+        last = came[rows, k, last]
+    return tags.reshape(-1)[:n]
 
 
 class Tagger:
-    """Weights of the field: feature x tag, and tag to tag (start: row 3)."""
-
-    def __init__(self, emit: np.ndarray, move: np.ndarray):
-        self.emit, self.move = emit, move
-
-    def tags(self, features: list[list[int]]) -> list[int]:
-        """Viterbi."""
-        score = self.emit[np.array(features)].sum(axis=1)
-        best = (self.move[3] + score[0]).tolist()
-        move = self.move.tolist()
-        back = []
-        for row in score[1:].tolist():
-            came, now = [], []
-            for t in range(3):
-                options = [best[s] + move[s][t] for s in range(3)]
-                s = max(range(3), key=options.__getitem__)
-                came.append(s)
-                now.append(options[s] + row[t])
-            back.append(came)
-            best = now
-        path = [max(range(3), key=best.__getitem__)]
-        for came in reversed(back):
-            path.append(came[path[-1]])
-        return path[::-1]
-
-    def spans(self, text: str) -> list[Span]:
-        """Spans of twelve or more signs that the field tags as secrets."""
-        out: list[Span] = []
-        whole = None
-        for m in _STRING.finditer(text):
-            if not (_DIGIT.search(m[0]) and _LETTER.search(m[0])):
-                continue
-            whole = text_features(text) if whole is None else whole
-            tokens, features = string_features(text, m.start(), m.end(), whole)
-            begin = None
-            for token, tag in zip([*tokens, None], [*self.tags(features), OUT]):
-                if begin is not None and tag != INSIDE:
-                    if end - begin >= 12:
-                        out.append((begin, end, "crf"))
-                    begin = None
-                if tag == BEGIN:
-                    begin = m.start() + token.start()
-                if tag != OUT:
-                    end = m.start() + token.end()
+    """Weights of the field: feature x tag, tag to tag, start and end. ``caution`` is taken from the score of each begin."""
+
+    def __init__(self, emit: np.ndarray, move: np.ndarray, begin: np.ndarray, end: np.ndarray, caution: float = 0.0):
+        self.move, self.begin, self.end, self.caution = move, begin, end, caution
+        over = (emit[:, 1:] - emit[:, :1]).astype(np.float32)  # begin and inside over outside, in one number
+        self.over = np.ascontiguousarray(over).view(np.complex64).ravel()
+        # the most that a begin or an inside token can gain over outside by the steps to and from it
+        into, out = move - move[OUT, OUT], np.maximum(move[:, OUT] - move[OUT, OUT], 0)
+        edge = np.maximum(begin - begin[OUT], 0).max() + np.maximum(end - end[OUT], 0).max()
+        self.gain = [float(max(into[:, t].max(), 0) + out.max() + edge) for t in (BEGIN, INSIDE)]
+
+    def scores(self, tokens: Tokens) -> np.ndarray:
+        """begin and inside over outside: tokens x 2."""
+        score = np.zeros(len(tokens.start), np.complex64)
+        for feature in tokens.features:
+            score += self.over.take(feature)
+        score = score.view(np.float32).reshape(-1, 2).astype(float)
+        score[:, 0] -= self.caution
+        score[~tokens.glued, 1] = -1e6
+        return score
+
+    def tags(self, tokens: Tokens) -> np.ndarray:
+        """Viterbi over the whole of each text.
+
+        A secret lies in a run without white space. Where even the best begin of a run and
+        all that its tokens might add stay below outside, the run is outside on the best
+        path; such tokens, but for those next to others, are left out of the product.
+        """
+        n = len(tokens.start)
+        tags = np.zeros(n, np.int8)
+        if not n:
+            return tags
+        score = self.scores(tokens)
+        heads = np.nonzero(~tokens.glued)[0]
+        more = np.maximum(np.maximum(score[:, 0] + self.gain[0], score[:, 1] + self.gain[1]), 0)
+        open_ = (np.maximum.reduceat(score[:, 0], heads) + self.gain[0] > 0) | (np.maximum.reduceat(score[:, 0], heads) + self.gain[0] + np.add.reduceat(more, heads) > 0)
+        live = np.repeat(open_, np.diff(np.append(heads, n)))
+        keep = live | tokens.first | tokens.last
+        keep[1:] |= live[:-1]
+        keep[:-1] |= live[1:]
+        emit = np.zeros((int(keep.sum()), 3))
+        emit[:, 1:] = np.where(live[keep, None], score[keep], -1e6)
+        tags[keep] = viterbi(emit, tokens.first[keep], self.move, self.begin, self.end)
+        return tags
+
+    def spans(self, texts: list[str]) -> list[list[Span]]:
+        """Spans that the field tags as secrets, of each text."""
+        out: list[list[Span]] = []
+        for group in _together(texts):
+            tokens, found = Tokens(group), [[] for _ in group]
+            tags = self.tags(tokens)
+            for i in np.nonzero(tags == BEGIN)[0].tolist():
+                j = i
+                while j + 1 < len(tags) and tags[j + 1] == INSIDE:
+                    j += 1
+                k = int(tokens.text[i])
+                found[k].append((int(tokens.start[i] - tokens.base[k]), int(tokens.end[j] - tokens.base[k]), "crf"))
+            out += found
         return out
 
-    def all_spans(self, text: str | None) -> list[Span]:
+    def all_spans(self, texts: list[str | None]) -> list[list[Span]]:
         """Base spans, and the field's spans that lie in none of them; the two may overlap."""
-        if not text:
-            return []
-        base = base_spans(text)
-        more = self.spans(text) if _STRING.search(text) else []
-        if base and more:
-            starts, reach = [s[0] for s in base], list(accumulate((s[1] for s in base), max))
-            # of the base spans that start at a span's start or before, does any reach its end?
-            more = [s for s in more if not (k := bisect_right(starts, s[0])) or reach[k - 1] < s[1]]
-        return sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2])))
-
-
-def examples(n: int = 2_400, seed: int = 7) -> list[tuple[str, int, int]]:
-    """Made-up training lines with the span of their secret (0, 0 if there is none)."""
+        texts = [t or "" for t in texts]
+        out = []
+        for text, more in zip(texts, self.spans(texts)):
+            base = base_spans(text)
+            if base and more:
+                starts, reach = [s[0] for s in base], list(accumulate((s[1] for s in base), max))
+                # of the base spans that start at a span's start or before, does any reach its end?
+                more = [s for s in more if not (k := bisect_right(starts, s[0])) or reach[k - 1] < s[1]]
+            out.append(sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2]))))
+        return out
+
+
+def _together(texts: list[str]) -> Iterator[list[str]]:
+    group, size = [], 0
+    for t in texts:
+        if group and size + len(t) > TOGETHER:
+            yield group
+            group, size = [], 0
+        group.append(t)
+        size += len(t)
+    if group:
+        yield group
+
+
+def examples(n: int = 600, seed: int = 7) -> list[tuple[str, list[tuple[int, int]]]]:
+    """Made-up texts of several lines with the spans of their secrets."""
     r = random.Random(seed)
-    b64, alnum, upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
-    syllables = "an er th ing on the re st ed sch ung ein ion que es la ment tre ou".split()
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    alnum, upper = lower.upper() + lower + digits, lower.upper() + digits
+    b64 = alnum + "+/"
+    syllables = "an er th ing on the re st ed sch ung ein ion que es la ment tre ou ci ver heit lich con ar en ti al le de ja mi so qu pf ze wa ky".split()
+    common = "the of and to a in is that it for der die und den von zu de la le et les que el en y los por was with on est".split()
     draw = lambda signs, k: "".join(r.choice(signs) for _ in range(k))
-    word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
-    secrets = [
-        lambda: draw(b64, r.randint(28, 60)) + "=" * r.randint(0, 2),
-        lambda: draw(alnum, r.randint(20, 48)),
-        lambda: "sk_live_" + draw(alnum, 24),
-        lambda: "ghp_" + draw(alnum, 36),
-        lambda: f"xoxb-{draw('0123456789', 12)}-{draw(alnum, 24)}",
+    made = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 5)))
+    word = lambda: r.choice(common) if r.random() < 0.45 else made() + (r.choice(["é", "ü", "ñ", ""]) if r.random() < 0.05 else "")
+    some = lambda a, b: " ".join(word() for _ in range(r.randint(a, b)))
+    leet = lambda: "".join({"a": "4", "e": "3", "i": "1", "o": "0"}.get(c, c) if r.random() < 0.4 else c.upper() if r.random() < 0.15 else c for c in made() + made())
+    strong = [
+        lambda: draw(b64, r.randint(28, 90)) + "=" * r.randint(0, 2),
+        lambda: draw(alnum, r.randint(20, 80)),
+        lambda: draw(alnum + "-_", r.randint(24, 44)),
+        lambda: f"{draw(lower, r.randint(2, 3))}_{r.choice(['live', 'test', 'prod'])}_{draw(alnum, r.randint(20, 30))}",
+        lambda: f"{draw(lower, 3)}_{draw(alnum, 36)}",
+        lambda: f"xoxb-{draw(digits, 12)}-{draw(alnum, 24)}",
         lambda: f"eyJ{draw(alnum, 20)}.eyJ{draw(alnum, 40)}.{draw(alnum + '-_', 32)}",
-        lambda: draw(upper, 20),
-        lambda: draw("0123456789ABCDEF", 32),
+        lambda: draw(upper, r.randint(20, 32)),
+        lambda: draw(digits + "ABCDEF", r.choice([32, 40, 56, 72])),
+        lambda: draw(lower + digits, r.randint(24, 40)),
+    ]
+    weak = [
+        lambda: draw(alnum, r.randint(10, 18)),
+        lambda: draw(lower + digits, r.randint(10, 16)),
+        lambda: draw(alnum + "!@#$%^&*", r.randint(9, 18)),
+        lambda: draw(lower, r.randint(16, 40)),
+        lambda: draw(lower + lower.upper(), r.randint(16, 40)),
+        lambda: draw(digits, r.randint(12, 24)),
+        lambda: "-".join(draw(signs, r.randint(4, 8)) for signs in [r.choice([upper, lower + digits])] * r.randint(3, 6)),
+        lambda: f"{leet()}{r.randint(1, 9999)}{r.choice(['', '!', '?', '&', '#', '$x'])}{draw(alnum, r.randint(0, 5))}",
+        lambda: f"{made()}{r.randint(1, 99)}{made()}{r.randint(1, 99)}{r.choice(['', '!', '!!', '@', '%'])}",
+        lambda: f"{made().capitalize()}{r.choice('-_.!&')}{made().capitalize()}{r.choice('-_.!&')}{r.randint(10, 9999)}{r.choice(['', '!', '#', '?'])}{draw(alnum, r.choice([0, 0, 2, 4]))}",
     ]
     plain = [
-        lambda: f"{word()}-{word()}-{r.randint(1, 99)}-{word()}{word()}",
-        lambda: f"{word()}_{word()}_{word()}_{r.randint(0, 2030)}",
-        lambda: f"www.{word()}{word()}.com/{word()}/{r.randint(1, 9999)}/{word()}",
-        lambda: f"20{r.randint(10, 29)}-0{r.randint(1, 9)}-{r.randint(10, 28)}T{r.randint(10, 23)}.{r.randint(10, 59)}.{r.randint(10, 59)}Z",
-        lambda: f"{word()}.{word()}{r.randint(1, 99)}.{word()}.{word()}org",
-        lambda: f"{word()}{word()}{word()}{word()}{r.randint(1, 999)}.{word()}",
-        lambda: f"v{r.randint(0, 20)}.{r.randint(0, 20)}.{r.randint(0, 20)}-{word()}.{word()}.{r.randint(1, 9)}",
-        lambda: f"{word()}/{word()}/{word()}{r.randint(1, 20)}.{r.choice(['py', 'txt', 'jpg'])}",
-        lambda: f"{word()}-{word()}-{word()}-{word()}.{r.randint(1, 9)}{word()}",
+        lambda: f"{made()}-{made()}-{r.randint(1, 99)}-{made()}",
+        lambda: f"{made()}_{made()}_{made()}_{r.randint(0, 2030)}",
+        lambda: f"{r.choice(['https://', 'http://', ''])}www.{made()}{made()}.com/{made()}/{r.randint(1, 9999)}/{made()}{r.choice(['', '.html', '?id=' + str(r.randint(1, 99999)), '#' + made()])}",
+        lambda: f"20{r.randint(10, 29)}-0{r.randint(1, 9)}-{r.randint(10, 28)}T{r.randint(10, 23)}:{r.randint(10, 59)}:{r.randint(10, 59)}Z",
+        lambda: f"{made()}.{r.randint(1, 99)}@{made()}{r.randint(1, 9)}.{made()}.{r.choice(['com', 'org', 'net'])}",
+        lambda: f"{made()}{made()}{made()}{made()}{made()}",
+        lambda: f"v{r.randint(0, 20)}.{r.randint(0, 20)}.{r.randint(0, 20)}-{made()}.{r.randint(1, 9)}",
+        lambda: f"/{made()}/{made()}/{made()}{r.randint(1, 20)}.{r.choice(['py', 'txt', 'jpg'])}",
+        lambda: draw(digits, r.choice([4, 8, 10, 12, 13, 15, 16, 16, 16, 20])),
+        lambda: " ".join(draw(digits, 4) for _ in range(4)),
+        lambda: f"+{r.randint(1, 99)} ({draw(digits, 3)}) {draw(digits, 3)}-{draw(digits, 4)}",
+        lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)),
+        lambda: f"{draw(lower.upper(), 2)}{draw(digits, r.randint(14, 22))}",
+        lambda: "".join(w.capitalize() for w in (made(), made(), made())),
+        lambda: f"{made().upper()}_{made().upper()}_{r.randint(1, 9)}",
+        lambda: made() + draw("#*$%&", 1) * 3,
+        lambda: r.choice("#*$%&-=~|") * r.randint(3, 40),
+        lambda: f"{draw(digits, 3)}-{draw(digits, 2)}-{draw(digits, 4)}",
+        lambda: f"{r.randint(1, 999)}.{draw(digits, 6)},{r.randint(1, 99)}",
+        lambda: f"{made()}({made()}, {r.randint(0, 9)});",
+        lambda: f"#{draw('0123456789abcdef', 6)}",
+        lambda: draw(lower.upper(), r.randint(2, 9)),
+        lambda: f"{r.choice(['true', 'false', 'none', 'required', 'disabled', 'changed', 'default', 'count', '****'])}",
     ]
-    names = ["key", "secret_key", "auth", "Authorization: Bearer", "client_secret", "pwd", "access_key", "private key", "session"]
+    named = ["key", "secret_key", "secret", "auth", "Authorization: Bearer", "authorization: Basic", "client_secret", "pwd", "passwd", "password", "PASSWORD", "access_key", "private key", "session", "token", "api token", "db pass", "passphrase", "cookie", "login", "credential"]
+    other = ["name", "path", "id", "see", "file", "user", "page", "size", "title", "url", "host", "version", "date", "mail", "phone", "card", "count", "address", "key", "session", "token", "pass", "login", "secret"]
+    prefixes = ["", "", "", "DB_", "my ", "the ", "app.", "export ", "- ", '  "', "user ", "admin "]
+    links = [" = ", "=", ": ", ":", " ", " is ", ' = "', "='", '": "', " => ", " -> ", " was ", " ist ", " es "]
     out = []
     for _ in range(n):
-        lead = " ".join(word() for _ in range(r.randint(0, 6)))
-        tail = " ".join(word() for _ in range(r.randint(0, 6)))
-        hot = r.random() < 0.5
-        body = r.choice(secrets)() if hot else r.choice(plain)()
-        if r.random() < (0.7 if hot else 0.15):
-            lead += " " + r.choice(names if hot else [*names, "name", "path", "id", "see", "file"]) + r.choice([" = ", "=", ": ", " ", ' = "', "='", ' "'])
-        else:
-            lead += r.choice([" ", "\n", ' "', " ("]) if lead else ""
-        start = len(lead)
-        out.append((f"{lead}{body}{r.choice(['', '.', ' ', chr(34), ';', chr(10)])} {tail}", start if hot else 0, start + len(body) if hot else 0))
+        text, spans = "", []
+        code = r.random() < 0.35
+        for _ in range(r.choice([1, 1, 2, 3, 5, 8, 14])):
+            lead, tail = ("" if code and r.random() < 0.7 else some(0, 7)), ("" if code and r.random() < 0.7 else some(0, 7))
+            lead += " " if lead else ""
+            kind = r.random()
+            end = r.choice(["", "", ".", " ", '"', ";", ",", "'", " #"])
+            if kind < 0.22 or kind < 0.45 and code:
+                named_here = r.random() < 0.75
+                body = r.choice(strong)() if not named_here or r.random() < 0.4 else r.choice(weak)()
+                lead += r.choice(prefixes) + r.choice(named) + r.choice(links) if named_here else r.choice(["", '"', "(", "see "])
+                spans.append((len(text) + len(lead), len(text) + len(lead) + len(body)))
+                text += f"{lead}{body}{end} {tail}\n"
+            elif kind < 0.7:
+                lead += r.choice(prefixes) + r.choice(other if r.random() < 0.6 else named) + r.choice(links) if r.random() < 0.5 else ""
+                text += f"{lead}{r.choice(plain)()}{end} {tail}\n"
+            else:
+                talk = some(4, 16)
+                if r.random() < 0.3:
+                    talk += f" {r.choice(named)} {some(1, 6)}"
+                text += f"{talk.capitalize()}{r.choice(['.', ',', '!', '', ' |'])}\n"
+        out.append((text.rstrip("\n") if r.random() < 0.5 else text, spans))
     return out
 
 
 @lru_cache(maxsize=1)
-def train(n: int = 2_400, steps: int = 60, decay: float = 1e-3) -> Tagger:
-    """Conditional likelihood on ``examples`` by full-batch Adam, strings padded into one array."""
-    chains: list[tuple[list[list[int]], list[int]]] = []
-    for text, start, end in examples(n):
-        whole = text_features(text)
-        for m in _STRING.finditer(text):
-            if not (_DIGIT.search(m[0]) and _LETTER.search(m[0])):
-                continue
-            tokens, features = string_features(text, m.start(), m.end(), whole)
-            tags, open_ = [], False
-            for t in tokens:
-                inside = start <= m.start() + t.start() and m.start() + t.end() <= end
-                tags.append(OUT if not inside else INSIDE if open_ else BEGIN)
-                open_ = inside
-            chains.append((features[:16], tags[:16]))
-    size, width = max(len(f) for f, _ in chains), len(chains[0][0][0])
-    at = np.zeros((len(chains), size, width), np.int64)
-    gold, real = np.zeros((len(chains), size), np.int64), np.zeros((len(chains), size), bool)
-    for i, (f, y) in enumerate(chains):
-        at[i, : len(f)], gold[i, : len(y)], real[i, : len(y)] = f, y, True
-    banned = np.zeros((4, 3))
-    banned[OUT, INSIDE] = banned[3, INSIDE] = -1e4
-    emit, move = np.zeros((FEATURES, 3)), np.zeros((4, 3))
-    moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (emit, move)]
-    one = np.eye(3)[gold] * real[..., None]
-    both = real[:, 1:] & real[:, :-1]
-    lse = lambda x, axis: (top := x.max(axis=axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - top).sum(axis=axis))
+def train(n: int = 600, steps: int = 60, decay: float = 1e-3, caution: float = 0.0) -> Tagger:
+    """Conditional likelihood on ``examples`` by full-batch Adam, whole texts padded into one array."""
+    made = [m for m in ((Tokens([t]), spans) for t, spans in examples(n)) if len(m[0].start)]
+    made.sort(key=lambda m: len(m[0].start))
+    size, groups = len(made[-1][0].start), len(Tokens.GROUPS)
+    at = np.zeros((groups, size, len(made)), np.int32)  # steps before texts
+    gold, real, bar = np.zeros((size, len(made)), np.int64), np.zeros((size, len(made)), bool), np.zeros((size, len(made)), bool)
+    for k, (t, spans) in enumerate(made):
+        m = len(t.start)
+        at[:, :m, k], real[:m, k], bar[:m, k] = t.features, True, ~t.glued
+        for a, b in spans:
+            mine = np.nonzero((t.start >= a) & (t.end <= b))[0]
+            gold[mine, k] = INSIDE
+            gold[mine[:1], k] = BEGIN
+    values, flat = int(Tokens.OFFSETS[-1]), at[:, real]
+    params = [np.zeros((values, 3)), np.zeros((3, 3)), np.zeros(3), np.zeros(3)]  # emit, move, begin, end
+    moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
+    may_move, may_begin = np.ones((3, 3)), np.ones(3)
+    may_move[OUT, INSIDE] = may_begin[INSIDE] = 0
+    one, both = np.eye(3)[gold] * real[..., None], (real[1:] & real[:-1])[..., None, None]
+    final = real & ~np.concatenate([real[1:], np.zeros((1, len(made)), bool)])
+    live = [int(row.argmax()) for row in real]  # texts are in order of length: the first one that is this long
+    seen = (one[:-1][..., :, None] * one[1:][..., None, :] * both).sum(axis=(0, 1))
     for step in range(1, steps + 1):
-        e, t = emit[at].sum(axis=2), move + banned
-        fore, back = np.zeros_like(e), np.zeros_like(e)
-        fore[:, 0] = t[3] + e[:, 0]
+        emit, move, begin, end = params
+        score = np.zeros((flat.shape[1], 3))
+        for row in flat:
+            score += emit.take(row, axis=0)
+        e = np.zeros((size, len(made), 3))
+        e[real] = np.exp(score - score.max(axis=1, keepdims=True))
+        e[bar, INSIDE] = 0
+        m, b = np.exp(move) * may_move, np.exp(begin) * may_begin
+        fore, back = np.zeros_like(e), np.zeros_like(e)  # each step scaled to sum 1
+        fore[0] = b * e[0]
+        fore[0] /= fore[0].sum(axis=1, keepdims=True)
         for k in range(1, size):
-            fore[:, k] = np.where(real[:, k, None], e[:, k] + lse(fore[:, k - 1, :, None] + t[None, :3], 1), fore[:, k - 1])
+            now = (fore[k - 1, live[k] :] @ m) * e[k, live[k] :]
+            fore[k, live[k] :] = now / now.sum(axis=1, keepdims=True)
+        back[final] = np.exp(end)
         for k in range(size - 2, -1, -1):
-            back[:, k] = np.where(real[:, k + 1, None], lse(t[None, :3] + (e[:, k + 1] + back[:, k + 1])[:, None, :], 2), 0.0)
-        z = lse(fore[:, -1], 1)
-        p = np.exp(fore + back - z[:, None, None]) * real[..., None]
-        pair = np.exp(fore[:, :-1, :, None] + t[None, None, :3] + (e + back)[:, 1:, None, :] - z[:, None, None, None]) * both[..., None, None]
-        d = (p - one).reshape(-1, 3)
-        grad_e = np.stack([np.bincount(at.reshape(-1), np.repeat(d[:, k], width), FEATURES) for k in range(3)], axis=1) / len(chains) + decay * emit
-        grad_m = np.zeros((4, 3))
-        grad_m[:3] = pair.sum(axis=(0, 1)) - (one[:, :-1, :, None] * one[:, 1:, None, :]).sum(axis=(0, 1))
-        grad_m[3] = (p[:, 0] - one[:, 0]).sum(axis=0)
-        grad_m = grad_m / len(chains) + decay * move
-        for param, grad, (m1, m2) in zip((emit, move), (grad_e, grad_m), moments):
-            m1 += 0.1 * (grad - m1)
-            m2 += 0.01 * (grad * grad - m2)
-            param -= 0.15 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
-    return Tagger(emit, move + banned)
+            now = (e[k + 1, live[k + 1] :] * back[k + 1, live[k + 1] :]) @ m.T
+            back[k, live[k + 1] :] = now / now.sum(axis=1, keepdims=True)
+        p = fore * back
+        p /= np.maximum(p.sum(axis=2, keepdims=True), 1e-300)
+        pair = fore[:-1, :, :, None] * m * (e * back)[1:, :, None, :] * both
+        pair = (pair / np.maximum(pair.sum(axis=(2, 3), keepdims=True), 1e-300)).sum(axis=(0, 1))
+        d = (p - one)[real]
+        grads = [np.stack([sum(np.bincount(row, d[:, k], values) for row in flat) for k in range(3)], axis=1)]
+        grads += [pair - seen, (p[0] - one[0]).sum(axis=0), (p - one)[final].sum(axis=0)]
+        for param, g, (m1, m2) in zip(params, grads, moments):
+            g = g / len(made) + decay * param
+            m1 += 0.1 * (g - m1)
+            m2 += 0.01 * (g * g - m2)
+            param -= 0.12 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
+    emit, move, begin, end = params
+    return Tagger(emit, np.where(may_move > 0, move, -1e4), np.where(may_begin > 0, begin, -1e4), end, caution)
 
 
 def written(spans: list[Span]) -> str:
@@ -279,7 +501,7 @@ def scan(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
     tagger = tagger or train()
 
     def run(texts: list) -> list[pa.Array]:
-        found = [tagger.all_spans(t) for t in texts]
+        found = tagger.all_spans(texts)
         counts = [pa.array([sum(s[2] == kind for s in spans) for spans in found], pa.int64()) for kind in KINDS]
         base = [hashlib.sha256(written([s for s in spans if s[2] != "crf"]).encode()).hexdigest() for spans in found]
         return [*counts[:3], pa.array(base, pa.string()), pa.array([written(s) for s in found], pa.string()), counts[3]]
@@ -287,9 +509,8 @@ def scan(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
     return map_texts(docs, run, "n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_crf bigint")
 
 
-def redacted(text: str | None, tagger: Tagger, sign: str = "[SECRET]") -> str | None:
+def redacted(text: str | None, spans: list[Span], sign: str = "[SECRET]") -> str | None:
     """The text with every span replaced; spans that overlap are replaced as one."""
-    spans = tagger.all_spans(text)
     if not spans:
         return text
     out, at = [], 0
@@ -304,14 +525,15 @@ def redacted(text: str | None, tagger: Tagger, sign: str = "[SECRET]") -> str |
 
 
 def redact(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
-    """The same rows and columns with secrets in ``text`` replaced and ``n_chars`` counted anew."""
+    """The same rows and columns with secrets in ``text`` replaced and ``n_chars`` counted anew; null and empty texts stay."""
     tagger = tagger or train()
     names = docs.columns
     at, length = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches):
         for batch in batches:
-            texts = [redacted(t, tagger) for t in batch.column(at).to_pylist()]
+            texts = batch.column(at).to_pylist()
+            texts = [redacted(t, spans) for t, spans in zip(texts, tagger.all_spans(texts))]
             columns = list(batch.columns)
             columns[at] = pa.array(texts, pa.string())
             if length is not None:

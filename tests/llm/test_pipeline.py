@@ -56,7 +56,7 @@ def test_secrets_go(stages):
     assert set(before) == set(after)
     changed = 0
     for i, r in after.items():
-        assert r["text"] == secrets.redacted(before[i]["text"], tagger) and r["n_chars"] == len(r["text"])
+        assert r["text"] == secrets.redacted(before[i]["text"], tagger.all_spans([before[i]["text"]])[0]) and r["n_chars"] == len(r["text"])
         assert not secrets.base_spans(r["text"])
         changed += r["text"] != before[i]["text"]
     assert changed > 0

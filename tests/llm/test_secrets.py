@@ -1,6 +1,11 @@
+import copy
 import hashlib
+import itertools
+import random
 import re
 
+import numpy as np
+
 from groundwork.llm import secrets
 from tests.llm.conftest import by_id
 
@@ -25,40 +30,103 @@ def test_tricky_base_spans():
         assert secrets.written(secrets.base_spans(text)) == plain(text)
 
 
-def test_tagger_on_lines_it_has_not_seen():
-    tagger, hit, hot, wrong, cold = secrets.train(), 0, 0, 0, 0
-    for text, start, end in secrets.examples(600, seed=99):
-        spans = tagger.all_spans(text)
-        if end:
-            hot += 1
-            hit += any(a <= start + 4 and b >= end - 4 for a, b, _ in spans)
-        else:
-            cold += 1
-            wrong += bool([s for s in spans if s[2] == "crf"])
-    assert hit / hot > 0.9 and wrong / cold < 0.05
+def field(tagger, text):
+    return [text[a:b] for a, b, _ in tagger.spans([text])[0]]
 
 
-def test_viterbi_is_the_best_path():
-    import itertools
+def test_tagger_on_texts_it_has_not_seen():
+    tagger, hit, hot, more, tokens = secrets.train(), 0, 0, 0, 0
+    for text, spans in secrets.examples(300, seed=99):
+        found = tagger.spans([text])[0]
+        hot += len(spans)
+        hit += sum(any(a <= s + 2 and b >= e - 2 for a, b, _ in found) for s, e in spans)
+        more += sum(not any(a < e and s < b for s, e in spans) for a, b, _ in found)
+        tokens += len(secrets.Tokens([text]).start)
+    assert hit / hot > 0.9 and more / tokens < 0.002
 
-    import numpy as np
 
-    rng = np.random.default_rng(1)
-    tagger = secrets.Tagger(rng.normal(size=(8, 3)), rng.normal(size=(4, 3)))
-    for n in (1, 2, 5):
-        f = rng.integers(0, 8, (n, 2)).tolist()
-        e = tagger.emit[np.array(f)].sum(axis=1)
-        score = lambda p: tagger.move[3, p[0]] + e[0, p[0]] + sum(tagger.move[a, b] + e[k + 1, b] for k, (a, b) in enumerate(zip(p, p[1:])))  # noqa: E731, B023
-        assert tuple(tagger.tags(f)) == max(itertools.product(range(3), repeat=n), key=score)
+def test_no_gate_by_length_or_signs():
+    tagger = secrets.train()
+    for text, secret in (
+        ("Authorization: Bearer abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyz"),
+        ("pwd=Tr0ub4dor&3xyzabc", "Tr0ub4dor&3xyzabc"),
+        ("my db pass is hunter2hunter2!", "hunter2hunter2!"),
+        ("DB_PWD=kq83hfk29dk1", "kq83hfk29dk1"),
+    ):
+        for before, after in (("", ""), ("the house of the river\nand a wood\n", "\nthe end"), ("word " * 3_000 + "\n", " and more " * 3_000)):
+            assert field(tagger, before + text + after) == [secret]
+
+
+def unseen(n, seed):
+    """Texts with secrets of kinds and names the trainer never draws, and as many clean ones."""
+    r = random.Random(seed)
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    draw = lambda k, signs=alnum: "".join(r.choice(signs) for _ in range(k))
+    talk = lambda: " ".join(r.choice("this river was not what people had hoped when they walked along old roads looking for bread under bright stars".split()) for _ in range(r.randint(3, 30)))
+    kinds = [
+        lambda: ("token", "glpat-" + draw(20, alnum + "-_")),
+        lambda: ("key", "AIza" + draw(35, alnum + "-_")),
+        lambda: ("", f"SG.{draw(22)}.{draw(43, alnum + '-_')}"),
+        lambda: ("", "npm_" + draw(36)),
+        lambda: ("client_secret", f"{draw(8, 'abcdef0123456789')}-{draw(4, 'abcdef0123456789')}-{draw(4, 'abcdef0123456789')}-{draw(4, 'abcdef0123456789')}-{draw(12, 'abcdef0123456789')}"),
+        lambda: ("passphrase", f"Correct-Horse-{r.randint(100, 999)}!{draw(3)}"),
+        lambda: ("pwd", f"S0mmer{r.randint(1990, 2030)}#{draw(6)}"),
+        lambda: ("session", draw(64, "0123456789ABCDEF")),
+        lambda: ("AZURE_KEY", draw(86, alnum + "+/") + "=="),
+    ]
+    clean = ["see page 12 of the report from 3 May 1998", "mail bob.smith.42@post.example.org or call 555-0199", "ISBN 978-3-16-148410-0, price 12.99", "https://example.net/path/to/file_2.html?x=1&y=2", "the key to the door was a secret", "version 2.11.3-beta.1 came on 2019-11-02T10:22:31Z", "IBAN DE89 3704 0044 0532 0130 00", "see /usr/local/share/doc/readme.txt", "card 4111111111111111 and 10.20.30.40"]
+    out = []
+    for k in range(n):
+        name, body = kinds[k % len(kinds)]()
+        lead = f"{talk()}\n{name}{r.choice([' = ', ': ', '='])}" if name else f"{talk()} "
+        out.append((f"{lead}{body}\n{talk()}", (len(lead), len(lead) + len(body))))
+        out.append((f"{talk()}\n{clean[k % len(clean)]}\n{talk()}", None))
+    return out
+
+
+def test_recall_on_kinds_the_trainer_never_saw():
+    tagger, hit, wrong, rows = secrets.train(), 0, 0, unseen(270, 41)
+    for text, span in rows:
+        found = tagger.spans([text])[0]
+        hit += span is not None and any(a <= span[0] + 6 and b >= span[1] - 2 for a, b, _ in found)
+        wrong += span is None and bool(found)
+    assert hit >= 0.9 * 270 and wrong <= 0.02 * 270
+
+
+def test_planted_table(spark):
+    rows = [(k, text, None) for k, (text, _) in enumerate(unseen(60, 7))]
+    got = {r["doc_id"]: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    # two of the nine kinds are base spans
+    assert sum(r["n_crf"] > 0 for i, r in got.items() if i % 2 == 0) >= 40 and sum(r["spans"] != "" for i, r in got.items() if i % 2 == 0) >= 54 and all("crf:" in r["spans"] for r in got.values() if r["n_crf"])
 
 
-def test_overlaps_are_dropped_as_by_brute_force():
-    tagger = secrets.train()
-    for text, _, _ in secrets.examples(300, seed=3):
-        text = f"token: {text} and deadbeefdeadbeefdead"
-        base = secrets.base_spans(text)
-        want = [s for s in tagger.spans(text) if not any(s[0] < b[1] and b[0] < s[1] for b in base)]
-        assert [s for s in tagger.all_spans(text) if s[2] == "crf"] == want
+def test_viterbi_is_the_best_path():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 3, 7):
+        emit, move, begin, end = rng.normal(size=(n, 3)), rng.normal(size=(3, 3)), rng.normal(size=3), rng.normal(size=3)
+        score = lambda p: begin[p[0]] + emit[0, p[0]] + sum(move[a, b] + emit[k + 1, b] for k, (a, b) in enumerate(zip(p, p[1:]))) + end[p[-1]]  # noqa: E731, B023
+        first = np.arange(n) == 0
+        assert tuple(secrets.viterbi(emit, first, move, begin, end)) == max(itertools.product(range(3), repeat=n), key=score)
+    sizes = [1, 4, 1, 300, 2, 50]  # chains one after another are decoded as each alone
+    emit, first = rng.normal(size=(sum(sizes), 3)), np.zeros(sum(sizes), bool)
+    first[np.cumsum([0, *sizes[:-1]])] = True
+    alone = [secrets.viterbi(e, np.arange(len(e)) == 0, move, begin, end) for e in np.split(emit, np.cumsum(sizes)[:-1])]
+    assert (secrets.viterbi(emit, first, move, begin, end) == np.concatenate(alone)).all()
+
+
+def test_texts_are_decoded_whole(documents):
+    """Leaving out runs that cannot hold a secret changes nothing, nor do the texts decoded beside one."""
+    trained = secrets.train()
+    texts = [r["text"] or "" for r in documents.collect()][:60] + [t for t, _ in secrets.examples(60, seed=3)]
+    for shift in (0.0, -4.0):  # the second finds secrets everywhere
+        tagger = copy.copy(trained)
+        tagger.caution = trained.caution + shift
+        together = secrets.Tokens(texts)
+        tags = tagger.tags(together)
+        score = tagger.scores(together)
+        emit = np.concatenate([np.zeros((len(score), 1)), score], axis=1)
+        assert (tags == secrets.viterbi(emit, together.first, tagger.move, tagger.begin, tagger.end)).all()
+        assert tagger.spans(texts) == [tagger.spans([t])[0] for t in texts]
 
 
 def test_odd_rows(odd, empty):
@@ -74,4 +142,4 @@ def test_redaction_takes_effect(spark, odd):
     row = secrets.redact(docs).first()
     assert row["text"] == "x [SECRET]' y [SECRET] é" and row["n_chars"] == len(row["text"]) and row["spans"] == "k"
     tagger = secrets.train()
-    assert secrets.redacted(row["text"], tagger) == row["text"]
+    assert tagger.all_spans([row["text"]]) == [[]]
