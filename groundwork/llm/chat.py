@@ -31,26 +31,27 @@ def fold(events: DataFrame) -> DataFrame:
     """conv_id, turn, role, text: the final turns of (conv_id, seq, turn, kind, role, text) events.
 
     Deltas after a turn's last message, edit or regenerate append to it in sequence
-    order; deltas before it are void. A turn whose events all precede a regenerate of an
-    earlier turn is gone. Null texts count as empty; the role is that of the turn's last
+    order; deltas before it are void. Events of a turn that precede a regenerate of an
+    earlier turn are void, and a turn without other events is gone. Null texts count as empty; the role is that of the turn's last
     event that has one. Equal sequence numbers are taken by kind, role and text.
     A null conv_id is a conversation of its own.
     """
     starts = F.col("kind") != "delta"
-    turn = Window.partitionBy("conv_id", "turn")
-    events = events.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("__from", F.max(F.when(starts, F.struct("seq", "kind", "role", "text"))).over(turn))
+    again = F.max(F.when(F.col("kind") == "regenerate", F.col("seq")))
+    # what a regenerate of an earlier turn voids goes first: null turns are the earliest
+    place = F.coalesce(F.col("turn").cast("long"), F.lit(-(2**62)))
+    earlier = Window.partitionBy("conv_id").orderBy("__place").rangeBetween(Window.unboundedPreceding, -1)
+    events = events.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("__place", place).withColumn("__void", again.over(earlier))
+    events = events.filter(F.col("__void").isNull() | (F.col("seq") > F.col("__void")))
     body = F.struct("seq", "kind", "role", "text")
+    events = events.withColumn("__from", F.max(F.when(starts, body)).over(Window.partitionBy("conv_id", "turn")))
     live = F.col("__from").isNull() | (body >= F.col("__from"))
     turns = events.groupBy("conv_id", "turn").agg(
         F.array_sort(F.collect_list(F.when(live, body))).alias("parts"),
         F.max(F.when(F.col("role").isNotNull(), F.struct("seq", "kind", "role"))).getField("role").alias("role"),
-        F.max("seq").alias("last"),
-        F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("again"),
     )
-    earlier = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    turns = turns.withColumn("void", F.max("again").over(earlier))
     # parts of the same sequence number as the start are kept only if they are deltas or the start itself
-    return turns.filter(F.col("void").isNull() | (F.col("last") > F.col("void"))).select("conv_id", "turn", "role", F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("text"))
+    return turns.select("conv_id", "turn", "role", F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("text"))
 
 
 def render(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:

@@ -34,14 +34,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 #: Rows and bytes of a batch that goes to a Python worker, which holds a batch whole: texts may be long.
-BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 2_000, 8_388_608
 
 
 def bound_batches(spark: SparkSession) -> None:
     """Bound the session's Arrow batches. The queries call this; the operators leave a caller's session as it is."""
     for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        if not 0 < int(spark.conf.get(name, "0").rstrip("bB")) <= most:
-            spark.conf.set(name, str(most))
+        if not 0 < int(spark.conf.get(name).rstrip("b")) <= most:
+            spark.conf.set(name, f"{most}b" if "Bytes" in name else str(most))
 
 
 def map_texts(df: DataFrame, fn: Callable[[list], list[pa.Array]], schema: str, text: str = "text", carry: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -83,20 +83,32 @@ def shuffle_key(seed: int, *cols: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(c.cast("string"), F.lit("~")) for c in cols]))
 
 
-def ranked(df: DataFrame, group: list[str], cell: str, order: list[Column], out: str) -> DataFrame:
-    """Gapless rank from 0 of each row in its group, without a task that sees a whole group.
+#: Rows alike are spread over tasks in pieces of this size.
+ALIKE = 4_096
 
-    ``cell`` splits each group into slices in rank order (it must not decrease along
-    ``order``). Rows are numbered inside a slice; the slices' counts, a small table,
-    give each slice its offset. A group of any size is spread over its slices.
+
+def ranked(df: DataFrame, group: list[str], key: str, digits: int, out: str) -> DataFrame:
+    """Gapless rank from 0 of each row in its group by (key, then all other columns), without a task that sees a whole group.
+
+    ``key`` is a random order in hex digits; its first ``digits`` cut each group into
+    slices. Rows that are alike in every column are one row with a count until the end, so neither a
+    large group nor many copies of one row land in one task. Ranks inside a slice are
+    sums of counts; the slices' counts, a small table, give each slice its offset.
     """
-    slices = df.groupBy(*group, cell).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*group).orderBy(F.col(cell).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    slices = slices.select(*[F.col(c).alias(f"__o_{c}") for c in [*group, cell]], F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    on = [F.col(c).eqNullSafe(F.col(f"__o_{c}")) for c in [*group, cell]]
-    inner = F.row_number().over(Window.partitionBy(*group, cell).orderBy(*order))
-    out_df = df.withColumn("__in", inner).join(slices, on, "inner")
-    return out_df.withColumn(out, F.col("__before") + F.col("__in") - 1).drop("__in", "__before", *[f"__o_{c}" for c in [*group, cell]])
+    names = df.columns
+    kinds = df.groupBy(*names).agg(F.count(F.lit(1)).alias("__m")).withColumn("__cell", F.substring(key, 1, digits))
+    slices = kinds.groupBy(*group, "__cell").agg(F.sum("__m").alias("__n"))
+    before = Window.partitionBy(*group).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.select(*[F.col(c).alias(f"__o_{c}") for c in [*group, "__cell"]], F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    order = Window.partitionBy(*group, "__cell").orderBy(key, *[F.col(c).asc_nulls_first() for c in names if c not in (key, *group)]).rowsBetween(Window.unboundedPreceding, -1)
+    kinds = kinds.withColumn("__in", F.coalesce(F.sum("__m").over(order), F.lit(0)))
+    on = [F.col(c).eqNullSafe(F.col(f"__o_{c}")) for c in [*group, "__cell"]]
+    kinds = kinds.join(slices, on, "inner").withColumn("__first", F.col("__before") + F.col("__in")).select(*names, "__m", "__first")
+    few, many = kinds.filter(F.col("__m") <= ALIKE), kinds.filter(F.col("__m") > ALIKE)
+    pieces = many.withColumn("__p", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__m") - 1) / ALIKE))))
+    pieces = pieces.select(*names, F.least(F.lit(ALIKE), F.col("__m") - F.col("__p") * ALIKE).cast("long").alias("__m"), (F.col("__first") + F.col("__p") * ALIKE).alias("__first")).repartition("__first", *names)
+    both = few.unionByName(pieces)
+    return both.withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__m") - 1))).select(*names, (F.col("__first") + F.col("__k")).alias(out))
 
 
 def join_hot(rows: DataFrame, table: DataFrame, key: str, by: str, total: int, how: str = "inner", keep_n: bool = False) -> DataFrame:

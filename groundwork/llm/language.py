@@ -128,7 +128,7 @@ def fit(train: DataFrame, rows_per_language: int = 800, seed: int = 5) -> Langua
     """Model of labelled documents (doc_id, text, lang; rows without a text or lang are left out).
 
     The classifier sees a sample of about ``rows_per_language`` documents of each language,
-    at most twice that in all; document frequencies come from every document. A fifth of the
+    at most twice that in all (the rows with the smallest keys); document frequencies come from every document. A fifth of the
     sample fits the temperature only. Without documents the model knows no language.
     """
     train = train.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
@@ -196,7 +196,13 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def keep(docs: DataFrame, model: LanguageModel, least: float = 0.5) -> DataFrame:
-    """The rows and columns of ``docs`` whose text has a known language with a score of ``least`` or more."""
+    """The rows and columns of ``docs`` whose text has a known language with a score of ``least`` or more.
+
+    Null texts and texts without a letter go; other columns may have any names. A model
+    that knows no language (nothing was labelled) judges nothing: every row stays.
+    """
+    if not model.languages:
+        return docs
     at = docs.columns.index("text")
 
     def run(batches):

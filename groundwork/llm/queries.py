@@ -133,11 +133,11 @@ h AS (SELECT *, list_transform(list_append(k, length(text) - list_sum(k)), lambd
 e AS (SELECT *, {ended} FROM h),
 m AS (
   SELECT e.doc_id, n_words, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, length(text) AS n_chars,
-    least({", ".join(classes)}) AS cd, least({", ".join(words)}) AS wd
+    list_min([{", ".join(f"greatest({c} / {quality.CLASS_LIMIT}, ({c} + {w}) / {quality.SUM_LIMIT})" for c, w in zip(classes, words))}]) AS far
   FROM e LEFT JOIN rep USING (doc_id)),
 f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND (n_chars < {quality.LEAST_CHARS} OR n_words < {quality.LEAST_WORDS} OR (cd <= {quality.CLASS_LIMIT} AND cd + wd <= {quality.SUM_LIMIT})) AS kept
+  NOT base_failed AND (n_chars < {quality.LEAST_CHARS} OR n_words < {quality.LEAST_WORDS} OR far <= 1) AS kept
 FROM f
 """
 

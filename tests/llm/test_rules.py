@@ -9,7 +9,7 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from groundwork.llm import chat, language, packing, quality, queries, sharding
+from groundwork.llm import bpe_count, chat, language, packing, quality, queries, sharding
 from tests.llm.conftest import by_id
 
 
@@ -57,7 +57,7 @@ def test_divergence_rejects_junk_and_keeps_short_texts(spark):
     docs = spark.createDataFrame([(1, junk), (2, shuffled), (3, "a few words of text that are too short to be judged by their shares at all in this rule of mine")], "doc_id bigint, text string")
     assert {i: r["kept"] for i, r in by_id(quality.judge(docs)).items()} == {1: False, 2: False, 3: True}
     m = by_id(quality.measures(docs.withColumn("text", F.lit(prose))))[1]
-    assert 0 <= m["class_distance"] < 0.2
+    assert 0 <= m["class_distance"] <= quality.CLASS_LIMIT
 
 
 def test_quality_odd_rows(odd, empty):
@@ -147,29 +147,52 @@ def test_chat_digests_by_hand(spark):
     assert chat.digests(chat.format_chat(chat.message_events(conv.limit(0)))).count() == 0
 
 
+def plain_bounds(top, n, buckets):
+    """Least padding by the plain recurrence over all splits."""
+    best = {0: (0, [])}
+    for _ in range(min(buckets, len(top))):
+        now = {}
+        for j in range(1, len(top) + 1):
+            options = [(best[i][0] + sum((top[j - 1] - top[m]) * n[m] for m in range(i, j)), best[i][1] + [top[j - 1]]) for i in range(j) if i in best]
+            if options:
+                now[j] = min(options, key=lambda o: o[0])
+        best = now
+    return best[len(top)]
+
+
+def waste(bounds, lengths):
+    return sum(min(b for b in bounds if b >= x) - x for x in lengths)
+
+
 def test_bounds_have_the_least_padding():
     rng = np.random.default_rng(3)
-    for _ in range(20):
-        top = np.sort(rng.choice(60, 7, replace=False)).astype(float)
-        n = rng.integers(1, 9, 7).astype(float)
-        total = top * n
-        waste = lambda bounds: sum(next(b for b in bounds if b >= t) * c - s for t, c, s in zip(top, n, total))  # noqa: B023, E731
-        best = min(waste([*c, top[-1]]) for c in itertools.combinations(top[:-1], 2))
-        assert waste(packing.optimal_bounds(top, n, total, 3)) == best
-    assert packing.optimal_bounds(np.zeros(0), np.zeros(0), np.zeros(0), 4) == []
+    for size, buckets in ((7, 3), (1, 4), (4, 4), (3, 9), (40, 5), (60, 16)):
+        for _ in range(5):
+            top = np.sort(rng.choice(9_000, size, replace=False))
+            n = rng.integers(1, 50, size)
+            got = packing.optimal_bounds(top, n, buckets)
+            assert waste(got, np.repeat(top, n)) == plain_bounds(top.tolist(), n.tolist(), buckets)[0] and got == sorted(set(got))
+    assert packing.optimal_bounds(np.zeros(0), np.zeros(0), 4) == []
+
+
+def test_bounds_of_raw_token_counts(documents):
+    """The bounds of a whole table are optimal for its exact token counts, and these are the tokeniser's."""
+    counts = {r["doc_id"]: r["n_tokens"] for r in bpe_count.token_counts(documents).collect()}
+    rows = packing.pack(documents, buckets=4).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in rows} == counts
+    top, n = np.unique(list(counts.values()), return_counts=True)
+    assert sum(r["padding"] for r in rows) == plain_bounds(top.tolist(), n.tolist(), 4)[0]
 
 
 def test_batches(documents, odd, empty):
     rows = packing.pack(documents, buckets=5, token_budget=2_000).collect()
     assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in documents.collect())
-    words = {r["doc_id"]: len((r["text"] or "").split()) for r in documents.collect()}
     batches = {}
     for r in rows:
         assert r["n_tokens"] + r["padding"] == r["bound"] and r["padding"] >= 0
         batches.setdefault((r["bucket"], r["batch"]), []).append(r)
     for b in batches.values():
         assert sorted(r["slot"] for r in b) == list(range(len(b))) and (len(b) == 1 or len(b) * b[0]["bound"] <= 2_000)
-    assert sum(abs(words[r["doc_id"]] - r["n_tokens"]) for r in rows) <= len(rows)  # str.split() knows more white space
     small = packing.pack(documents, buckets=5, token_budget=2_000, slice_rows=7).collect()  # sliced ranks are the same
     assert {tuple(r) for r in small} == {tuple(r) for r in rows}
     assert packing.pack(odd).count() == odd.count() and packing.pack(empty).count() == 0
@@ -193,3 +216,153 @@ def test_shards(documents, odd, empty):
     got = sharding.interleave(odd, shards=3).collect()
     assert len(got) == odd.count() and sorted(r["size"] for r in got)[:2] == [16, 16]
     assert sharding.interleave(empty).count() == 0
+
+
+def plain_interleave(rows, shards, seed=29):
+    """(doc_id, source, size, crc, shard, slot) of (doc_id, source, text) rows by two plain sorts."""
+    made = []
+    for i, source, text in rows:
+        raw = (text or "").encode()
+        size, crc = len(raw) + 16, zlib.crc32(raw)
+        made.append((source, hashlib.md5(f"{seed}:{'~' if i is None else i}:{size}:{crc}".encode()).hexdigest(), i, size, crc))
+    made.sort(key=lambda r: (r[0] is not None, r[0] or "", r[1], -1 if r[2] is None else r[2], *r[3:]))
+    placed = []
+    for _, group in itertools.groupby(made, key=lambda r: r[0]):
+        group = list(group)
+        placed += [((2 * k + 1) / (2 * len(group)), r[0] is not None, r[0] or "", r) for k, r in enumerate(group)]
+    placed.sort(key=lambda p: p[:3])
+    out, n = [], len(placed)
+    for pos, (*_, (source, _, i, size, crc)) in enumerate(placed):
+        shard = pos * shards // n
+        out.append((i, source, size, crc, shard, pos - -(-shard * n // shards)))
+    return sorted(out, key=repr)
+
+
+def test_interleaving_equals_plain_sorts(spark, documents, odd):
+    names = ["doc_id", "source", "size", "text_crc32", "shard", "slot"]
+    hot = spark.createDataFrame([(7, "a", "x")] * 9_000 + [(None, None, None)] * 5_000 + [(i, "b", "y" * (i % 5)) for i in range(2_000)], "doc_id bigint, source string, text string")
+    for df, shards in ((documents, 7), (odd, 3), (hot, 40)):
+        want = plain_interleave([(r["doc_id"], r["source"], r["text"]) for r in df.collect()], shards)
+        for some in (20_000, 50):
+            got = sharding.interleave(df, shards=shards, slice_rows=some).select(*names).collect()
+            assert sorted(map(tuple, got), key=repr) == want
+
+
+def test_many_rows_alike_are_packed(spark):
+    hot = spark.createDataFrame([(7, "a b")] * 9_500 + [(None, None)] * 4_000 + [(i, "y " * (i % 5)) for i in range(500)], "doc_id bigint, text string")
+    rows = packing.pack(hot, buckets=3, token_budget=64, slice_rows=100).collect()
+    assert len(rows) == 14_000
+    slots = {}
+    for r in rows:
+        slots.setdefault((r["bucket"], r["batch"]), []).append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def plain_ftrl(rows, labels, k, alpha=2.0, beta=1.0, l1=0.02, l2=0.05, epochs=3, seed=5):
+    """Coordinate by coordinate, as the method is written down."""
+    z, n = {}, {}
+
+    def weight(at):
+        v = z.get(at, 0.0)
+        return 0.0 if abs(v) <= l1 else ((l1 if v > 0 else -l1) - v) / ((beta + math.sqrt(n.get(at, 0.0))) / alpha + l2)
+
+    rng = np.random.default_rng(seed)
+    for _ in range(epochs):
+        for r in rng.permutation(len(rows)):
+            x = [*zip(rows[r][0].tolist(), rows[r][1].tolist()), (language.BUCKETS, 1.0)]
+            w = {(i, c): weight((i, c)) for i, _ in x for c in range(k)}
+            logit = [sum(v * w[i, c] for i, v in x) for c in range(k)]
+            e = [math.exp(v - max(logit)) for v in logit]
+            for i, v in x:
+                for c in range(k):
+                    g = (e[c] / sum(e) - (c == labels[r])) * v
+                    old = n.get((i, c), 0.0)
+                    z[i, c] = z.get((i, c), 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / alpha * w[i, c]
+                    n[i, c] = old + g * g
+    return {at: weight(at) for at in z}
+
+
+def test_training_equals_plain_ftrl():
+    rng = np.random.default_rng(2)
+    rows = [(np.sort(rng.choice(30, 6, replace=False)), rng.random(6)) for _ in range(40)]
+    labels = [int(rows[i][0][0] % 3) for i in range(40)]
+    w, b = language.train_ftrl(rows, labels, 3)
+    want = plain_ftrl(rows, labels, 3)
+    got = {(i, c): (b[c] if i == language.BUCKETS else w[i, c]) for i, c in want}
+    assert all(abs(got[at] - v) < 1e-9 for at, v in want.items()) and any(v == 0 for v in want.values())
+
+
+def test_calibration_of_held_out_documents(documents):
+    """The temperature never was fitted on these rows, and it does not worsen their log loss."""
+    out = language.held_out(F.col("doc_id"))
+    model = language.fit(documents.filter(~out))
+    rows = [r for r in documents.filter(out).collect() if language.gram_counts(r["text"]) is not None]
+    x = model.vectors(np.stack([language.gram_counts(r["text"]) for r in rows]))
+    logits, y = x @ model.weights + model.bias, np.array([model.languages.index(r["lang"]) for r in rows])
+    loss = lambda t: float(-np.log(np.maximum(language.softmax(logits / t)[np.arange(len(y)), y], 1e-12)).mean())
+    assert loss(model.temperature) <= loss(1.0) + 0.01 and loss(model.temperature) < 0.2
+
+
+def test_unlabelled_rows_pass(documents):
+    bare = documents.withColumn("lang", F.lit(None).cast("string"))
+    assert language.keep(bare, language.fit(bare)).count() == documents.count()
+
+
+def test_one_language_for_both_distances(spark):
+    """Letters like one language and words like another are near none."""
+    from itertools import cycle, islice
+
+    german = " ".join(islice(cycle("der die und in den von zu das mit sich des auf straße häuser schön können müssen".split()), 300))
+    mixed = " ".join(islice(cycle("de la que el en y los se las del un por strengths mßchtschwrt bchschprlng krßftstrnk schlchtwrts".split()), 300))
+    got = by_id(quality.measures(spark.createDataFrame([(1, german), (2, mixed)], "doc_id bigint, text string")))
+    for i, text in ((1, german), (2, mixed)):
+        words, n = text.split(), len(text)
+        classes = [sum(c in "aeiou" for c in text), sum("a" <= c <= "z" and c not in "aeiou" for c in text), 0, 0, text.count(" "), 0]
+        p = [v / n for v in [*classes, n - sum(classes)]]
+        js = lambda p, q: math.sqrt(max(0.0, sum(sum(a * math.log2(2 * a / (a + b)) for a, b in ((x, y), (y, x)) if a > 0) for x, y in zip(p, q)) / 2))
+        pairs = []
+        for lang, q in quality.CLASS_SHARES.items():
+            common = quality.WORD_SHARES[lang]
+            w = [words.count(c) / len(words) for c in common]
+            pairs.append((js(p, q), js([*w, 1 - sum(w)], [*common.values(), 1 - sum(common.values())])))
+        want = min(pairs, key=lambda d: max(d[0] / quality.CLASS_LIMIT, (d[0] + d[1]) / quality.SUM_LIMIT))
+        assert abs(got[i]["class_distance"] - want[0]) < 1e-9 and abs(got[i]["word_distance"] - want[1]) < 1e-9
+
+
+def test_reference_shares_are_those_in_use(documents, data, spark):
+    good = documents.join(spark.read.parquet(f"{data}/labels.parquet").filter("quality = 1"), "doc_id")
+    for r in quality.reference_shares(good).collect():
+        assert all(abs(a - b) < 0.03 for a, b in zip(r["classes"], quality.CLASS_SHARES[r["lang"]]))
+        found = {w["word"]: w["share"] for w in r["words"]}
+        assert len(set(found) & set(quality.WORD_SHARES[r["lang"]])) >= 9
+
+
+def plain_fold(log):
+    """Event by event: a dictionary of turns."""
+    turns = {}
+    for seq, turn, kind, role, text in log:
+        if kind == "regenerate":
+            for later in [t for t in turns if t > turn]:
+                del turns[later]
+        old = turns.get(turn, [None, ""])
+        turns[turn] = [role if role is not None else old[0], old[1] + (text or "") if kind == "delta" else text or ""]
+    return {t: tuple(v) for t, v in turns.items()}
+
+
+def test_random_logs_equal_a_plain_fold(spark):
+    rng = np.random.default_rng(9)
+    logs, rows = {}, []
+    for c in range(60):
+        logs[c] = []
+        for seq in range(int(rng.integers(1, 40))):
+            kind = str(rng.choice(["message", "delta", "delta", "delta", "edit", "regenerate"]))
+            role = None if kind == "delta" and rng.random() < 0.7 else str(rng.choice(["user", "assistant"]))
+            text = None if rng.random() < 0.1 else str(rng.choice(["a", "bc", "<", "\\", "", "é"]))
+            logs[c].append((seq, int(rng.integers(0, 5)), kind, role, text))
+        rows += [(c, *e) for e in logs[c]]
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    got = {}
+    for r in chat.fold(spark.createDataFrame(rows, "conv_id bigint, seq bigint, turn bigint, kind string, role string, text string")).collect():
+        got.setdefault(r["conv_id"], {})[r["turn"]] = (r["role"], r["text"])
+    for c, log in logs.items():
+        assert got[c] == plain_fold(log), (c, log)
