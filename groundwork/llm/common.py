@@ -114,10 +114,10 @@ def ranked(df: DataFrame, group: list[str], key: str, digits: int, out: str) ->
 def join_hot(rows: DataFrame, table: DataFrame, key: str, by: str, total: int, how: str = "inner", keep_n: bool = False) -> DataFrame:
     """``rows`` joined with ``table``, unique by ``key``, whose column n is the number of rows that ask for a key.
 
-    A key that over a thousandth of the ``total`` rows ask for (so there are a thousand at
-    most, and their list is broadcast) is cut into slices by a hash of the column ``by``.
+    A key that over 1 / 500 of the ``total`` rows ask for (so there are 500 at most, and
+    their list is broadcast) is cut into slices by a hash of the column ``by``.
     """
-    limit = max(64, total // 1000)
+    limit = max(64, total // 500)
     slices = F.ceil(F.col("n") / limit)
     hot = table.filter(F.col("n") > limit).select(F.col(key).alias("__hot"), slices.alias("__slices"))
     left = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")

@@ -187,13 +187,13 @@ def _sized(x: np.ndarray, y: np.ndarray, similar: float) -> np.ndarray:
     return np.minimum(x, y) >= similar * np.maximum(x, y)
 
 
-def _forest(both: np.ndarray, pairs) -> pa.Table:
-    """u, v: a spanning forest of the rows of ``both`` under the index pairs; v is the first row of its tree."""
-    parent = np.arange(len(both))
+def _forest(ids: np.ndarray, pairs) -> pa.Table:
+    """u, v: a spanning forest of the ids of rows under the index pairs; v is the first row of its tree."""
+    parent = np.arange(len(ids))
     for i, j in pairs:
         parent = _join(parent, i, j)
-    child = np.nonzero(parent != np.arange(len(both)))[0]
-    return pa.table({name: pa.array([x.tobytes() for x in both[at]], pa.binary()) for name, at in (("u", child), ("v", parent[child]))})
+    child = np.nonzero(parent != np.arange(len(ids)))[0]
+    return pa.table({"u": pa.array(ids[child], pa.int64()), "v": pa.array(ids[parent[child]], pa.int64())})
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -205,11 +205,12 @@ def _compare(radius: int):
     """Links within the radius between the two sides of a tile pair."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        side, fp = rows.column("side").to_numpy(), _matrix(rows.column("fp"))
-        a, b = fp[side == 0], fp[side == 1]
+        side, fp, ids = rows.column("side").to_numpy(), _matrix(rows.column("fp")), rows.column("id").to_numpy()
+        order = np.argsort(side, kind="stable")
+        fp, ids, n = fp[order], ids[order], int((side == 0).sum())
         if key[0].as_py() == key[1].as_py():
-            return _forest(a, _links(a, a, radius))
-        return _forest(np.concatenate([a, b]), ((i, j + len(a)) for i, j in _links(a, b, radius)))
+            return _forest(ids, _links(fp, fp, radius))
+        return _forest(ids, ((i, j + n) for i, j in _links(fp[:n], fp[n:], radius)))
 
     return run
 
@@ -250,13 +251,13 @@ def _compare_cells(similar: float):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         x = _matrix(rows.column("fp"))
         two = key[1].as_py() != key[2].as_py()
-        return _forest(x, _cell_pairs(rows.column("cell").to_numpy(), x, rows.column("side").to_numpy() if two else None, similar))
+        return _forest(rows.column("id").to_numpy(), _cell_pairs(rows.column("cell").to_numpy(), x, rows.column("side").to_numpy() if two else None, similar))
 
     return run
 
 
 def cell_links(kinds: DataFrame, similar: float, tile_rows: int, bucket_rows: int) -> DataFrame:
-    """u, v: links between set nodes (fp, bands) whose components are those of all pairs in one cell that may be so similar.
+    """u, v: links between the ids of set nodes (id, fp, bands) whose components are those of all pairs in one cell that may be so similar.
 
     Many cells share a bucket of about ``bucket_rows`` rows. A cell of over ``tile_rows``
     and a thousandth of all rows is cut into tiles, compared pair by pair; there are
@@ -264,34 +265,34 @@ def cell_links(kinds: DataFrame, similar: float, tile_rows: int, bucket_rows: in
     """
     total = kinds.count() * BANDS
     limit = max(tile_rows, total // 1000)
-    dealt = kinds.select("fp", F.explode("bands").alias("cell"))
+    dealt = kinds.select("id", "fp", F.explode("bands").alias("cell"))
     large = dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select("cell", F.ceil(F.col("n") / tile_rows).alias("tiles"))
     rows = dealt.join(F.broadcast(large), "cell", "left")
-    own = F.when(F.col("tiles").isNull(), F.pmod(F.xxhash64("cell"), F.lit(max(1, -(-total // bucket_rows))))).otherwise(F.pmod(F.xxhash64("fp"), F.col("tiles")))
+    own = F.when(F.col("tiles").isNull(), F.pmod(F.xxhash64("cell"), F.lit(max(1, -(-total // bucket_rows))))).otherwise(F.pmod(F.xxhash64("id"), F.col("tiles")))
     other = F.when(F.col("tiles").isNull(), F.array("own")).otherwise(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
     rows = rows.withColumn("own", own).withColumn("at", F.when(F.col("tiles").isNotNull(), F.col("cell"))).withColumn("other", F.explode(other))
-    rows = rows.select("at", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cell", "fp")
-    return rows.groupBy("at", "a", "b").applyInArrow(_compare_cells(similar), "u binary, v binary")
+    rows = rows.select("at", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cell", "id", "fp")
+    return rows.groupBy("at", "a", "b").applyInArrow(_compare_cells(similar), "u bigint, v bigint")
 
 
 def tile_links(fps: DataFrame, radius: int, tile_rows: int) -> DataFrame:
-    """u, v: links between distinct fingerprints (fp, lo, hi) whose components are those of all links within the radius.
+    """u, v: links between the ids of distinct fingerprints (id, fp, lo, hi) whose components are those of all links within the radius.
 
     A cell holds the fingerprints whose halves' bit counts lie in the same steps; cells
     whose counts differ beyond the radius are never compared. A large cell is several tiles.
     """
     spark = fps.sparkSession
     step = 1 if radius <= WIDE else radius + 1
-    half = fps.select("fp", F.expr(f"lo div {step}").cast("int").alias("lo"), F.expr(f"hi div {step}").cast("int").alias("hi"))
+    half = fps.select("id", "fp", F.expr(f"lo div {step}").cast("int").alias("lo"), F.expr(f"hi div {step}").cast("int").alias("hi"))
     cells = {(r.lo, r.hi): -(-r.n // tile_rows) for r in half.groupBy("lo", "hi").agg(F.count(F.lit(1)).alias("n")).collect()}  # 33 x 33 at most
     apart = lambda x, y: max(0, (abs(x - y) - 1) * step + 1) if x != y else 0  # noqa: E731  the least difference of counts in steps x and y
     cell = lambda lo, hi: (lo * 64 + hi) << 20
     near = [(lo, hi, cell(lo, hi), n, [[cell(x, y), m] for (x, y), m in cells.items() if apart(x, lo) + apart(y, hi) <= radius]) for (lo, hi), n in cells.items()]
     near = F.broadcast(spark.createDataFrame(near, "lo int, hi int, cell bigint, tiles bigint, near array<array<bigint>>"))
-    own = half.join(near, ["lo", "hi"]).select("fp", "near", (F.col("cell") + F.pmod(F.xxhash64("fp"), F.col("tiles"))).alias("own"))
+    own = half.join(near, ["lo", "hi"]).select("id", "fp", "near", (F.col("cell") + F.pmod(F.xxhash64("id"), F.col("tiles"))).alias("own"))
     other = F.flatten(F.transform("near", lambda c: F.transform(F.sequence(F.lit(0).cast("long"), c[1] - 1), lambda k: c[0] + k)))
-    dealt = own.select("fp", "own", F.explode(other).alias("other")).select("fp", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    return dealt.groupBy("a", "b").applyInArrow(_compare(radius), "u binary, v binary")
+    dealt = own.select("id", "fp", "own", F.explode(other).alias("other")).select("id", "fp", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    return dealt.groupBy("a", "b").applyInArrow(_compare(radius), "u bigint, v bigint")
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -312,7 +313,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = join_hot(both, low, "u", "v", 2 * seen[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = join_hot(both, low, "u", "v", 2 * seen[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         small = join_hot(large, low, "u", "v", 2 * seen[0]).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         edges = cut(small.filter("u <> v").distinct())
@@ -329,9 +330,9 @@ def _verify(radius: int, similar: float):
     """A spanning forest of the pairs of set nodes whose sets are so similar; pairs that are joined already are not looked at."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        raw, sets = rows.column("node").to_pylist(), [np.frombuffer(s, np.uint64) for s in rows.column("shingles").to_pylist()]
-        nodes, side = np.frombuffer(b"".join(raw), np.uint64).reshape(len(raw), -1), rows.column("side").to_numpy()
-        alone = key[1].as_py() == key[2].as_py()
+        raw, sets = rows.column("id").to_pylist(), [np.frombuffer(s, np.uint64) for s in rows.column("shingles").to_pylist()]
+        nodes, side = _matrix(rows.column("fp")), rows.column("side").to_numpy()
+        alone = key[2].as_py() == key[3].as_py()
         at_a, at_b = np.nonzero(side == 0)[0], np.nonzero(side == (0 if alone else 1))[0]
         parent, found = list(range(len(raw))), []
 
@@ -352,7 +353,7 @@ def _verify(radius: int, similar: float):
                 if both / max(1, len(sets[x]) + len(sets[y]) - both) >= similar:
                     parent[max(p, q)] = min(p, q)
                     found.append((raw[x], raw[y]))
-        return pa.table({name: pa.array([f[k] for f in found], pa.binary()) for k, name in enumerate("uv")})
+        return pa.table({name: pa.array([f[k] for f in found], pa.int64()) for k, name in enumerate("uv")})
 
     return run
 
@@ -366,15 +367,14 @@ def verified_links(docs: DataFrame, kinds: DataFrame, similar: float, width: int
     near = cut(components(cell_links(kinds, similar, tile_rows, 4 * tile_rows)))
     count = near.count()
     near = cut(join_hot(near, near.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root", "node", count, keep_n=True))
-    tiles, spread = F.ceil(F.col("n") / set_rows), max(1, -(-count // set_rows))
-    bucket = F.when(tiles > 1, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(spread)).cast("string").cast("binary"))
-    asked = near.join(kinds, near.node == kinds.fp).select("node", bucket.alias("bucket"), tiles.cast("int").alias("tiles"), _name(F.col("first.doc_id")).alias("__of"), F.col("first.hash").alias("__key"))
+    tiles, spread = F.ceil(F.col("n") / set_rows).cast("int"), max(1, -(-count // set_rows))
+    asked = near.join(kinds, near.node == kinds.id).select("id", "fp", tiles.alias("tiles"), F.when(tiles > 1, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(spread))).alias("bucket"), _name(F.col("first.doc_id")).alias("__of"), F.col("first.hash").alias("__key"))
     texts = docs.select(_name(F.col("doc_id")).alias("__of"), _text_key().alias("__key"), "text").join(asked, ["__of", "__key"]).dropDuplicates(["__of", "__key"])
-    sets = map_texts(texts, lambda many: [pa.array([shingle_set(t, width).tobytes() for t in many], pa.binary())], "shingles binary", carry=("node", "bucket", "tiles"))
-    own = sets.withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    sets = map_texts(texts, lambda many: [pa.array([shingle_set(t, width).tobytes() for t in many], pa.binary())], "shingles binary", carry=("id", "fp", "tiles", "bucket"))
+    own = sets.withColumn("large", F.col("tiles") > 1).withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "shingles")
-    return dealt.groupBy("bucket", "a", "b").applyInArrow(_verify(CANDIDATE, similar), "u binary, v binary")
+    dealt = dealt.select("large", "bucket", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "fp", "shingles")
+    return dealt.groupBy("large", "bucket", "a", "b").applyInArrow(_verify(CANDIDATE, similar), "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, bits: int = 64, tile_rows: int = 32_768) -> DataFrame:
@@ -387,9 +387,9 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, bits: int
     row they reach has an id. An empty table gives an empty result.
     """
     fps = cut(fingerprints(docs, width, bits))
-    kinds = cut(fps.groupBy("fp").agg(F.max("lo").alias("lo"), F.max("hi").alias("hi"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
+    kinds = cut(fps.groupBy("fp").agg(F.max("lo").alias("lo"), F.max("hi").alias("hi"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).withColumn("id", F.monotonically_increasing_id()))
     roots = components(tile_links(kinds, radius, tile_rows))
-    linked = cut(kinds.join(roots, kinds.fp == roots.node).select("fp", "first", "n", "root"))
+    linked = cut(kinds.join(roots, kinds.id == roots.node).select("fp", "first", "n", "root"))
     least = linked.groupBy("root").agg(F.min("first").alias("component"), F.count(F.lit(1)).alias("n"))
     known = join_hot(linked.withColumnRenamed("n", "of"), least, "root", "fp", linked.count()).select("fp", "component", F.col("of").alias("n"))
     alone = kinds.filter("n > 1").join(linked, "fp", "left_anti").select("fp", F.col("first").alias("component"), "n")
@@ -419,9 +419,9 @@ def deduplicate(docs: DataFrame, width: int = 5, similar: float = 0.8, bits: int
     if similar < 0.8 or bits != 256:
         raise ValueError("candidates are made for a similarity of 0.8 or more in 256 bits")
     nodes = cut(set_nodes(docs.select("doc_id", _text_key().alias("hash"), "text"), width, bits, carry=("doc_id", "hash")))
-    kinds = cut(nodes.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("first"), F.first("bands").alias("bands")))
-    roots = components(verified_links(docs, kinds.select("fp", "bands", "first"), similar, width, tile_rows, set_rows))
-    kinds = kinds.join(roots, kinds.fp == roots.node, "left").select("first", "root")
+    kinds = cut(nodes.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("first"), F.first("bands").alias("bands")).withColumn("id", F.monotonically_increasing_id()))
+    roots = components(verified_links(docs, kinds, similar, width, tile_rows, set_rows))
+    kinds = kinds.join(roots, kinds.id == roots.node, "left").select("first", "root")
     winners = kinds.filter("root is not null").groupBy("root").agg(F.min("first").alias("first")).select("first").unionByName(kinds.filter("root is null").select("first"))
     winners = winners.select(_name(F.col("first.doc_id")).alias("__of"), F.col("first.hash").alias("__key"))
     rows = docs.select(whole_row(docs), _name(F.col("doc_id")).alias("__of"), _text_key().alias("__key"))

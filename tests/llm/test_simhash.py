@@ -44,9 +44,9 @@ def test_whole_table_equals_brute_force(documents):
 
 
 def made(spark, values, bits=64):
-    rows = [(i, v.to_bytes(bits // 8, "big")) for i, v in enumerate(values)]
+    rows = [(i, v.to_bytes(bits // 8, "big")) for i, v in enumerate(values)]  # id: the place in values
     half = lambda v, k: (v >> (bits // 2 if k else 0) & (1 << bits // 2) - 1).bit_count()
-    return spark.createDataFrame([(fp, half(v, 0), half(v, 1)) for (_, fp), v in zip(rows, values)], "fp binary, lo int, hi int").distinct()
+    return spark.createDataFrame([(i, fp, half(v, 0), half(v, 1)) for (i, fp), v in zip(rows, values)], "id bigint, fp binary, lo int, hi int")
 
 
 def test_links_of_chains_and_small_tiles(spark):
@@ -63,7 +63,7 @@ def test_links_of_chains_and_small_tiles(spark):
     want = plain_components(len(values), lambda i, j: (values[i] ^ values[j]).bit_count() <= 3)
     for tile in (3, 40, 10_000):
         roots = simhash.components(simhash.tile_links(made(spark, values), 3, tile))
-        got = {int.from_bytes(r["node"], "big"): int.from_bytes(r["root"], "big") for r in roots.collect()}
+        got = {values[r["node"]]: values[r["root"]] for r in roots.collect()}
         groups = {}
         for v, w in zip(values, want):
             groups.setdefault(w, set()).add(v)
