@@ -51,17 +51,18 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
 
 
 def majority(hashes: np.ndarray) -> np.ndarray:
-    """Bits set in over half of the hashes, as 8 big-endian bytes."""
-    n = len(hashes)
+    """Bits set in over half of the hashes of each row, as 8 big-endian bytes a row."""
+    rows, n = hashes.shape
     if not n:
-        return np.zeros(8, np.uint8)
-    blocks = np.zeros((-(-n // 255), 255), np.uint64)
-    blocks.reshape(-1)[:n] = hashes
-    bits = np.empty((8, 8), np.int64)  # [k, byte]: count of bit k of each byte, lowest byte first
+        return np.zeros((rows, 8), np.uint8)
+    blocks = np.zeros((rows, -(-n // 255) * 255), np.uint64)
+    blocks[:, :n] = hashes
+    blocks = blocks.reshape(rows, -1, 255)
+    bits = np.empty((8, rows, 8), np.int64)  # [k, row, byte]: count of bit k of each byte, lowest byte first
     for k in range(8):
-        sums = ((blocks >> np.uint64(k)) & _ONES).sum(axis=1, dtype=np.uint64)  # eight counters of up to 255 in one word
-        bits[k] = sums.astype("<u8").view(np.uint8).reshape(-1, 8).sum(axis=0, dtype=np.int64)
-    return np.packbits((2 * bits > n)[::-1, ::-1].T.reshape(-1))
+        sums = ((blocks >> np.uint64(k)) & _ONES).sum(axis=2, dtype=np.uint64)  # eight counters of up to 255 in one word
+        bits[k] = sums.astype("<u8").view(np.uint8).reshape(rows, -1, 8).sum(axis=1, dtype=np.int64)
+    return np.packbits((2 * bits > n)[::-1, :, ::-1].transpose(1, 2, 0).reshape(rows, 64), axis=1)
 
 
 def remix(hashes: np.ndarray) -> np.ndarray:
@@ -79,15 +80,29 @@ def fingerprint(text: str | None, width: int, bits: int = 64, repeats: bool = Tr
 
 
 def print_of(hashes: np.ndarray, bits: int) -> bytes:
-    parts = []
-    for _ in range(bits // 64):
-        parts.append(majority(hashes))
-        hashes = remix(hashes)
-    return np.concatenate(parts).tobytes()
+    words = [hashes]
+    while 64 * len(words) < bits:
+        words.append(remix(words[-1]))
+    return majority(np.stack(words)).tobytes()
+
+
+#: Hashes of the words a Python worker has seen; emptied when it is full.
+_WORDS: dict[bytes, int] = {}
+_PLACES = np.random.default_rng(SEED + 1).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
-    return np.unique(shingle_hashes(text, width))
+    """Distinct 64-bit hashes of the runs of ``width`` words, made of the words' hashes; of all words if there are fewer."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if len(_WORDS) > 400_000:
+        _WORDS.clear()
+    _WORDS.update((w, xxhash.xxh64_intdigest(w, seed=SEED)) for w in set(words).difference(_WORDS))
+    ids = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    width = min(width, len(ids))
+    if not width:
+        return ids
+    mixed = sum((ids[k : len(ids) - width + 1 + k] * _PLACES[k % 64] for k in range(1, width)), ids[: len(ids) - width + 1] * _PLACES[0])
+    return np.unique(remix(mixed + np.uint64(width)))
 
 
 def set_node(hashes: np.ndarray, bits: int) -> bytes:
@@ -98,8 +113,8 @@ def set_node(hashes: np.ndarray, bits: int) -> bytes:
 def band_keys(hashes: np.ndarray) -> np.ndarray:
     """BANDS signed 64-bit cells of a set of shingle hashes; sets share a cell of a band if the band's minima agree."""
     low = np.full(len(_FACTORS), np.iinfo(np.uint64).max)
-    for at in range(0, len(hashes), 256):
-        np.minimum(low, (hashes[at : at + 256, None] * _FACTORS).min(axis=0), out=low)
+    for at in range(0, len(hashes), 1_024):
+        np.minimum(low, (_FACTORS[:, None] * hashes[None, at : at + 1_024]).min(axis=1), out=low)
     key = np.arange(BANDS, dtype=np.uint64)
     for column in low.reshape(BANDS, BAND_ROWS).T:
         key = remix(key ^ column)
