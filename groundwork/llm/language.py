@@ -156,21 +156,21 @@ def fit(train: DataFrame, rows_per_language: int = 800, seed: int = 5) -> Langua
     def sparse(batches):
         for batch in batches:
             counts = [gram_counts(t) for t in batch.column(1).to_pylist()]
-            at = [np.nonzero(c)[0].tolist() if c is not None else [] for c in counts]
-            n = [c[c > 0].tolist() if c is not None else [] for c in counts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int32()))], names=["lang", "key", "at", "n"])
+            at = [(np.nonzero(c)[0] if c is not None else np.zeros(0)).astype("<i4").tobytes() for c in counts]
+            n = [(c[c > 0] if c is not None else np.zeros(0)).astype("<i4").tobytes() for c in counts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(at, pa.binary()), pa.array(n, pa.binary())], names=["lang", "key", "at", "n"])
 
     share = F.create_map(*[x for name in languages for x in (F.lit(name), F.lit(min(1.0, rows_per_language / sizes[name])))])
     key = F.xxhash64(F.lit(seed), "doc_id", "text")
     drawn = train.filter(F.pmod(key, F.lit(1_000_000)) / 1e6 < F.element_at(share, F.col("lang"))).select("lang", "text", key.alias("key"))
     # the bound: the smallest keys, merged from bounded heaps of the partitions
-    sample = drawn.mapInArrow(sparse, "lang string, key bigint, at array<int>, n array<int>").orderBy("key", "lang").limit(2 * rows_per_language * len(languages)).collect()
+    sample = drawn.mapInArrow(sparse, "lang string, key bigint, at binary, n binary").orderBy("key", "lang").limit(2 * rows_per_language * len(languages)).collect()
     model = LanguageModel(languages, idf, np.zeros((BUCKETS, len(languages)), np.float32), np.zeros(len(languages), np.float32))
     rows, labels = [], []
-    for r in sorted(sample, key=lambda r: (r["lang"], r["at"], r["n"])):
+    for r in sorted(sample, key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["n"]))):
         if r["at"]:
-            at = np.array(r["at"])
-            x = np.array(r["n"]) * idf[at]
+            at = np.frombuffer(r["at"], "<i4")
+            x = np.frombuffer(r["n"], "<i4") * idf[at]
             rows.append((at, x / np.linalg.norm(x)))
             labels.append(languages.index(r["lang"]))
     order = np.random.default_rng(seed).permutation(len(rows))

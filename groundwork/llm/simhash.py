@@ -342,14 +342,14 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def _verify(radius: int, similar: float):
-    """A spanning forest of the pairs of set nodes whose sets are so similar; pairs that are joined already are not looked at."""
+    """large, u, v: each node with the first node (v) of those it is joined with by sets so similar; pairs joined already are not looked at."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         raw, sets = rows.column("id").to_pylist(), [np.frombuffer(s, np.uint64) for s in rows.column("shingles").to_pylist()]
         nodes, side = _matrix(rows.column("fp")), rows.column("side").to_numpy()
         alone = key[2].as_py() == key[3].as_py()
         at_a, at_b = np.nonzero(side == 0)[0], np.nonzero(side == (0 if alone else 1))[0]
-        parent, found = list(range(len(raw))), []
+        parent = list(range(len(raw)))
 
         def find(x: int) -> int:
             while parent[x] != x:
@@ -367,17 +367,20 @@ def _verify(radius: int, similar: float):
                 both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
                 if both / max(1, len(sets[x]) + len(sets[y]) - both) >= similar:
                     parent[max(p, q)] = min(p, q)
-                    found.append((raw[x], raw[y]))
-        return pa.table({name: pa.array([f[k] for f in found], pa.int64()) for k, name in enumerate("uv")})
+        roots = np.fromiter(map(find, range(len(raw))), np.int64)
+        child, ids = np.nonzero(roots != np.arange(len(raw)))[0], np.array(raw, np.int64)
+        large = pa.array(np.full(len(child), key[0].as_py()), pa.bool_())
+        return pa.table({"large": large, "u": pa.array(ids[child], pa.int64()), "v": pa.array(ids[roots[child]], pa.int64())})
 
     return run
 
 
-def verified_links(docs: DataFrame, kinds: DataFrame, similar: float, width: int, tile_rows: int, set_rows: int) -> DataFrame:
-    """u, v: links between set nodes whose components are those of all links of ``similar`` or more in exact Jaccard similarity.
+def verified_roots(docs: DataFrame, kinds: DataFrame, similar: float, width: int, tile_rows: int, set_rows: int) -> DataFrame:
+    """node, root of the set nodes with links of ``similar`` or more in exact Jaccard similarity.
 
     Cells and fingerprints give candidates. Only their sets travel, to tiles of ``set_rows``
-    within their component of candidates; small components share a tile.
+    within their component of candidates; small components share a tile, and the links
+    found there are all there are of them, so only those over many tiles are joined again.
     """
     near = cut(components(cell_links(kinds, similar, tile_rows, 4 * tile_rows)))
     count = near.count()
@@ -389,7 +392,10 @@ def verified_links(docs: DataFrame, kinds: DataFrame, similar: float, width: int
     own = sets.withColumn("large", F.col("tiles") > 1).withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     dealt = dealt.select("large", "bucket", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "fp", "shingles")
-    return dealt.groupBy("large", "bucket", "a", "b").applyInArrow(_verify(CANDIDATE, similar), "u bigint, v bigint")
+    links = cut(dealt.groupBy("large", "bucket", "a", "b").applyInArrow(_verify(CANDIDATE, similar), "large boolean, u bigint, v bigint"))
+    small = links.filter("not large")
+    small = small.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(small.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    return small.unionByName(components(links.filter("large").select("u", "v")))
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, bits: int = 64, tile_rows: int = 32_768) -> DataFrame:
@@ -435,7 +441,7 @@ def deduplicate(docs: DataFrame, width: int = 5, similar: float = 0.8, bits: int
         raise ValueError("candidates are made for a similarity of 0.8 or more in 256 bits")
     nodes = cut(set_nodes(docs.select("doc_id", _text_key().alias("hash"), "text"), width, bits, carry=("doc_id", "hash")))
     kinds = cut(nodes.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("first"), F.first("bands").alias("bands")).withColumn("id", F.monotonically_increasing_id()))
-    roots = components(verified_links(docs, kinds, similar, width, tile_rows, set_rows))
+    roots = verified_roots(docs, kinds, similar, width, tile_rows, set_rows)
     kinds = kinds.join(roots, kinds.id == roots.node, "left").select("first", "root")
     winners = kinds.filter("root is not null").groupBy("root").agg(F.min("first").alias("first")).select("first").unionByName(kinds.filter("root is null").select("first"))
     winners = winners.select(_name(F.col("first.doc_id")).alias("__of"), F.col("first.hash").alias("__key"))
