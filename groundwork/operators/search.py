@@ -32,6 +32,20 @@ LOCATORS = ("address", "city", "zip", "owner", "owner_mailing", "tax_parcel_no",
 DATES = ("sale_date", "sale_time", "redemption_ends_at", "registered_date")
 PARCEL_FACTS = ("lot_sqft", "property_type_name")
 VALUES = ("market_value", "amount", "original_principal")
+TAX_OWNER = ("owner_name", "owner_name_2", "owner_mailing_address", "owner_mailing_city_state_zip")
+# Words for an event type in titles that locate nothing.
+LABELS = {
+    "sheriff_sale": "Foreclosure (sheriff sale)",
+    "foreclosure": "Foreclosure",
+    "tax_forfeit": "Tax-forfeit property",
+    "tax_delinquent": "Tax-delinquent property",
+    "tax_assessment": "Tax assessment",
+    "vacant": "Vacant/registered building",
+}
+OTHER_LABEL = "Distressed property"
+LOCKED_TEXT = "Details locked — upgrade to view owner, address, and amounts."
+#: Columns that locate nothing, shown at every tier; below standard a column in no list is hidden.
+SAFE = ("id", "source", "source_id", "event_type", "event_subtype", "severity", "category", "county", "status", "sale_status", "observed_at", "redemption_state", "redemption_relative", "equity_band", "vacancy_years", "is_redeemed", "days_listed", "tier", "tax_status", "imagery")
 
 
 def in_category(category: str, compat: bool = False) -> Column:
@@ -65,22 +79,26 @@ class Filters:
     multi_signal: int | None = None
     absentee: bool | None = None
     redeemed: bool | None = None  # False hides only rows known to be redeemed
-    sort: str = "observed_at"
-    descending: bool = True
+    sort: str = "event_date"
+    descending: bool = False
     limit: int = 50
     offset: int = 0
 
 
 #: Sorts by name; every one ends in the id.
 SORTS = {
+    "event_date": lambda: [F.col("event_date")],
+    "year_built": lambda: [F.col("year_built")],
+    "sqft": lambda: [F.col("sqft")],
+    "emv_total": lambda: [F.col("emv_total")],
     "observed_at": lambda: [F.col("observed_at")],
     "event_value": lambda: [F.col("event_value")],
     "market_value": lambda: [F.col("market_value")],
     "equity": lambda: [F.col("market_value") - F.col("event_value")],
     "redemption_urgency": lambda: [F.when(F.col("days_left") >= 0, 0).when(F.col("days_left") < 0, 1).otherwise(2), F.col("days_left")],
 }
-#: What a tier below premium may not hunt by.
-HUNTING = ("ranges", "outcomes", "multi_signal", "absentee", "redeemed")
+#: What the standard tier may not hunt by: every range and exact value, the redemption window, signals and absence.
+HUNTING = ("ranges", "equal", "redemption", "multi_signal", "absentee")
 
 
 def published_window(name: str, as_of: Column) -> Column:
@@ -164,12 +182,15 @@ def actionability() -> Column:
 
 
 def allowed(f: Filters, tier: str) -> Filters:
-    """What is left of the filters at a tier: below premium nothing to hunt by, and the default sort."""
-    if TIERS[tier] >= TIERS["premium"]:
+    """What is left of the filters at a tier.
+
+    Standard alone reads full rows and may not hunt: it loses HUNTING and takes the default
+    sort, in the direction asked for. Free and basic filter rows whose fields are locked.
+    """
+    if (tier or "free").lower() != "standard":
         return f
     plain = Filters()
-    cut = {name: getattr(plain, name) for name in HUNTING}
-    return replace(f, **cut, sort=plain.sort, descending=plain.descending)
+    return replace(f, **{name: getattr(plain, name) for name in HUNTING}, sort=plain.sort)
 
 
 def from_words(asked: dict[str, Any]) -> Filters:
@@ -205,35 +226,74 @@ def alert_due(cadence: Column, last_sent: Column, now: Column) -> Column:
     return F.coalesce(last_sent.isNull() | ((cadence == "daily") & (hours >= 20)) | ((cadence == "weekly") & (hours >= 164)), F.lit(False))
 
 
-def redact(rows: DataFrame, tier: str, dense: Column | None = None) -> DataFrame:
+def _label() -> Column:
+    known = F.create_map(*[x for pair in LABELS.items() for x in map(F.lit, pair)])
+    return F.coalesce(F.element_at(known, F.lower("event_type")), F.lit(OTHER_LABEL))
+
+
+def redact(rows: DataFrame, tier: str, dense: Column | None = None, shown: tuple[str, ...] = ()) -> DataFrame:
     """The rows as a tier may see them: hidden columns are null and have a ``_locked`` column beside them.
 
     Coarse cues (equity band, relative redemption) are added first. ``dense`` says whether
-    a row's county has enough rows to be named below standard.
+    a row's county has enough rows to be named below standard. Below premium ``raw`` is
+    hidden and ``tax_status`` loses its owner; below standard ``enrichment`` is hidden,
+    ``tax_status`` and ``imagery`` (structs) keep one flag each, title and description
+    become texts that locate nothing, and so is every column in no list here or in ``shown``.
+    A county that is not named is not named in the title either.
     """
-    rank = TIERS.get(tier, 0)
+    rank = TIERS.get((tier or "free").lower(), 0)
     if rank >= TIERS["premium"]:
         return rows
-    dense = F.lit(True) if dense is None else dense
-    have = rows.columns
-    cue = F.when(F.col("redemption_state").isin("expired", "outcome_pending"), "expired").when(F.col("redemption_state") == "expiring_soon", "ending_soon").when(F.col("redemption_state") == "in_redemption", "active").when(F.col("redemption_state") == "resolved", "resolved") if "redemption_state" in have else None
-    hidden = set(LEVERAGE)
-    if rank < TIERS["standard"]:
-        hidden |= {*LOCATORS, *DATES, *PARCEL_FACTS, "title", "description", "redemption_days_left"}
+    below = rank < TIERS["standard"]
+    dense = F.coalesce(dense, F.lit(False)) if dense is not None else F.lit(True)
+    have, kinds = rows.columns, dict(rows.dtypes)
+    hidden = {*LEVERAGE, "raw"}
+    if below:
+        hidden |= {*LOCATORS, *DATES, *PARCEL_FACTS, "redemption_days_left", "enrichment"}
+        hidden |= set(have) - {*SAFE, *VALUES, "title", "description", *shown}
     if rank < TIERS["basic"]:
         hidden |= set(VALUES)
-    kinds = dict(rows.dtypes)
+    band = F.col("equity_band") if "equity_band" in have else equity_band(F.col("market_value")) if "market_value" in have else F.lit(None).cast("string")
+    label = _label() if "event_type" in have else F.lit(OTHER_LABEL)
+    county = F.when(dense, F.col("county")) if "county" in have else F.lit(None).cast("string")
+
+    def block(c: str, name: str) -> list[Column]:
+        """A nested block, cut down; one that is no struct is hidden."""
+        if not kinds[c].startswith("struct<"):
+            return [F.lit(None).cast(kinds[c]).alias(c), F.lit(True).alias(f"{c}_locked")]
+        names = rows.schema[c].dataType.names
+        flag = F.col(c).getField(name) if name in names else F.lit(None).cast("boolean")
+        if below:
+            safe = F.struct((F.coalesce(flag.cast("boolean"), F.lit(False)) if c == "imagery" else flag).alias(name), F.lit(True).alias("locked"))
+        elif c == "imagery":
+            safe = F.col(c)
+        else:
+            kept = [(F.lit(None).cast(rows.schema[c].dataType[n].dataType) if n in TAX_OWNER else F.col(c).getField(n)).alias(n) for n in names]
+            safe = F.struct(*kept, F.lit(True).alias("owner_locked"))
+        return [F.when(F.col(c).isNotNull(), safe).alias(c)]
+
     out = []
     for c in have:
-        if c == "county" and rank < TIERS["standard"]:
-            out += [F.when(dense, F.col(c)).alias(c), (~dense & F.col(c).isNotNull()).alias("county_locked")]
+        if c == "equity_band":
+            continue
+        if c == "tax_status":
+            out += block(c, "redeemed_since_list")
+        elif c == "imagery":
+            out += block(c, "available")
+        elif c == "county" and below:
+            out += [county.alias(c), (~dense & F.col(c).isNotNull()).alias("county_locked")]
+        elif c == "title" and below:
+            out += [F.concat(label, F.coalesce(F.concat(F.lit(" — "), F.nullif(county, F.lit("")), F.lit(" County")), F.lit(""))).alias(c), F.lit(True).alias("title_locked")]
+        elif c == "description" and below:
+            cue = F.when(dense, band) if rank < TIERS["basic"] else band
+            out += [F.concat_ws(" ", F.concat(label, F.lit(".")), F.concat(F.lit("Estimated equity band: "), cue, F.lit(".")), F.lit(LOCKED_TEXT)).alias(c), F.lit(True).alias("description_locked")]
         elif c in hidden:
             out += [F.lit(None).cast(kinds[c]).alias(c), F.lit(True).alias(f"{c}_locked")]
         else:
             out.append(F.col(c))
-    if "market_value" in have:
-        band = equity_band(F.col("market_value"))
-        out.append((F.when(dense, band) if rank < TIERS["basic"] else band).alias("equity_band"))
-    if cue is not None:
-        out.append(cue.alias("redemption_relative"))
+    if "market_value" in have or "equity_band" in have:
+        out += [F.when(dense, band).alias("equity_band"), (~dense).alias("equity_band_locked")] if rank < TIERS["basic"] else [band.alias("equity_band")]
+    if "redemption_state" in have and "redemption_relative" not in have:
+        state = F.col("redemption_state")
+        out.append(F.when(state.isin("expired", "outcome_pending"), "expired").when(state == "expiring_soon", "ending_soon").when(state == "in_redemption", "active").when(state == "resolved", "resolved").alias("redemption_relative"))
     return rows.select(*out)

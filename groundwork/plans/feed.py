@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +52,9 @@ def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         at(OUTCOMES, k % 4).alias("outcome"),
         F.when(F.col("user_id") % 5 != 0, F.col("user_id") % 2 == 0).alias("is_absentee"),
         F.when(k % 4 != 0, k % 4 == 1).alias("is_redeemed"),
+        F.when(k % 6 != 0, 1900 + k).alias("year_built"),
+        F.when(F.col("user_id") % 9 != 0, F.col("user_id") * 7).alias("sqft"),
+        (F.col("c_acctbal") * 100).alias("emv_total"),
     )
     return rows.withColumn("days_left", F.datediff("redemption_date", as_of()).cast("long"))
 
@@ -70,6 +75,7 @@ feed AS (
     CASE WHEN k % 3 <> 0 THEN event_date + CAST(k * 3 - 100 AS INT) END AS redemption_date,
     CASE WHEN k % 10 = 1 THEN 'Sale postponed' WHEN k % 10 = 2 THEN 'Sold' END AS status, {_at(OUTCOMES, 'k % 4')} AS outcome,
     CASE WHEN user_id % 5 <> 0 THEN user_id % 2 = 0 END AS is_absentee, CASE WHEN k % 4 <> 0 THEN k % 4 = 1 END AS is_redeemed,
+    CASE WHEN k % 6 <> 0 THEN 1900 + k END AS year_built, CASE WHEN user_id % 9 <> 0 THEN user_id * 7 END AS sqft, c_acctbal * 100 AS emv_total,
     CASE WHEN k % 3 <> 0 THEN date_diff('day', DATE '{AS_OF}', event_date + CAST(k * 3 - 100 AS INT)) END AS days_left
   FROM feed0 LEFT JOIN customer ON user_id = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey)"""
 
@@ -132,7 +138,7 @@ PAGE = f"WITH {FEED} SELECT id, source, county, event_value, market_value FROM f
 
 @query("feed_page", PAGE)
 def feed_page(spark, sf_dir):
-    f = search.Filters(category="foreclosure", ranges={"event_value": (5, None)}, sort="equity", limit=50, offset=20)
+    f = search.Filters(category="foreclosure", ranges={"event_value": (5, None)}, sort="equity", descending=True, limit=50, offset=20)
     return search.page(feed(spark, sf_dir), f, as_of()).select("id", "source", "county", "event_value", "market_value")
 
 
@@ -153,21 +159,51 @@ def dedupe_best_row(spark, sf_dir):
     return best_per_key(feed(spark, sf_dir), "parcel_key", [search.actionability(), F.col("id")]).select("id", "parcel_key", "source")
 
 
+BAND = "CASE WHEN market_value >= 100000 THEN 'high' WHEN market_value >= 40000 THEN 'moderate' WHEN market_value > 0 THEN 'low' END"
+LABEL = "CASE lower(event_type) WHEN 'sheriff_sale' THEN 'Foreclosure (sheriff sale)' WHEN 'foreclosure' THEN 'Foreclosure' WHEN 'tax_forfeit' THEN 'Tax-forfeit property' WHEN 'tax_delinquent' THEN 'Tax-delinquent property' WHEN 'tax_assessment' THEN 'Tax assessment' WHEN 'vacant' THEN 'Vacant/registered building' ELSE 'Distressed property' END"
+REDACTED = f"""WITH {FEED}, s AS (SELECT *, market_value * 30 AS mv, k >= 50 AS dense FROM feed), b AS (SELECT * EXCLUDE (market_value), mv AS market_value FROM s), t AS (SELECT *, {BAND} AS band, {LABEL} AS label FROM b)"""
+LOW = "CAST(NULL AS VARCHAR) AS owner, CAST(NULL AS VARCHAR) AS raw, CAST(NULL AS VARCHAR) AS enrichment, CAST(NULL AS VARCHAR) AS odd, CAST(NULL AS VARCHAR) AS pano, true AS imagery_there, k % 2 = 0 AS tax_redeemed, CAST(NULL AS VARCHAR) AS tax_owner, CAST(NULL AS BIGINT) AS tax_years, CASE WHEN dense THEN county END AS county, NOT dense AND county IS NOT NULL AS county_locked, label || CASE WHEN dense AND county IS NOT NULL THEN ' — ' || county || ' County' ELSE '' END AS title"
+
+
 @query(
     "redact_tiers",
-    f"""WITH {FEED}, s AS (SELECT id, county, owner, market_value, CAST(event_value AS DOUBLE) AS amount, k >= 50 AS dense FROM feed)
-    SELECT id, CASE WHEN dense THEN county END AS county, CAST(NULL AS VARCHAR) AS owner, true AS owner_locked, NOT dense AND county IS NOT NULL AS county_locked,
-      CAST(NULL AS DOUBLE) AS market_value, true AS market_value_locked, CAST(NULL AS DOUBLE) AS amount, true AS amount_locked,
-      CASE WHEN dense THEN CASE WHEN market_value >= 100000 THEN 'high' WHEN market_value >= 40000 THEN 'moderate' WHEN market_value > 0 THEN 'low' END END AS equity_band, 'free' AS tier FROM s
-    UNION ALL SELECT id, county, owner, false, false, market_value, false, amount, false,
-      CASE WHEN market_value >= 100000 THEN 'high' WHEN market_value >= 40000 THEN 'moderate' WHEN market_value > 0 THEN 'low' END, 'standard' FROM s""",
+    f"""{REDACTED}
+    SELECT id, 'free' AS tier, {LOW}, label || '.' || coalesce(' Estimated equity band: ' || CASE WHEN dense THEN band END || '.', '') || ' Details locked — upgrade to view owner, address, and amounts.' AS description,
+      CAST(NULL AS DOUBLE) AS market_value, CASE WHEN dense THEN band END AS equity_band, NOT dense AS equity_band_locked FROM t
+    UNION ALL SELECT id, 'basic', {LOW}, label || '.' || coalesce(' Estimated equity band: ' || band || '.', '') || ' Details locked — upgrade to view owner, address, and amounts.', market_value, band, false FROM t
+    UNION ALL SELECT id, 'standard', owner, NULL, 'facts', 'odd', 'pano', true, k % 2 = 0, NULL, k, county, false, 'Sale of ' || owner, owner || ' owes', market_value, band, false FROM t
+    UNION ALL SELECT id, 'premium', owner, 'raw', 'facts', 'odd', 'pano', true, k % 2 = 0, owner, k, county, false, 'Sale of ' || owner, owner || ' owes', market_value, NULL, false FROM t
+    UNION ALL SELECT id, 'admin', owner, 'raw', 'facts', 'odd', 'pano', true, k % 2 = 0, owner, k, county, false, 'Sale of ' || owner, owner || ' owes', market_value, NULL, false FROM t""",
 )
 def redact_tiers(spark, sf_dir):
-    rows = feed(spark, sf_dir).select("id", "county", "owner", "market_value", F.col("event_value").cast("double").alias("amount"), (F.col("k") >= 50).alias("dense"))
-    free = search.redact(rows, "free", F.col("dense")).withColumn("tier", F.lit("free")).drop("dense")
-    standard = search.redact(rows, "standard", F.col("dense")).withColumn("tier", F.lit("standard")).drop("dense")
-    locks = {c: F.lit(False) for c in free.columns if c.endswith("_locked")}
-    return free.unionByName(standard.withColumns(locks))
+    rows = feed(spark, sf_dir).select(
+        "id",
+        "county",
+        "event_type",
+        "owner",
+        (F.col("market_value") * 30).alias("market_value"),
+        F.concat(F.lit("Sale of "), "owner").alias("title"),
+        F.concat("owner", F.lit(" owes")).alias("description"),
+        F.lit("raw").alias("raw"),
+        F.lit("facts").alias("enrichment"),
+        F.lit("odd").alias("odd"),
+        F.struct(F.lit(True).alias("available"), F.lit("pano").alias("pano_id")).alias("imagery"),
+        F.struct((F.col("k") % 2 == 0).alias("redeemed_since_list"), F.col("owner").alias("owner_name"), F.col("k").alias("years_delinquent")).alias("tax_status"),
+        (F.col("k") >= 50).alias("dense"),
+    )
+    parts = []
+    for tier in search.TIERS:
+        seen = search.redact(rows, tier, F.col("dense"), shown=("dense",))
+        have = seen.columns
+        nested = lambda c, f, kind: F.col(c).getField(f) if f in seen.schema[c].dataType.names else F.lit(None).cast(kind)  # noqa: E731, B023
+        parts.append(
+            seen.select(
+                "id", F.lit(tier).alias("tier"), "owner", "raw", "enrichment", "odd", nested("imagery", "pano_id", "string").alias("pano"), F.col("imagery.available").alias("imagery_there"), F.col("tax_status.redeemed_since_list").alias("tax_redeemed"),
+                nested("tax_status", "owner_name", "string").alias("tax_owner"), nested("tax_status", "years_delinquent", "bigint").alias("tax_years"), "county", (F.col("county_locked") if "county_locked" in have else F.lit(False)).alias("county_locked"), "title", "description", "market_value",
+                (F.col("equity_band") if "equity_band" in have else F.lit(None).cast("string")).alias("equity_band"), (F.col("equity_band_locked") if "equity_band_locked" in have else F.lit(False)).alias("equity_band_locked"),
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query(
@@ -180,7 +216,28 @@ def saved_search_counts(spark, sf_dir):
     return search.saved_search_counts(feed(spark, sf_dir), asked, as_of())
 
 
-@query("filter_gating", f"WITH {FEED} SELECT id FROM feed WHERE source = 'mpls_vbr' ORDER BY observed_at DESC NULLS LAST, id LIMIT 25")
+SORT_SQL = {"event_date": "event_date", "event_value": "event_value", "observed_at": "observed_at", "equity": "market_value - event_value", "year_built": "year_built", "sqft": "sqft", "emv_total": "emv_total"}
+
+
+@query(
+    "feed_sorts",
+    f"WITH {FEED} " + " UNION ALL ".join(f"SELECT id, '{name}' AS sort, '{d}' AS dir FROM (SELECT id FROM feed ORDER BY {key} {d} NULLS LAST, id LIMIT 60 OFFSET 5)" for name, key in SORT_SQL.items() for d in ("asc", "desc")),
+)
+def feed_sorts(spark, sf_dir):
+    rows = feed(spark, sf_dir)
+    pages = [search.page(rows, search.Filters(sort=name, descending=d == "desc", limit=60, offset=5), as_of()).select("id", F.lit(name).alias("sort"), F.lit(d).alias("dir")) for name in SORT_SQL for d in ("asc", "desc")]
+    return reduce(DataFrame.unionByName, pages)
+
+
+HUNTED = "(SELECT id FROM feed WHERE source = 'mpls_vbr' AND is_absentee AND event_value >= 50 AND year_built = 1955 AND CASE WHEN redemption_date IS NOT NULL THEN days_left < 0 ELSE date_diff('day', event_date, DATE '2024-02-15') > 182 END ORDER BY market_value - event_value DESC NULLS LAST, id LIMIT 25)"
+
+
+@query(
+    "filter_gating",
+    f"WITH {FEED} SELECT id, 'standard' AS tier FROM (SELECT id FROM feed WHERE source = 'mpls_vbr' ORDER BY event_date DESC NULLS LAST, id LIMIT 25) "
+    + " ".join(f"UNION ALL SELECT id, '{t}' FROM {HUNTED}" for t in ("free", "basic", "premium", "admin")),
+)
 def filter_gating(spark, sf_dir):
-    asked = search.Filters(category="vacant", ranges={"event_value": (50, None)}, absentee=True, sort="equity", limit=25)
-    return search.page(feed(spark, sf_dir), search.allowed(asked, "standard"), as_of()).select("id")
+    rows = feed(spark, sf_dir)
+    asked = search.Filters(category="vacant", ranges={"event_value": (50, None)}, equal={"year_built": 1955}, redemption="expired", absentee=True, sort="equity", descending=True, limit=25)
+    return reduce(DataFrame.unionByName, [search.page(rows, search.allowed(asked, t), as_of()).select("id", F.lit(t).alias("tier")) for t in search.TIERS])

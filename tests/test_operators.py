@@ -77,12 +77,30 @@ def test_bands_need_fifteen(spark):
 
 
 def test_gating_and_words():
-    asked = search.Filters(category="vacant", multi_signal=3, sort="equity")
-    assert search.allowed(asked, "standard") == search.Filters(category="vacant")
-    assert search.allowed(asked, "premium") is asked
+    asked = search.Filters(category="vacant", county="anoka", status="active", multi_signal=3, ranges={"sqft": (1, None)}, equal={"property_type": "x"}, redemption="expired", absentee=True, outcomes=("foreclosed",), sort="equity", descending=True)
+    assert search.allowed(asked, "standard") == search.Filters(category="vacant", county="anoka", status="active", outcomes=("foreclosed",), descending=True)
+    assert all(search.allowed(asked, tier) is asked for tier in ("free", "basic", "premium", "admin", "unknown"))
+    assert search.Filters().sort == "event_date" and not search.Filters().descending
     assert search.from_words({"category": "nope", "sort": "x", "limit": 900, "county": "Anoka", "odd": 1}) == search.Filters(county="Anoka")
 
 
+def test_redaction_leaks_nothing(spark):
+    """No value of a row that locates, names or prices it is anywhere in what a low tier gets."""
+    rows = spark.createDataFrame(
+        [("s", "tax_forfeit", "Anoka", "12 Elm St", "Jane Doe", 90_000.0, "Jane Doe owes 9", "text Jane Doe", '{"owner":"Jane Doe"}', "1923", ("p1", True), (True, "Jane Doe", 4), "Jane Doe", 5)],
+        "source string, event_type string, county string, address string, owner string, market_value double, title string, description string, raw string, enrichment string, imagery struct<pano_id: string, available: boolean>, tax_status struct<redeemed_since_list: boolean, owner_name: string, years: int>, novel string, redemption_days_left int",
+    )
+    free, basic, standard = (search.redact(rows, t, F.lit(t != "free")).first() for t in ("free", "basic", "standard"))
+    for row, secret in ((free, ("Jane", "Elm", "p1", "1923", "Anoka", "90000")), (basic, ("Jane", "Elm", "p1", "1923"))):
+        assert not any(word in repr(row) for word in secret)
+    assert free["equity_band"] is None and free["equity_band_locked"] and free["tax_status"].asDict() == {"redeemed_since_list": True, "locked": True}
+    assert free["imagery"].asDict() == {"available": True, "locked": True} and free["raw_locked"] and free["enrichment_locked"] and free["novel_locked"]
+    assert basic["title"] == "Tax-forfeit property — Anoka County" and basic["description"].startswith("Tax-forfeit property. Estimated equity band: moderate. Details locked")
+    assert standard["address"] == "12 Elm St" and standard["raw"] is None and standard["raw_locked"] and standard["enrichment"] == "1923" and standard["imagery"]["pano_id"] == "p1"
+    assert standard["tax_status"].asDict() == {"redeemed_since_list": True, "owner_name": None, "years": 4, "owner_locked": True} and standard["title"] == "Jane Doe owes 9"
+    assert search.redact(rows, "premium").first() == rows.first() and search.redact(rows, None).columns == search.redact(rows, "free").columns
+
+
 def test_alerts(spark):
     rows = spark.createDataFrame([("daily", "2026-01-01 00:00:00"), ("daily", "2026-01-01 05:00:00"), ("weekly", "2025-12-25 00:00:00"), ("weekly", None)], "c string, t string")
     now = F.lit("2026-01-01 21:00:00").cast("timestamp")
