@@ -83,6 +83,6 @@ def city_state_zip(line: Column) -> Column:
 
 def title_case(text: Column) -> Column:
     """First letter of every run of letters in upper case, the others in lower case."""
-    marked = F.regexp_replace(F.lower(text), r"([a-z]+)", "\u0001$1")
+    marked = F.regexp_replace(F.lower(text), r"(\p{L}+)", "\u0001$1")
     parts = F.split(marked, "\u0001")
     return F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, F.length(p)))), ""))

@@ -126,7 +126,7 @@ def retire_stale(stored: DataFrame, forfeit_now: DataFrame, delinquent_now: Data
     A delinquent that is now forfeited is ``forfeited``, one on no list ``cured``; a
     forfeit on no list is ``source_removed``. With too few mined rows or too many
     retirements nothing is retired: the lists are then suspect, not the rows. The two
-    counts behind this guard are taken when the function is called.
+    counts behind this guard are scalar subqueries of the same plan.
     """
     f = forfeit_now.select(F.col(key).alias("__f")).distinct()
     d = delinquent_now.select(F.col(key).alias("__d")).distinct()
@@ -134,8 +134,8 @@ def retire_stale(stored: DataFrame, forfeit_now: DataFrame, delinquent_now: Data
     forfeited, listed = F.col("__f").isNotNull(), F.col("__f").isNotNull() | F.col("__d").isNotNull()
     how = F.when((F.col("kind") == "delinquent") & forfeited, "forfeited").when((F.col("kind") == "delinquent") & ~listed, "cured").when((F.col("kind") == "forfeit") & ~listed, "source_removed")
     out = marked.select(key, "kind", how.alias("retired_as")).filter("retired_as is not null")
-    sound = f.union(d).distinct().count() >= least_mined and out.count() <= most_retired
-    return out if sound else out.limit(0)
+    count = lambda df: df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return out.filter((count(f.union(d).distinct()) >= least_mined) & (count(out) <= most_retired))
 
 
 def collapse_cases(rows: DataFrame, case: str, date: str, rank: Column, tie: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 def unique_index(spine: DataFrame, keys: Sequence[str], target: str) -> DataFrame:
     """keys, target, n_targets: one row of each key; the target only where it is the only one."""
+    spine = spine.filter(F.col(target).isNotNull())
     found = spine.filter(F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False)) == F.lit(False)).groupBy(*keys).agg(F.min(target).alias("__low"), F.max(target).alias("__high"))
     one = F.col("__low") == F.col("__high")
     return found.select(*keys, F.when(one, F.col("__low")).alias(target), F.when(one, 1).otherwise(2).alias("n_targets"))
@@ -55,22 +57,28 @@ def bearing(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     return F.pmod(F.degrees(F.atan2(y, x)) + 360, F.lit(360.0))
 
 
-def within_radius(left: DataFrame, right: DataFrame, metres: float, left_at: tuple[str, str] = ("lat", "lng"), right_at: tuple[str, str] = ("lat2", "lng2"), most_lat: float = 75.0) -> DataFrame:
+def within_radius(left: DataFrame, right: DataFrame, metres: float, left_at: tuple[str, str] = ("lat", "lng"), right_at: tuple[str, str] = ("lat2", "lng2")) -> DataFrame:
     """Pairs of rows up to ``metres`` apart, with the distance ``metres_apart``.
 
-    Both sides are dealt into grid cells at least ``metres`` wide at every latitude up to
-    ``most_lat``; only the right side is copied, to the nine cells around its own, so the
-    join is an equi-join on the cell. Points beyond that latitude are left out.
+    Latitude bands are ``metres`` high; each is cut into as many cells as are wide enough at
+    the latitude nearest a pole of it and its neighbours (one cell at the poles), counted
+    around the globe, so the 180th meridian is no border. Only the right side is copied, to
+    the cells around its own, and the join is an equi-join on band and cell. Rows
+    without a position have no pair.
     """
-    import math
-
-    high = metres / (EARTH_M * math.pi / 180) * 1.0001
-    wide = high / math.cos(math.radians(most_lat))
-    cell = lambda c, size: F.floor(c / size)
-    a = left.filter(F.abs(F.col(left_at[0])) <= most_lat).withColumns({"__y": cell(F.col(left_at[0]), high), "__x": cell(F.col(left_at[1]), wide)})
-    around = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
-    b = right.filter(F.abs(F.col(right_at[0])) <= most_lat).withColumn("__n", F.explode(around))
-    b = b.withColumns({"__by": cell(F.col(right_at[0]), high) + F.col("__n.dy"), "__bx": cell(F.col(right_at[1]), wide) + F.col("__n.dx")}).drop("__n")
+    high = math.degrees(metres / EARTH_M) * 1.0001
+
+    def cells(band: Column) -> Column:
+        edge = F.least(F.greatest(F.abs((band - 1) * high - 90), F.abs((band + 2) * high - 90)), F.lit(90.0))
+        wide = F.degrees(2 * F.asin(F.least(F.lit(1.0), math.sin(min(metres / EARTH_M, math.pi) / 2) / F.greatest(F.cos(F.radians(edge)), F.lit(1e-12))))) * 1.0001
+        return F.greatest(F.floor(360 / wide), F.lit(1)).cast("long")
+
+    band_of = lambda lat: F.floor((F.col(lat) + 90) / high)
+    place = lambda lng, n: F.pmod(F.floor((F.col(lng) + 180) / 360 * n), n)
+    a = left.withColumn("__y", band_of(left_at[0])).withColumn("__x", place(left_at[1], cells(F.col("__y"))))
+    b = right.withColumn("__by", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: band_of(right_at[0]) + d))).withColumn("__n", cells(F.col("__by")))
+    around = F.array_distinct(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.pmod(place(right_at[1], F.col("__n")) + d, F.col("__n"))))
+    b = b.withColumn("__bx", F.explode(around)).drop("__n")
     apart = haversine(F.col(left_at[0]), F.col(left_at[1]), F.col(right_at[0]), F.col(right_at[1]))
     pairs = a.join(b, (F.col("__y") == F.col("__by")) & (F.col("__x") == F.col("__bx"))).withColumn("metres_apart", apart)
     return pairs.filter(F.col("metres_apart") <= metres).drop("__x", "__y", "__bx", "__by")
@@ -104,9 +112,16 @@ def exact_or_latest(rows: DataFrame, tracker: DataFrame, keys: Sequence[str], da
 
 
 def scoped(rows: DataFrame, levels: Sequence[tuple[str, DataFrame, Sequence[str]]], value: str) -> DataFrame:
-    """``value`` of the narrowest level that has one: each level is (name, table unique in its keys, keys); ``scope`` is its name."""
+    """``value`` of the narrowest level that has one: each level is (name, table unique in its keys, keys); ``scope`` is its name.
+
+    A level without keys is one value for all rows: the largest of its table, a scalar subquery.
+    """
     out, names = rows, []
     for n, (name, data, keys) in enumerate(levels):
+        if not keys:
+            out = out.withColumn(f"__v{n}", data.agg(F.max(value).alias("m")).scalar())
+            names.append(name)
+            continue
         data = data.select(*[F.col(k).alias(f"__{n}_{k}") for k in keys], F.col(value).alias(f"__v{n}"))
         on = F.lit(True)
         for k in keys:

@@ -106,14 +106,14 @@ def snapshot_reconcile(spark, sf_dir):
 
 @query(
     "stale_retirement",
-    """WITH s AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'delinquent' ELSE 'forfeit' END AS kind FROM customer WHERE c_custkey < 1000)
+    """WITH s AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'delinquent' ELSE 'forfeit' END AS kind FROM customer)
     SELECT id, kind, CASE WHEN kind = 'delinquent' AND id % 3 = 0 THEN 'forfeited' WHEN kind = 'delinquent' THEN 'cured' ELSE 'source_removed' END AS retired_as FROM s
     WHERE (kind = 'delinquent' AND (id % 3 = 0 OR id % 5 <> 0)) OR (kind = 'forfeit' AND id % 3 <> 0 AND id % 5 <> 0)""",
 )
 def stale_retirement(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").filter("c_custkey < 1000").select(F.col("c_custkey").alias("id"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
     stored = c.withColumn("kind", F.when(F.col("id") % 2 == 0, "delinquent").otherwise("forfeit"))
-    return merge.retire_stale(stored, c.filter("id % 3 = 0"), c.filter("id % 5 = 0"), "id", least_mined=10)
+    return merge.retire_stale(stored, c.filter("id % 3 = 0"), c.filter("id % 5 = 0"), "id", least_mined=10, most_retired=10**12)
 
 
 @query(

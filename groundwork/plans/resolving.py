@@ -70,13 +70,13 @@ def resolve_address(spark, sf_dir):
 
 @query(
     "radius_join",
-    """WITH a AS (SELECT s_suppkey, 44 + (s_suppkey % 10) * 0.001 AS lat, -93 + (s_suppkey % 17) * 0.001 AS lng FROM supplier), b AS (SELECT p_partkey, 44 + (p_partkey % 12) * 0.0011 AS lat2, -93 + (p_partkey % 19) * 0.0009 AS lng2 FROM part WHERE p_partkey < 300),
+    """WITH a AS (SELECT s_suppkey, 44 + s_suppkey * 0.0005 AS lat, -93 + (s_suppkey % 7) * 0.001 AS lng FROM supplier), b AS (SELECT p_partkey, 44 + p_partkey * 0.0001 AS lat2, -93 + (p_partkey % 5) * 0.001 AS lng2 FROM part),
     d AS (SELECT s_suppkey, p_partkey, 2 * 6371000.0 * asin(sqrt(least(pow(sin(radians(lat2 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(lat2)) * pow(sin(radians(lng2 - lng) / 2), 2), 1.0))) AS m FROM a, b)
     SELECT s_suppkey, p_partkey, CAST(round(m) AS BIGINT) AS metres FROM d WHERE m <= 250""",
 )
 def radius_join(spark, sf_dir):
-    a = table(spark, sf_dir, "supplier").select("s_suppkey", (44 + (F.col("s_suppkey") % 10) * 0.001).alias("lat"), (-93 + (F.col("s_suppkey") % 17) * 0.001).alias("lng"))
-    b = table(spark, sf_dir, "part").filter("p_partkey < 300").select("p_partkey", (44 + (F.col("p_partkey") % 12) * 0.0011).alias("lat2"), (-93 + (F.col("p_partkey") % 19) * 0.0009).alias("lng2"))
+    a = table(spark, sf_dir, "supplier").select("s_suppkey", (44 + F.col("s_suppkey") * 0.0005).alias("lat"), (-93 + (F.col("s_suppkey") % 7) * 0.001).alias("lng"))
+    b = table(spark, sf_dir, "part").select("p_partkey", (44 + F.col("p_partkey") * 0.0001).alias("lat2"), (-93 + (F.col("p_partkey") % 5) * 0.001).alias("lng2"))
     return resolve.within_radius(a, b, 250).select("s_suppkey", "p_partkey", F.round("metres_apart").cast("long").alias("metres"))
 
 
@@ -96,15 +96,15 @@ def package_explode(spark, sf_dir):
 
 @query(
     "name_match",
-    """WITH p AS (SELECT s_suppkey, 'Ann ' || CASE WHEN s_suppkey % 3 = 0 THEN 'Q ' ELSE '' END || 'L' || chr(CAST(97 + s_suppkey % 20 AS INT)) || 'son' AS person FROM supplier),
-    o AS (SELECT p_partkey, 'L' || chr(CAST(97 + p_partkey % 26 AS INT)) || 'SON, ' || CASE WHEN p_partkey % 4 = 0 THEN 'BOB' ELSE 'ANN' END || CASE WHEN p_partkey % 5 = 0 THEN ' R' ELSE '' END AS owner FROM part WHERE p_partkey < 200)
-    SELECT s_suppkey, p_partkey FROM p, o WHERE lower(split_part(owner, ',', 1)) = 'l' || chr(CAST(97 + s_suppkey % 20 AS INT)) || 'son' AND p_partkey % 4 <> 0 AND NOT (s_suppkey % 3 = 0 AND p_partkey % 5 = 0)""",
+    """WITH p AS (SELECT s_suppkey, 'l' || translate(CAST(s_suppkey AS VARCHAR), '0123456789', 'abcdefghij') || 'son' AS surname FROM supplier),
+    o AS (SELECT p_partkey, 'l' || translate(CAST(p_partkey // 20 AS VARCHAR), '0123456789', 'abcdefghij') || 'son' AS surname FROM part)
+    SELECT s_suppkey, p_partkey FROM p JOIN o USING (surname) WHERE p_partkey % 4 <> 0 AND NOT (s_suppkey % 3 = 0 AND p_partkey % 5 = 0)""",
 )
 def name_match(spark, sf_dir):
-    letter = lambda x: F.char(x + 97)
+    letters = lambda x: F.translate(x.cast("string"), "0123456789", "abcdefghij")
     i, j = F.col("s_suppkey"), F.col("p_partkey")
-    people = table(spark, sf_dir, "supplier").select(i, F.concat(F.lit("Ann "), F.when(i % 3 == 0, "Q ").otherwise(""), F.lit("L"), letter(i % 20), F.lit("son")).alias("person"))
-    owners = table(spark, sf_dir, "part").filter("p_partkey < 200").select(j, F.concat(F.lit("L"), letter(j % 26), F.lit("SON, "), F.when(j % 4 == 0, "BOB").otherwise("ANN"), F.when(j % 5 == 0, " R").otherwise("")).alias("owner"))
+    people = table(spark, sf_dir, "supplier").select(i, F.concat(F.lit("Ann "), F.when(i % 3 == 0, "Q ").otherwise(""), F.lit("L"), letters(i), F.lit("son")).alias("person"))
+    owners = table(spark, sf_dir, "part").select(j, F.concat(F.lit("L"), F.upper(letters(F.expr("p_partkey div 20"))), F.lit("SON, "), F.when(j % 4 == 0, "BOB").otherwise("ANN"), F.when(j % 5 == 0, " R").otherwise("")).alias("owner"))
     return resolve.name_candidates(people, owners, "person", "owner", notices.same_person(F.col("person"), F.col("owner"))).select("s_suppkey", "p_partkey")
 
 
@@ -126,19 +126,21 @@ def tracker_lookup_fallback(spark, sf_dir):
     return resolve.exact_or_latest(rows, tracker, ["o_custkey"], "d", "anchor", "v").select("o_orderkey", "found", "v")
 
 
+CENTS = "CAST(sum(CAST(round(c_acctbal * 100) AS BIGINT)) AS DOUBLE) / count(*)"
+
+
 @query(
     "calibration_hierarchy",
-    """WITH a AS (SELECT c_nationkey, c_mktsegment, round(avg(CAST(c_acctbal AS DECIMAL(18,2))), 4) AS r FROM customer WHERE c_custkey % 40 = 0 GROUP BY 1, 2), b AS (SELECT c_nationkey, round(avg(CAST(c_acctbal AS DECIMAL(18,2))), 4) AS r FROM customer WHERE c_nationkey % 2 = 0 GROUP BY 1)
-    SELECT c_custkey, CASE WHEN a.r IS NOT NULL THEN 'city' WHEN b.r IS NOT NULL THEN 'county' ELSE 'metro' END AS scope, CASE WHEN a.r IS NULL AND b.r IS NULL THEN 1.5 END AS metro
+    f"""WITH a AS (SELECT c_nationkey, c_mktsegment, {CENTS} AS r FROM customer GROUP BY 1, 2 HAVING count(*) >= 13), b AS (SELECT c_nationkey, {CENTS} AS r FROM customer GROUP BY 1 HAVING count(*) >= 60)
+    SELECT c_custkey, CASE WHEN a.r IS NOT NULL THEN 'city' WHEN b.r IS NOT NULL THEN 'county' ELSE 'metro' END AS scope, coalesce(a.r, b.r, (SELECT {CENTS} FROM customer)) AS r
     FROM customer c LEFT JOIN a ON c.c_nationkey = a.c_nationkey AND c.c_mktsegment = a.c_mktsegment LEFT JOIN b ON c.c_nationkey = b.c_nationkey""",
 )
 def calibration_hierarchy(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
-    city = c.filter("c_custkey % 40 = 0").groupBy("c_nationkey", "c_mktsegment").agg(F.avg("c_acctbal").alias("r"))
-    county = c.filter("c_nationkey % 2 = 0").groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("r"))
-    metro = spark.createDataFrame([(1.5,)], "r double")
-    out = resolve.scoped(c, [("city", city, ["c_nationkey", "c_mktsegment"]), ("county", county, ["c_nationkey"]), ("metro", metro, [])], "r")
-    return out.select("c_custkey", "scope", F.when(F.col("scope") == "metro", F.col("r")).cast("decimal(2,1)").alias("metro"))
+    ratio = (F.sum(F.round(F.col("c_acctbal") * 100).cast("long")).cast("double") / F.count(F.lit(1))).alias("r")
+    level = lambda keys, least: c.groupBy(*keys).agg(ratio, F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).drop("n")  # noqa: E731  groups with too few sales have no value
+    out = resolve.scoped(c, [("city", level(["c_nationkey", "c_mktsegment"], 13), ["c_nationkey", "c_mktsegment"]), ("county", level(["c_nationkey"], 60), ["c_nationkey"]), ("metro", c.agg(ratio), [])], "r")
+    return out.select("c_custkey", "scope", "r")
 
 
 @query(

@@ -4,6 +4,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
+from groundwork.functions import addresses
 from groundwork.operators import checks, derive, emit, merge, resolve, search
 from groundwork.operators.aggregate import percentile_bands
 
@@ -126,3 +127,34 @@ def test_counts_of_saved_searches_with_signals(spark):
     got = {r["search"]: r["n"] for r in search.saved_search_counts(rows, asked, F.current_date()).collect()}
     assert got == {"many": 2, "vacant": 3, "all": 4}
     assert search.saved_search_counts(rows, {}, F.current_date()).count() == 0
+
+
+def test_radius_at_poles_and_the_date_line(spark):
+    """Every pair of a brute-force search, wherever on the globe."""
+    import math
+    import random
+
+    r = random.Random(1)
+    places = [(r.uniform(-90, 90), r.uniform(-180, 180)) for _ in range(40)] + [(90.0, 0.0), (89.999, 170.0), (-90.0, 5.0), (-89.9995, -60.0), (10.0, 180.0), (10.001, -179.9995), (10.0005, 179.999), (71.0, -180.0), (71.0005, 179.9999)]
+    near = [(max(-90.0, min(90.0, a + r.uniform(-0.004, 0.004))), b + r.uniform(-0.004, 0.004) if abs(b) < 179 else b) for a, b in places]
+    far = lambda p, q: 2 * 6_371_000 * math.asin(math.sqrt(min(1.0, math.sin(math.radians(q[0] - p[0]) / 2) ** 2 + math.cos(math.radians(p[0])) * math.cos(math.radians(q[0])) * math.sin(math.radians(q[1] - p[1]) / 2) ** 2)))
+    rows = places + near
+    a = spark.createDataFrame([(i, *p) for i, p in enumerate(rows)] + [(-1, None, 3.0)], "i int, lat double, lng double")
+    b = a.selectExpr("i as j", "lat as lat2", "lng as lng2")
+    for metres in (250.0, 40_000.0):
+        got = sorted((x["i"], x["j"]) for x in resolve.within_radius(a, b, metres).collect())
+        assert got == sorted((i, j) for i, p in enumerate(rows) for j, q in enumerate(rows) if far(p, q) <= metres)
+
+
+def test_small_mends(spark):
+    spine = spark.createDataFrame([("a", None), ("b", None), ("b", 3)], "k string, t int")
+    assert [(r["k"], r["t"]) for r in resolve.unique_index(spine, ["k"], "t").collect()] == [("b", 3)]
+    one = spark.createDataFrame([(1,)], "i int")
+    many = spark.createDataFrame([(1.0,), (2.0,)], "v double")
+    assert [tuple(r) for r in resolve.scoped(one, [("metro", many, [])], "v").collect()] == [(1, 2.0, "metro")]
+    assert one.select(addresses.title_case(F.lit("étang vert o'brien NORTH-oaks")).alias("t")).first()["t"] == "Étang Vert O'Brien North-Oaks"
+    ids = spark.range(3_000).select("id", F.lit("delinquent").alias("kind"))
+    none = ids.filter("id < 0")
+    assert merge.retire_stale(ids, none, ids.filter("id < 200"), "id").count() == 0  # 2,800 to retire are too many
+    assert merge.retire_stale(ids.filter("id < 1500"), none, ids.filter("id < 200"), "id").count() == 1_300
+    assert merge.retire_stale(ids.filter("id < 1500"), none, ids.filter("id < 50"), "id").count() == 0  # 50 mined are too few
