@@ -230,8 +230,38 @@ def _compare(radius: int):
     return run
 
 
+def _sweep(rows: np.ndarray, x: np.ndarray, similar: float):
+    """Index pairs that join the components of all pairs of ``rows`` that may be so similar, by size and fingerprint.
+
+    Rows that are reached leave those that are looked for, so a group of near copies
+    costs little more than one comparison with each; only rows apart are all compared.
+    """
+    words, half = x.shape[1] - 2, (x.shape[1] - 2) // 2
+    columns, size = [np.ascontiguousarray(x[rows, k]) for k in range(words)], x[rows, -1].astype(float)
+    left, ahead = np.arange(1, len(rows)), [np.array([0])]
+    while len(left):
+        if not ahead:
+            ahead, left = [left[:1]], left[1:]
+            continue
+        front = ahead.pop()
+        step = max(1, BLOCK // len(left))
+        front, rest = front[:step], front[step:]
+        if len(rest):
+            ahead.append(rest)
+        apart = sum((np.bitwise_count(c[front, None] ^ c[left]).astype(np.uint16) for c in columns[:half]), np.zeros((len(front), len(left)), np.uint16))
+        i, j = np.nonzero(apart <= HALF)
+        far = apart[i, j].astype(np.int64) + sum(np.bitwise_count(c[front[i]] ^ c[left[j]]).astype(np.int64) for c in columns[half:])
+        p, q = size[front[i]], size[left[j]]
+        fit = (far <= CANDIDATE) & (np.minimum(p, q) >= similar * np.maximum(p, q))
+        j, first = np.unique(j[fit], return_index=True)
+        if len(j):
+            yield rows[front[i[fit][first]]], rows[left[j]]
+            ahead.append(left[j])
+            left = np.delete(left, j)
+
+
 def _cell_pairs(cell: np.ndarray, x: np.ndarray, side: np.ndarray | None, similar: float):
-    """Index pairs of set nodes in one cell (of two sides, if any) that may be so similar by size and fingerprint."""
+    """Index pairs that join what may be so similar by size and fingerprint within each cell (``side``: of two tiles of one cell)."""
 
     def near(i: np.ndarray, j: np.ndarray):
         fit = _sized(x[i], x[j], similar)
@@ -240,20 +270,15 @@ def _cell_pairs(cell: np.ndarray, x: np.ndarray, side: np.ndarray | None, simila
         fit = (apart[:, : apart.shape[1] // 2].sum(axis=1) <= HALF) & (apart.sum(axis=1) <= CANDIDATE)
         return i[fit], j[fit]
 
-    def blocks(a: np.ndarray, b: np.ndarray):
-        for i, j in _close(x[a, :-2], x[b, :-2], CANDIDATE, HALF):
-            fit = _sized(x[a[i]], x[b[j]], similar)
-            yield a[i[fit]], b[j[fit]]
-
     if side is not None:
-        yield from blocks(np.nonzero(side == 0)[0], np.nonzero(side == 1)[0])
+        yield from _sweep(np.arange(len(x)), x, similar)
         return
     order = np.argsort(cell, kind="stable")
     new = np.concatenate([[True], np.diff(cell[order]) != 0])
     starts = np.nonzero(new)[0]
     size = np.diff(np.append(starts, len(order)))
     for at, n in zip(starts[size > LONG_RUN], size[size > LONG_RUN]):
-        yield from blocks(order[at : at + n], order[at : at + n])
+        yield from _sweep(order[at : at + n], x, similar)
     left = (np.repeat(starts + size, size) - np.arange(len(order))) * (np.repeat(size, size) <= LONG_RUN)  # rows from here to the end of a short run
     for gap in range(1, LONG_RUN):
         first = np.nonzero(left > gap)[0]
