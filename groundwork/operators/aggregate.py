@@ -43,6 +43,26 @@ def county_pivot(rows: DataFrame, county: str, category: str, categories: Sequen
     return out.select(county, *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).cast("long").alias(c) for c in categories])
 
 
+def county_breakdown(counts: DataFrame, source_counties: DataFrame, parcels: DataFrame) -> DataFrame:
+    """county, signals, parcels of each county that a source of its own covers and has rows for.
+
+    ``counts``: source, n. ``source_counties``: source, county, slug, a row for each source.
+    ``parcels``: county_code, parcels; a county without any has null.
+    """
+    found = source_counties.join(counts.groupBy("source").agg(F.sum("n").alias("n")).filter("n > 0"), "source")
+    signals = found.groupBy("county", "slug").agg(F.sum("n").alias("signals"))
+    return signals.join(parcels, F.col("slug") == F.col("county_code"), "left").select("county", "signals", "parcels")
+
+
+def coverage(breakdown: DataFrame, events: DataFrame, parcels: DataFrame, least: int = 100) -> DataFrame:
+    """One row: counties with a source of their own, with any event, with more than ``least`` parcels (fewer are stubs), parcels in all."""
+    own = breakdown.agg(F.count(F.lit(1)).alias("counties_covered"))
+    seen = events.agg(F.count_distinct("county").alias("counties_with_signals"))
+    spine = parcels.agg(F.count_if(F.col("parcels") > least).alias("counties_with_parcels"), F.coalesce(F.sum("parcels"), F.lit(0)).alias("parcels_indexed"))
+    all_three = own.unionByName(seen, allowMissingColumns=True).unionByName(spine, allowMissingColumns=True)
+    return all_three.agg(*[F.max(c).alias(c) for c in all_three.columns])
+
+
 def overlay(events: DataFrame, keys: Sequence[str], family: str, severity: str) -> DataFrame:
     """Signals of each parcel: distinct families, their sorted list, the highest severity, events."""
     ranked = events.groupBy(*keys).agg(

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FEED = ("source", "source_id", "county", "parcel_id", "event_type", "event_subtype", "event_date", "event_value", "severity", "title", "raw", "observed_at")
+FEED = ("source", "source_id", "county", "parcel_id", "event_type", "event_subtype", "event_date", "event_value", "severity", "title", "description", "raw", "observed_at")
 
 
 def to_feed(rows: DataFrame, **columns: Column) -> DataFrame:
@@ -24,9 +24,42 @@ def fill_county(events: DataFrame, source_counties: DataFrame, slug: Column) ->
     return events.join(known, F.col("source") == F.col("__s"), "left").withColumn("county", F.coalesce("county", "__c", slug)).drop("__s", "__c")
 
 
+def _said(value: Column, otherwise: str) -> Column:
+    return F.coalesce(F.nullif(value, F.lit("")), F.lit(otherwise))
+
+
 def violation_events(v: DataFrame) -> DataFrame:
-    kind = F.coalesce("violation_type", F.lit("unspecified"))
-    return to_feed(v, source=F.col("source"), source_id=F.col("source_id"), county=F.col("county"), parcel_id=F.col("parcel_id"), event_type=F.lit("code_violation"), event_subtype=F.col("violation_type"), event_date=F.col("violation_date"), event_value=F.col("fine"), severity=F.lit("medium"), title=F.concat(F.lit("Code violation: "), kind), observed_at=F.col("observed_at"))
+    """Code violations; a severity that is not known is medium."""
+    return to_feed(v, source=F.col("source"), source_id=F.col("source_id"), county=F.col("county"), parcel_id=F.col("parcel_id"), event_type=F.lit("code_violation"), event_subtype=F.col("violation_type"), event_date=F.col("violation_date"), event_value=F.col("fine"), severity=F.coalesce("severity", F.lit("medium")), title=F.concat(F.lit("Code violation: "), _said(F.col("violation_type"), "unspecified")), description=F.col("violation_description"), raw=F.col("raw"), observed_at=F.col("observed_at"))
+
+
+def sale_events(s: DataFrame) -> DataFrame:
+    """Sheriff sales; the parties are told if either of them is known, an unknown one as None."""
+    known = (F.coalesce(F.col("plaintiff"), F.lit("")) != "") | (F.coalesce(F.col("defendant"), F.lit("")) != "")
+    parties = F.concat(F.lit("Plaintiff: "), F.coalesce("plaintiff", F.lit("None")), F.lit("; Defendant: "), F.coalesce("defendant", F.lit("None")))
+    return to_feed(s, source=F.col("source"), source_id=F.col("case_number"), county=F.col("county"), parcel_id=F.col("parcel_id"), event_type=F.lit("sheriff_sale"), event_date=F.col("sale_date"), event_value=F.col("sale_amount"), severity=F.lit("high"), title=F.concat(F.lit("Sheriff sale: "), _said(F.col("property_address"), "unknown address")), description=F.when(known, parties), raw=F.col("raw"), observed_at=F.col("observed_at"))
+
+
+def building_events(b: DataFrame) -> DataFrame:
+    """Registered vacant buildings: condemned before boarded before listed; a condemned one has the day it was condemned."""
+    condemned, boarded, entered = F.coalesce("condemned", F.lit(False)), F.coalesce("boarded", F.lit(False)), F.col("date_entered")
+    by = lambda a, b, c: F.when(condemned, a).when(boarded, b).otherwise(c)
+    return to_feed(b, source=F.col("source"), source_id=F.col("registration_number"), county=F.col("county"), parcel_id=F.col("parcel_id"), event_type=by("condemned_building", "boarded_building", "vbr_listing"), event_subtype=F.col("registry_type"), event_date=F.when(condemned, F.coalesce("condemned_date", entered)).otherwise(entered), event_value=F.col("annual_fee"), severity=by("critical", "high", "medium"), title=by("Condemned building", "Boarded building", F.concat(F.lit("Vacant building registry: "), _said(F.col("registry_type"), "registered"))), raw=F.col("raw"), observed_at=F.col("observed_at"))
+
+
+def probate_events(p: DataFrame) -> DataFrame:
+    """Estates that are linked to a parcel; the others are no events."""
+    died = F.coalesce(F.concat(F.lit(", died "), F.date_format("date_of_death", "yyyy-MM-dd")), F.lit(""))
+    linked = p.filter(F.coalesce("parcel_id", F.lit("")) != "")
+    return to_feed(linked, source=F.col("source"), source_id=F.col("case_number"), county=F.col("county"), parcel_id=F.col("parcel_id"), event_type=F.lit("probate_filing"), event_subtype=F.col("case_type"), event_date=F.col("filing_date"), severity=F.lit("medium"), title=F.concat(F.lit("Probate: estate of "), _said(F.col("decedent_name"), "unknown")), description=F.concat(_said(F.col("case_type"), "Probate case"), died), raw=F.col("raw"), observed_at=F.col("observed_at"))
+
+
+def forfeit_events(f: DataFrame, dated_by_sight: bool = False) -> DataFrame:
+    """Forfeited parcels (pre_2024: before the forced sales). ``dated_by_sight``: an undated one has the day it was seen."""
+    early = F.coalesce("pre_2024", F.lit(False))
+    day = F.coalesce("forfeit_date", F.to_date("observed_at")) if dated_by_sight else F.col("forfeit_date")
+    title = F.concat(F.lit("Tax-forfeit property — "), F.col("county_name"), F.when(early, " (pre-2024 forfeiture — forced liquidation window)").otherwise(""))
+    return to_feed(f, source=F.col("source"), county=F.col("county"), parcel_id=F.col("parcel_id"), event_type=F.lit("tax_forfeit"), event_date=day, event_value=F.col("minimum_bid"), severity=F.when(early, "critical").otherwise("high"), title=title, raw=F.col("raw"), observed_at=F.col("observed_at"))
 
 
 def sheriff_severity(redemption: Column, as_of: Column) -> Column:

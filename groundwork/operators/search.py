@@ -42,6 +42,9 @@ LABELS = {
     "tax_assessment": "Tax assessment",
     "vacant": "Vacant/registered building",
 }
+# Outcomes of each bucket, and the states that only a tracked sale has.
+OUTCOME_BUCKETS = {"redeemed": ("redeemed_by_owner", "redeemed_by_junior"), "reo": ("foreclosed",), "sold": ("foreclosed_sold",)}
+TRACKED = ("outcome_pending", "resolved")
 OTHER_LABEL = "Distressed property"
 LOCKED_TEXT = "Details locked — upgrade to view owner, address, and amounts."
 #: Columns that locate nothing, shown at every tier; below standard a column in no list is hidden.
@@ -74,7 +77,8 @@ class Filters:
     status: str | None = None  # active or postponed
     ranges: dict[str, tuple[Any, Any]] = field(default_factory=dict)
     equal: dict[str, Any] = field(default_factory=dict)
-    redemption: str | None = None  # in_redemption, expiring_soon or expired
+    redemption: str | None = None  # in_redemption, expiring_soon, expired or one of TRACKED
+    outcome: str | None = None  # a bucket; one that is not known has no rows
     outcomes: tuple[str, ...] = ()
     multi_signal: int | None = None
     absentee: bool | None = None
@@ -133,7 +137,9 @@ def conditions(f: Filters, as_of: Column) -> list[Column]:
         out += [F.col(name) <= high] if high is not None else []
     out += [F.col(name) == value for name, value in f.equal.items()]
     if f.redemption:
-        out.append(published_window(f.redemption, as_of))
+        out.append(F.col("redemption_state") == f.redemption if f.redemption in TRACKED else published_window(f.redemption, as_of))
+    if f.outcome:
+        out.append(F.col("outcome").isin(*OUTCOME_BUCKETS.get(f.outcome, ())))
     if f.outcomes:
         out.append(F.col("outcome").isin(*f.outcomes))
     if f.absentee is not None:
@@ -153,6 +159,19 @@ def matching(rows: DataFrame, f: Filters, as_of: Column) -> DataFrame:
     return best_per_key(rows, "parcel_key", [actionability(), F.col("id")]) if f.multi_signal else rows
 
 
+def with_signals(rows: DataFrame, signals: DataFrame) -> DataFrame:
+    """The rows with their parcel's ``signal_count``; null without a parcel or without signals (one row of each parcel)."""
+    return rows.join(signals.filter("parcel_key is not null").select("parcel_key", "signal_count"), "parcel_key", "left")
+
+
+def owners_page(portfolios: DataFrame, least: int = 2, owner_type: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+    """Owners of ``least`` parcels or more, those of most parcels first, ties by name."""
+    rows = portfolios.filter(F.col("parcel_count") >= least)
+    if owner_type:
+        rows = rows.filter(F.col("owner_type") == owner_type)
+    return rows.orderBy(F.col("parcel_count").desc(), "owner_norm").offset(offset).limit(limit)
+
+
 def page(rows: DataFrame, f: Filters, as_of: Column) -> DataFrame:
     """One page, nulls last in either direction, ties by id."""
     if not 1 <= f.limit <= 200:
@@ -186,7 +205,10 @@ def allowed(f: Filters, tier: str) -> Filters:
 
     Standard alone reads full rows and may not hunt: it loses HUNTING and takes the default
     sort, in the direction asked for. Free and basic filter rows whose fields are locked.
+    Outcomes are for premium.
     """
+    if TIERS.get((tier or "free").lower(), 0) < TIERS["premium"]:
+        f = replace(f, outcome=None, outcomes=())
     if (tier or "free").lower() != "standard":
         return f
     plain = Filters()

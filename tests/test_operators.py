@@ -1,6 +1,7 @@
 """Semantics that a join on test tables does not provoke: nulls, reruns, ambiguity, guards."""
 
 import datetime
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -79,8 +80,11 @@ def test_bands_need_fifteen(spark):
 
 def test_gating_and_words():
     asked = search.Filters(category="vacant", county="anoka", status="active", multi_signal=3, ranges={"sqft": (1, None)}, equal={"property_type": "x"}, redemption="expired", absentee=True, outcomes=("foreclosed",), sort="equity", descending=True)
-    assert search.allowed(asked, "standard") == search.Filters(category="vacant", county="anoka", status="active", outcomes=("foreclosed",), descending=True)
-    assert all(search.allowed(asked, tier) is asked for tier in ("free", "basic", "premium", "admin", "unknown"))
+    assert search.allowed(asked, "standard") == search.Filters(category="vacant", county="anoka", status="active", descending=True)
+    plain = replace(asked, outcomes=())
+    assert all(search.allowed(plain, tier) == plain for tier in ("free", "basic", "premium", "admin", "unknown"))
+    assert all(search.allowed(replace(asked, outcome="reo"), tier) == plain for tier in ("free", "basic", "unknown"))  # outcomes are for premium
+    assert all(search.allowed(asked, tier) is asked for tier in ("premium", "admin"))
     assert search.Filters().sort == "event_date" and not search.Filters().descending
     assert search.from_words({"category": "nope", "sort": "x", "limit": 900, "county": "Anoka", "odd": 1}) == search.Filters(county="Anoka")
 
