@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,20 +97,6 @@ def vacancy_rate(vacant: Column, total: Column) -> Column:
     return F.least(F.coalesce(F.try_divide(vacant, F.nullif(total, F.lit(0))), F.lit(0.0)), F.lit(1.0))
 
 
-def display(rows: DataFrame, extractors: Mapping[str, Mapping[str, str]], common: list[str]) -> DataFrame:
-    """The common columns of each row's JSON by its source: column -> JSON path. Sources without paths have nulls, not errors."""
-    raw = F.col("raw")
-
-    def one(column: str) -> Column:
-        value = F.lit(None).cast("string")
-        for source, paths in extractors.items():
-            if column in paths:
-                value = F.when(F.col("source") == source, F.get_json_object(raw, paths[column])).otherwise(value)
-        return value.alias(column)
-
-    return rows.select("*", *[one(c) for c in common])
-
-
 def promotable(parcel: Column, expiry: Column, amount: Column, status: Column) -> Column:
     """A staged notice with all its facts that no review turned down."""
     return parcel.isNotNull() & expiry.isNotNull() & amount.isNotNull() & ~F.coalesce(status, F.lit("")).isin("not_a_parcel", "rejected")

@@ -8,6 +8,7 @@ from groundwork.functions import coerce, ids, notices
 from groundwork.operators import derive, emit, merge
 from groundwork.registry import query
 from groundwork.session import table
+from groundwork.sources import display
 
 SHOWN = ("source", "source_id", "county", "parcel_id", "event_type", "event_subtype", "event_date", "event_value", "severity", "title", "description")
 SEEN = "2024-03-01 12:00:00"
@@ -161,3 +162,50 @@ def lifecycle_scalars(spark, sf_dir):
         emit.sheriff_severity(F.when(i % 5 != 0, d), F.lit("1995-01-01").cast("date")).alias("severity"),
         emit.parcel_precedence(F.when(i % 2 == 0, " own "), F.when(i % 3 == 0, "tax").otherwise(""), F.lit("stub")).alias("chosen"),
     )
+
+
+#: JSON with the keys of every source, each with a value of its own, and the row's own columns.
+RAW = {
+    "address": "'a' || i", "property_address": "'p' || i", "owner_name": "'o' || i", "matched_owner_name": "'m' || i", "market_value": "CASE WHEN i % 3 <> 0 THEN CAST(i % 50 AS STRING) END", "amount_due": "CASE WHEN i % 4 = 0 THEN 'none' ELSE CAST(i % 60 AS STRING) END", "finalBidAmount": "i % 5", "appraised_value": "i % 70", "total_tax_penalties": "i % 80",
+    "condemned_date": "CASE WHEN i % 2 = 0 THEN 'c' || i END", "list_date": "'l' || i", "published": "'u' || i", "published_date": "CASE WHEN i % 2 = 0 THEN '' ELSE 'd' || i END", "postponed": "i % 2 = 0", "sale_status": "CASE WHEN i % 2 = 0 THEN 'otc_available' END", "decedent": "CASE WHEN i % 2 = 0 THEN 'D' || i END",
+    "list": "named_struct('address', CASE WHEN i % 2 = 0 THEN 'x' || i END)", "sale": "named_struct('owner', 's' || i, 'pid', 't' || i)", "mortgagors": "array(named_struct('display', ' J' || i), named_struct('display', ' '), named_struct('display', 'K'))",
+    "detail": "named_struct('detail_address', 'e' || i, 'gis_owner', CASE WHEN i % 2 = 0 THEN 'g' || i END, 'owner_name', 'n' || i, 'gis_site_address', 'w' || i, 'gis_pid', CASE WHEN i % 3 = 0 THEN 'q' || i END, 'tax_parcel_no', 'r' || i, 'status', CASE WHEN i % 4 = 0 THEN 'Open' END)",
+    "attributes": "named_struct('Address', 'v' || i, 'ADDRESS', 'V' || i, 'Display', 'y' || i, 'GeoAddress', 'z' || i, 'Mortgagor', ' h' || i || ' ', 'SaleAmount', i % 6, 'APN', CASE WHEN i % 3 = 0 THEN 'b' || i END, 'APN_Txt', 'f' || i, 'PIN', 'j' || i, 'Property_s', 'k' || i, 'Inspection_Result', 'I' || i, 'VACANT_AS_OF', CASE i % 3 WHEN 0 THEN '3/7/2021' WHEN 1 THEN 'a/b/c' ELSE 'long ago' END, 'VB_CATEGORY', ' ' || (i % 5))",
+}
+NAMED = (*display.DISPLAY, "unknown")
+
+
+@query(
+    "display_columns",
+    f"""WITH r AS (SELECT o_orderkey AS i, [{", ".join(f"'{s}'" for s in NAMED)}][o_orderkey % {len(NAMED)} + 1] AS source, o_custkey % 9 AS ev, CAST(o_orderdate AS DATE)::VARCHAR AS d, 'P' || o_custkey AS pid, o_custkey % 3 AS t FROM orders)
+    SELECT i, source,
+      CASE WHEN source = 'anoka_sheriff' THEN CASE WHEN i % 2 = 0 THEN 'x' || i ELSE 'e' || i END WHEN source IN ('hennepin_sheriff', 'startribune_legal', 'mnpublicnotice', 'mpls_311', 'unknown') THEN 'a' || i WHEN source = 'dakota_sheriff' THEN 'z' || i WHEN source = 'washington_sheriff' THEN 'w' || i
+        WHEN source = 'mpls_vbr' THEN 'v' || i WHEN source LIKE 'saint_paul%' THEN 'V' || i WHEN source <> 'olmsted_delq_list' THEN 'p' || i END AS address,
+      CASE WHEN source IN ('anoka_sheriff', 'hennepin_sheriff', 'dakota_sheriff', 'washington_sheriff') AND i % 2 = 0 THEN 'g' || i WHEN source = 'anoka_sheriff' THEN 'n' || i WHEN source IN ('hennepin_sheriff', 'startribune_legal') THEN 'J' || i || '; K' WHEN source = 'dakota_sheriff' THEN 'h' || i
+        WHEN source = 'washington_sheriff' THEN 's' || i WHEN source = 'mnpublicnotice' THEN 'J' || i || ' & K' WHEN source LIKE '%tax_roll' OR source = 'unknown' THEN 'o' || i WHEN source LIKE '%probate' THEN 'm' || i END AS owner,
+      CAST(CASE WHEN source IN ('anoka_sheriff', 'washington_sheriff', 'mpls_vbr', 'saint_paul_vacant', 'saint_paul_dsi', 'unknown') THEN ev WHEN source = 'hennepin_sheriff' THEN CASE WHEN i % 5 <> 0 THEN i % 5 ELSE ev END WHEN source = 'dakota_sheriff' THEN CASE WHEN i % 6 <> 0 THEN i % 6 ELSE ev END
+        WHEN source IN ('startribune_legal', 'mnpublicnotice') THEN CASE WHEN i % 4 = 0 THEN NULL WHEN i % 60 = 0 THEN ev ELSE i % 60 END WHEN source LIKE '%tax_roll' THEN CASE WHEN i % 3 <> 0 THEN i % 50 ELSE ev END WHEN source = 'ramsey_tfl' THEN i % 70
+        WHEN source IN ('postbulletin_legal', 'fillmore_legal') THEN CASE WHEN i % 4 <> 0 THEN i % 60 END WHEN source = 'olmsted_delq_list' THEN i % 80 END AS DOUBLE) AS amount,
+      CASE WHEN source = 'anoka_sheriff' THEN CASE WHEN i % 4 = 0 THEN 'Open' ELSE 'Active' END WHEN source IN ('hennepin_sheriff', 'dakota_sheriff', 'washington_sheriff') THEN 'Sold' WHEN source = 'startribune_legal' THEN 'Scheduled sale' WHEN source = 'mpls_vbr' THEN 'k' || i WHEN source = 'mpls_311' THEN 'I' || i
+        WHEN source LIKE 'saint_paul%' THEN CASE i % 5 WHEN 1 THEN 'Category 1 (sound)' WHEN 2 THEN 'Category 2 (boarded)' WHEN 3 THEN 'Category 3 (nuisance)' ELSE 'title' END WHEN source LIKE '%tax_roll' THEN CASE t WHEN 0 THEN 'Tax-forfeited' WHEN 1 THEN 'Special assessment' ELSE 'Tax-delinquent' END
+        WHEN source = 'ramsey_tfl' THEN CASE WHEN i % 2 = 0 THEN 'Available over the counter' ELSE 'On auction list' END WHEN source IN ('postbulletin_legal', 'fillmore_legal') THEN CASE WHEN i % 2 = 0 THEN 'Scheduled sale (postponed)' ELSE 'Scheduled sale' END
+        WHEN source = 'olmsted_delq_list' THEN 'On the delinquent tax list' WHEN source LIKE '%probate' THEN CASE WHEN i % 2 = 0 THEN 'Estate of D' || i || ' in probate' ELSE 'Owner of record is a decedent in probate' END END AS status,
+      CASE WHEN source = 'anoka_sheriff' THEN 'r' || i WHEN source = 'hennepin_sheriff' THEN NULL WHEN source IN ('dakota_sheriff', 'startribune_legal') THEN CASE WHEN i % 3 = 0 THEN 'q' || i END WHEN source = 'washington_sheriff' THEN CASE WHEN i % 3 = 0 THEN 'q' || i ELSE 't' || i END WHEN source = 'mnpublicnotice' AND i % 3 = 0 THEN 'q' || i
+        WHEN source = 'mpls_vbr' THEN 'f' || i WHEN source = 'mpls_311' AND i % 3 = 0 THEN 'b' || i WHEN source LIKE 'saint_paul%' THEN 'j' || i ELSE pid END AS tax_parcel_no,
+      CASE WHEN source IN ('mnpublicnotice', 'mpls_311', 'unknown') THEN d WHEN source = 'mpls_vbr' THEN CASE WHEN i % 2 = 0 THEN 'c' || i ELSE d END WHEN source LIKE 'saint_paul%' THEN CASE i % 3 WHEN 0 THEN '2021-03-07' WHEN 1 THEN 'a/b/c' ELSE d END
+        WHEN source = 'ramsey_tfl' THEN 'l' || i WHEN source = 'olmsted_delq_list' THEN 'u' || i WHEN source LIKE '%probate' THEN CASE WHEN i % 2 = 0 THEN d ELSE 'd' || i END END AS registered_date FROM r""",
+)
+def display_columns(spark, sf_dir):
+    i, c = F.col("o_orderkey"), F.col("o_custkey")
+    rows = table(spark, sf_dir, "orders").select(
+        i.alias("i"),
+        F.get(F.array(*map(F.lit, NAMED)), (i % len(NAMED)).cast("int")).alias("source"),
+        F.get(F.array(*map(F.lit, ("tax_forfeit", "tax_assessment", "tax_delinquent"))), (c % 3).cast("int")).alias("event_type"),
+        F.to_date("o_orderdate").alias("event_date"),
+        (c % 9).cast("decimal(18,2)").alias("event_value"),
+        F.concat(F.lit("P"), c).alias("parcel_id"),
+        F.lit("title").alias("title"),
+    )
+    rows = rows.withColumn("raw", F.to_json(F.expr("named_struct(" + ", ".join(f"'{k}', {v}" for k, v in RAW.items()) + ")")))
+    shown = ("address", "owner", "amount", "status", "tax_parcel_no", "registered_date")
+    return display.display(rows, shown).select("i", "source", *shown)
