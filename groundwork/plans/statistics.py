@@ -18,13 +18,13 @@ def source_counts(spark, sf_dir):
 
 @query(
     "category_stats",
-    f"""WITH {FEED} SELECT 'foreclosure' AS category, count(*) AS n FROM feed WHERE source IN ('hennepin_sheriff', 'mnpublicnotice')
-    UNION ALL SELECT 'tax_forfeit', count(*) FROM feed WHERE source LIKE '%tax_roll' AND event_type = 'tax_forfeit' OR source IN ('ramsey_tfl', 'mnpn_redemption_notice')
-    UNION ALL SELECT 'vacant', count(*) FROM feed WHERE source = 'mpls_vbr' UNION ALL SELECT 'tax_delinquent', count(*) FROM feed WHERE source LIKE '%tax_roll' AND event_type = 'tax_delinquent'
-    UNION ALL SELECT 'tax_assessment', count(*) FROM feed WHERE source = 'ramsey_tax_roll' AND event_type = 'tax_assessment' UNION ALL SELECT 'probate', count(*) FROM feed WHERE source = 'olmsted_probate'""",
+    f"""WITH {FEED} SELECT 'foreclosure' AS category, count(*) AS n, CAST(max(observed_at) AS DATE) AS newest FROM feed WHERE source IN ('hennepin_sheriff', 'mnpublicnotice')
+    UNION ALL SELECT 'tax_forfeit', count(*), CAST(max(observed_at) AS DATE) FROM feed WHERE source LIKE '%tax_roll' AND event_type = 'tax_forfeit' OR source IN ('ramsey_tfl', 'mnpn_redemption_notice')
+    UNION ALL SELECT 'vacant', count(*), CAST(max(observed_at) AS DATE) FROM feed WHERE source = 'mpls_vbr' UNION ALL SELECT 'tax_delinquent', count(*), CAST(max(observed_at) AS DATE) FROM feed WHERE source LIKE '%tax_roll' AND event_type = 'tax_delinquent'
+    UNION ALL SELECT 'tax_assessment', count(*), CAST(max(observed_at) AS DATE) FROM feed WHERE source = 'ramsey_tax_roll' AND event_type = 'tax_assessment' UNION ALL SELECT 'probate', count(*), CAST(max(observed_at) AS DATE) FROM feed WHERE source = 'olmsted_probate'""",
 )
 def category_stats(spark, sf_dir):
-    return aggregate.category_totals(aggregate.source_counts(feed(spark, sf_dir)), search.CATEGORIES).drop("newest")
+    return aggregate.category_totals(aggregate.source_counts(feed(spark, sf_dir)), search.CATEGORIES).withColumn("newest", F.to_date("newest"))
 
 
 @query(
@@ -67,11 +67,11 @@ def differentiators(spark, sf_dir):
 
 @query(
     "percentile_bands",
-    """SELECT o_orderpriority, o_orderstatus, count(*) AS n, quantile_cont(o_totalprice, 0.25) AS p25, quantile_cont(o_totalprice, 0.5) AS median, quantile_cont(o_totalprice, 0.75) AS p75 FROM orders GROUP BY 1, 2 HAVING count(*) >= 15""",
+    """SELECT o_orderpriority, o_orderstatus, count(*) AS n, quantile_cont(o_totalprice, 0.25) AS p25, quantile_cont(o_totalprice, 0.5) AS median, quantile_cont(o_totalprice, 0.75) AS p75, avg(o_orderkey) AS avg_days FROM orders GROUP BY 1, 2 HAVING count(*) >= 15""",
 )
 def percentile_bands(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    return aggregate.percentile_bands(o, ["o_orderpriority", "o_orderstatus"], "o_totalprice", "o_orderkey").drop("avg_days")
+    return aggregate.percentile_bands(o, ["o_orderpriority", "o_orderstatus"], "o_totalprice", "o_orderkey")
 
 
 @query("value_density", "SELECT o_orderstatus, CAST(floor(o_totalprice / 50000) AS BIGINT) AS bucket, count(*) AS n, count(*) >= 5 AS dense FROM orders WHERE o_totalprice > 0 GROUP BY 1, 2")
