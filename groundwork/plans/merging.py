@@ -159,12 +159,12 @@ def tracker_upsert(spark, sf_dir):
 
 @query(
     "postponement",
-    """WITH s AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS sale_date, 0 AS postponement_count FROM orders), n AS (SELECT l_orderkey AS id, max(CAST(l_shipdate AS DATE)) AS d FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1)
+    """WITH s AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS sale_date, 0 AS postponement_count FROM orders), n AS (SELECT l_orderkey AS id, max(CAST(l_shipdate AS DATE)) AS d FROM lineitem GROUP BY 1)
     SELECT s.id, CASE WHEN d > sale_date THEN d ELSE sale_date END AS sale_date, CAST(CASE WHEN d > sale_date THEN 1 ELSE 0 END AS BIGINT) AS postponement_count FROM s LEFT JOIN n ON s.id = n.id""",
 )
 def postponement(spark, sf_dir):
     sales = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("sale_date"), F.lit(0).cast("long").alias("postponement_count"))
-    notices = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 2").select(F.col("l_orderkey").alias("id"), F.to_date("l_shipdate").alias("sale_date"))
+    notices = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.to_date("l_shipdate").alias("sale_date"))
     return merge.postpone(sales, notices, ["id"])
 
 
