@@ -131,7 +131,7 @@ def emit_violations(spark, sf_dir):
         fine=F.col("l_extendedprice"),
         severity=F.when(F.col("l_linestatus") == "F", "low"),
     )
-    known = spark.createDataFrame([("mpls_311", "hennepin"), ("saint_paul_dsi", "ramsey")], "source string, county_slug string")
+    known = {"mpls_311": "hennepin", "saint_paul_dsi": "ramsey"}
     return _shown(emit.violation_events(emit.fill_county(v, known, F.col("slug"))))
 
 
