@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
@@ -37,10 +38,16 @@ def cut(df: DataFrame) -> DataFrame:
 BATCH_ROWS, BATCH_BYTES = 2_000, 8_388_608
 
 
+def in_bytes(setting: str) -> int:
+    """Bytes of a size setting: a number with or without a unit, b to p, as ``16m`` or ``8 MB``; no unit means bytes."""
+    number, unit = re.fullmatch(r"\s*(-?[0-9]+)\s*([kmgtp]?)i?b?\s*", setting.lower()).groups()
+    return int(number) * 1024 ** " kmgtp".index(unit or " ")
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Bound the session's Arrow batches. The queries call this; the operators leave a caller's session as it is."""
     for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        if not 0 < int(spark.conf.get(name).rstrip("b")) <= most:
+        if not 0 < in_bytes(spark.conf.get(name)) <= most:
             spark.conf.set(name, f"{most}b" if "Bytes" in name else str(most))
 
 

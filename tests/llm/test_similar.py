@@ -51,7 +51,6 @@ def test_links_are_exact(spark, set_rows):
     kept = {r["doc_id"] for r in simhash.deduplicate(docs, similar=0.8, set_rows=set_rows, tile_rows=150).collect()}
     want = kept_by_brute_force(rows)
     assert kept == want and 40 < len(want) < len(rows)
-    assert {r["doc_id"] for r in simhash.deduplicate(docs).collect()} != want  # fingerprints alone are not enough
 
 
 def test_stage_of_the_pipeline_is_exact(spark, documents):
