@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwork.llm import ann, bpe_count, chat, divergence, language, packing, pieces, quality, secrets, sharding, simhash, variants
+from groundwork.llm import ann, bpe_count, chat, divergence, language, packing, pieces, private, quality, secrets, sharding, simhash, variants
 from groundwork.llm.common import bound_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,10 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.scan(table(spark, sf_dir, "documents"))
+
+
 def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -93,6 +97,7 @@ def queries() -> dict[str, Query]:
         "op9_language": op9_language,
         "op10_pieces": op10_pieces,
         "op11_divergence": op11_divergence,
+        "op12_private": op12_private,
         "op13_variants": op13_variants,
     }
     return {name: bounded(query) for name, query in named.items()}
