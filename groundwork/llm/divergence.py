@@ -32,6 +32,8 @@ SCALE = 1_000_000_000
 TOP = 10
 #: Terms that a task counts before it passes their counts on; vectors that are evaluated together.
 HELD, TOGETHER = 400_000, 4_096
+#: So many vectors are sent to all executors; more are joined by a shuffle.
+SENT = 50_000
 #: Counts of a block of evaluations: vectors x sources.
 BLOCK = 1 << 20
 
@@ -157,9 +159,9 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) -> Data
     valued = valued.join(groups, ["lang", "source"])
     p, q = share(F.col("n"), F.col("total"), F.col("kept")), share(F.col("n_all"), F.col("all"), F.col("kept"))
     valued = valued.withColumn("p", p).withColumn("q", q).filter("p > q").select("lang", "source", "vec", "item", divergence(F.col("p"), F.col("q")).alias("value"))
-    best = valued.withColumn("rank", F.row_number().over(by_rank)).filter(F.col("rank") <= top).select("lang", "source", "vec", "value")
-    alike = Window.partitionBy("lang", "vec").orderBy("term")
-    firsts = kept.withColumn("k", F.row_number().over(alike)).filter(F.col("k") <= top).select("lang", "vec", F.col("term").alias("item"))
-    words = best.join(firsts, ["lang", "vec"]).withColumn("rank", F.row_number().over(by_rank)).filter(F.col("rank") <= top)
+    best = cut(valued.withColumn("rank", F.row_number().over(by_rank)).filter(F.col("rank") <= top).select("lang", "source", "vec", "value"))
+    small = best.count() <= SENT  # ten rows for each source of a language
+    words = kept.select("lang", "vec", F.col("term").alias("item")).join(F.broadcast(best) if small else best, ["lang", "vec"])
+    words = words.withColumn("rank", F.row_number().over(by_rank)).filter(F.col("rank") <= top)
     words = words.select("lang", "source", F.lit("term").alias("part"), "item", "value", "rank")
     return pairs.unionByName(words)
