@@ -1,3 +1,3 @@
 """Importing this package registers its queries."""
 
-from groundwork.plans import deriving, emitting, feed, merging, portal, resolving, scalars, serving, statistics, upkeep  # noqa: F401
+from groundwork.plans import deriving, emitting, feed, landed, merging, portal, resolving, scalars, serving, statistics, upkeep  # noqa: F401

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from groundwork.functions import addresses, coerce, ids, notices
 from groundwork.registry import query
 from groundwork.session import table
-from groundwork.sources import readers
 
 
 def pick(names, x):
@@ -140,13 +139,3 @@ def city_state_zip(spark, sf_dir):
 def notice_facts(spark, sf_dir):
     words = F.split(F.lower("text"), r"\s+")
     return table(spark, sf_dir, "documents").select("doc_id", F.array_contains(words, "the").alias("said"), notices.markers(F.col("text"), ["the", "and", "secret", "que"]).cast("long").alias("markers"))
-
-
-@query("html_tables", "SELECT page_id, CAST(n AS BIGINT) AS n, 'P' || page_id AS name, CAST(page_id * 10 + n AS VARCHAR) AS amount FROM pages, (SELECT 1 AS n UNION ALL SELECT 2) AS x")
-def html_tables(spark, sf_dir):
-    i = F.col("page_id")
-    cell = lambda *x: F.concat(F.lit("<td>"), *x, F.lit("</td>"))
-    row = lambda n: F.concat(F.lit("<tr>"), cell(F.lit(" P"), i.cast("string")), cell(F.lit("-")), cell((i * 10 + n).cast("string")), F.lit("</tr>"))
-    page = F.concat(F.lit("<table><tr><td>menu</td></tr></table><table><tr><th>Owner name</th><th>x</th><th>Amount due</th></tr>"), row(1), row(2), F.lit("</table>"), F.col("html"))
-    cells = readers.html_tables(table(spark, sf_dir, "pages").select("page_id", page.alias("html")), "html", ["page_id"])
-    return readers.listing_rows(cells, {"name": "owner", "amount": "amount"}, ["page_id"]).select("page_id", F.col("row_no").cast("long").alias("n"), "name", "amount")

@@ -56,17 +56,21 @@ def zip_members(spark: SparkSession, path: str, suffix: str = ".xml", encoding:
 
 
 class _Tables(HTMLParser):
-    """Rows of text cells of every table, in order; a nested table's rows come under its own number."""
+    """Rows of text cells of every table, in order; a nested table's rows come under its own number.
 
-    def __init__(self) -> None:
+    A table belongs to the last of the headings that was written before it, in a cell or outside.
+    """
+
+    def __init__(self, headings: Sequence[str] = ()) -> None:
         super().__init__(convert_charrefs=True)
-        self.rows: list[tuple[int, int, list[str]]] = []
-        self.open: list[list] = []  # [table, next row, cells or None, parts or None]
+        self.rows: list[tuple[int, int, list[str], str | None]] = []
+        self.open: list[list] = []  # [table, next row, cells or None, parts or None, section]
         self.tables = 0
+        self.headings, self.section = headings, None
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "table":
-            self.open.append([self.tables, 0, None, None])
+            self.open.append([self.tables, 0, None, None, self.section])
             self.tables += 1
         elif self.open:
             top = self.open[-1]
@@ -90,6 +94,7 @@ class _Tables(HTMLParser):
             self.end_cell(self.open[-1])
 
     def handle_data(self, data: str) -> None:
+        self.section = next((h for h in self.headings if h in data), self.section)
         if self.open and self.open[-1][3] is not None:
             self.open[-1][3].append(data)
 
@@ -102,13 +107,13 @@ class _Tables(HTMLParser):
     def end_row(self, top: list) -> None:
         if top[2] is not None:
             self.end_cell(top)
-            self.rows.append((top[0], top[1], top[2]))
+            self.rows.append((top[0], top[1], top[2], top[4]))
             top[1] += 1
             top[2] = None
 
 
-def table_rows(html: str | None) -> list[tuple[int, int, list[str]]]:
-    parser = _Tables()
+def table_rows(html: str | None, headings: Sequence[str] = ()) -> list[tuple[int, int, list[str], str | None]]:
+    parser = _Tables(headings)
     parser.feed(html or "")
     parser.close()
     while parser.open:
@@ -116,31 +121,35 @@ def table_rows(html: str | None) -> list[tuple[int, int, list[str]]]:
     return parser.rows
 
 
-def html_tables(pages: DataFrame, html: str, carry: Sequence[str]) -> DataFrame:
-    """``carry``, table_no, row_no, cells of every table row in the pages; pages without a table have no row."""
+ROWS = pa.list_(pa.struct([("table_no", pa.int32()), ("row_no", pa.int32()), ("cells", pa.list_(pa.string())), ("section", pa.string())]))
+
+
+def page_tables(pages: DataFrame, html: str, carry: Sequence[str], headings: Sequence[str] = ()) -> DataFrame:
+    """``carry`` and rows, an array of (table_no, row_no, cells, section) of all table rows of a page, one row a page."""
     width = len(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, tables, numbers, cells = [], [], [], []
-            for i, text in enumerate(batch.column(width).to_pylist()):
-                for t, r, c in table_rows(text):
-                    at.append(i), tables.append(t), numbers.append(r), cells.append(c)
-            take = pa.array(at, pa.int32())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in range(width)), pa.array(tables, pa.int32()), pa.array(numbers, pa.int32()), pa.array(cells, pa.list_(pa.string()))], names=[*carry, "table_no", "row_no", "cells"])
+            made = [[dict(zip(("table_no", "row_no", "cells", "section"), row)) for row in table_rows(text, headings)] for text in batch.column(width).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(width)), pa.array(made, ROWS)], names=[*carry, "rows"])
 
     picked = pages.select(*carry, F.col(html).cast("string"))
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
-    return picked.mapInArrow(run, f"{head}, table_no int, row_no int, cells array<string>")
+    return picked.mapInArrow(run, f"{head}, rows array<struct<table_no: int, row_no: int, cells: array<string>, section: string>>")
+
+
+def html_tables(pages: DataFrame, html: str, carry: Sequence[str], headings: Sequence[str] = ()) -> DataFrame:
+    """``carry``, table_no, row_no, cells, section and head, the cells of the table's first row, of every table row in the pages; pages without a table have no row."""
+    parsed = page_tables(pages, html, carry, headings)
+    heads = F.map_from_entries(F.transform(F.filter("rows", lambda r: r.row_no == 0), lambda r: F.struct(r.table_no, r.cells)))
+    return parsed.select(*carry, heads.alias("__heads"), F.explode("rows").alias("__r")).select(*carry, "__r.*", F.try_element_at("__heads", F.col("__r.table_no")).alias("head"))
 
 
 def listing_rows(rows: DataFrame, columns: dict[str, str], keys: Sequence[str]) -> DataFrame:
     """Named columns of the tables whose first row has them all: name -> text in the header cell, in any case."""
-    place = lambda want: F.array_position(F.transform("cells", lambda c: F.lower(c).contains(want.lower())), F.lit(True))
-    head = rows.filter("row_no = 0").select(*keys, "table_no", *[place(want).alias(f"__{name}") for name, want in columns.items()])
-    head = head.filter(F.least(*[F.col(f"__{name}") for name in columns], F.lit(1 << 30)) > 0)
-    body = rows.filter("row_no > 0").join(head, [*keys, "table_no"])
-    return body.select(*keys, "table_no", "row_no", *[F.get("cells", F.col(f"__{name}").cast("int") - 1).alias(name) for name in columns])
+    place = lambda want: F.array_position(F.transform("head", lambda c: F.lower(c).contains(want.lower())), F.lit(True))
+    body = rows.filter("row_no > 0").filter(F.least(*[place(want) for want in columns.values()], F.lit(1 << 30)) > 0)
+    return body.select(*keys, "table_no", "row_no", *[F.get("cells", place(want).cast("int") - 1).alias(name) for name, want in columns.items()])
 
 
 def split_valid(rows: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
