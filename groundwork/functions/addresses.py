@@ -64,11 +64,13 @@ def addr_key(raw: Column) -> Column:
 
 def one_house(raw: Column) -> Column:
     """False for lists of addresses and for addresses without a house number: these are never resolved."""
-    return F.coalesce(~raw.rlike(r"(?i);|\s&\s|\band\b") & raw.rlike(r"^\s*[0-9]+\s"), F.lit(False))
+    words = _words(F.lower(F.regexp_replace(raw, ";", " ; ")))
+    listed = F.arrays_overlap(words, F.array(F.lit(";"), F.lit("&"), F.lit("and")))
+    return F.coalesce((F.size(words) > 1) & F.get(words, 0).try_cast("decimal(38,0)").isNotNull() & ~F.get(words, 0).rlike("[^0-9]") & ~listed, F.lit(False))
 
 
 def masked(raw: Column) -> Column:
-    """The house number's first digit is kept, the others are X: 5331 Oak St is 5XXX Oak St."""
+    """The house number's first digit is kept, the others are X: 4120 Oak St is 4XXX Oak St."""
     number = F.regexp_extract(raw, r"^\s*([0-9]+)", 1)
     rest = F.regexp_replace(raw, r"^\s*[0-9]+", "")
     return F.when(number == "", raw).otherwise(F.concat(F.substring(number, 1, 1), F.repeat(F.lit("X"), F.length(number) - 1), rest))

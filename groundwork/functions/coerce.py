@@ -60,12 +60,11 @@ def day_as_written(text: Column) -> Column:
 
 
 def clock(text: Column) -> Column:
-    """'1:05 PM' is 13:05:00; null if it is no time of day."""
-    t = F.upper(F.trim(text))
-    part = lambda k: F.nullif(F.regexp_extract(t, r"^([0-9]{1,2}):([0-9]{2})\s*(AM|PM)?", k), F.lit(""))
-    h, m, half = part(1).cast("int"), part(2).cast("int"), part(3)
-    h = F.when((half == "PM") & (h != 12), h + 12).when((half == "AM") & (h == 12), 0).otherwise(h)
-    return F.when(h.between(0, 23) & m.between(0, 59), F.format_string("%02d:%02d:00", h, m))
+    """'1:05 PM' is 13:05:00; null if it is no time of day. What follows the time is not read."""
+    words = F.split(F.trim(F.regexp_replace(F.upper(text), r"([AP]M)", " $1 ")), r"\s+")
+    with_half = F.concat_ws(" ", F.get(words, 0), F.when(F.get(words, 1).isin("AM", "PM"), F.get(words, 1)))
+    read = F.coalesce(F.try_to_timestamp(with_half, F.lit("h:mm a")), F.try_to_timestamp(F.get(words, 0), F.lit("H:mm")))
+    return F.date_format(read, "HH:mm:ss")
 
 
 def full_year(two_digits: Column, as_of: Column) -> Column:

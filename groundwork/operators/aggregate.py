@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Severity from low to high.
@@ -96,10 +96,25 @@ def differentiators(signals: DataFrame, portfolios: DataFrame) -> DataFrame:
 
 
 def percentile_bands(sales: DataFrame, keys: Sequence[str], share: str, days: str, least: int = 15) -> DataFrame:
-    """n, p25, median, p75, mean days of each group, exact; groups below ``least`` sales are left out."""
-    p = F.percentile(share, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = sales.groupBy(*keys).agg(F.count(share).alias("n"), p.alias("p"), F.avg(days).alias("avg_days")).filter(F.col("n") >= least)
-    return out.select(*keys, "n", F.get("p", 0).alias("p25"), F.get("p", 1).alias("median"), F.get("p", 2).alias("p75"), "avg_days")
+    """n, p25, median, p75, mean days of each group, exact and interpolated; groups below ``least`` sales are left out.
+
+    Equal values are one row with a count first; running sums of the counts give each value its
+    places in the order, and a percentile lies between the values at two places. No group is
+    held in one buffer.
+    """
+    counted = sales.groupBy(*keys, share).agg(F.count(share).alias("__n"), F.sum(days).alias("__days"), F.count(days).alias("__dated"))
+    order = Window.partitionBy(*keys).orderBy(F.col(share).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counted.withColumn("__upto", F.sum("__n").over(order))
+    sizes = counted.groupBy(*keys).agg(F.sum("__n").alias("n"), (F.sum("__days") / F.sum("__dated")).alias("avg_days")).filter(F.col("n") >= least)
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(f"p.{k}").eqNullSafe(F.col(f"s.{k}"))
+    both = placed.alias("p").join(sizes.alias("s"), on).select(*[F.col(f"s.{k}").alias(k) for k in keys], "n", "avg_days", F.col(f"p.{share}").alias("__v"), "__upto")
+    place = lambda q: (F.col("n") - 1) * F.lit(q)
+    ends = [F.min(F.when(F.col("__upto") > edge(place(q)), F.col("__v"))).alias(f"__{side}{k}") for k, q in enumerate((0.25, 0.5, 0.75)) for side, edge in (("low", F.floor), ("high", F.ceil))]
+    out = both.groupBy(*keys, "n", "avg_days").agg(*ends)
+    between = lambda k, q: F.col(f"__low{k}") + (F.col(f"__high{k}") - F.col(f"__low{k}")) * (place(q) - F.floor(place(q)))
+    return out.select(*keys, "n", between(0, 0.25).alias("p25"), between(1, 0.5).alias("median"), between(2, 0.75).alias("p75"), "avg_days")
 
 
 def value_density(parcels: DataFrame, keys: Sequence[str], value: str, width: int = 50_000, least: int = 5) -> DataFrame:

@@ -33,9 +33,19 @@ def orphans(rows: DataFrame, spine: DataFrame, keys: Sequence[tuple[str, str]])
     return rows.filter(there).alias("r").join(spine.select(*[b for _, b in keys]).alias("s"), on, "left_anti")
 
 
-def repeated(rows: DataFrame, keys: Sequence[str], what: str) -> DataFrame:
-    """Keys with several values of ``what``, and the sorted values."""
-    return rows.groupBy(*keys).agg(F.array_sort(F.collect_set(what)).alias("values")).filter(F.size("values") > 1)
+def repeated(rows: DataFrame, keys: Sequence[str], what: str, values: bool = False) -> DataFrame:
+    """Keys with several values of ``what``, with the least and the greatest; with ``values`` also all of them, sorted.
+
+    Keys with one value are out before any list is made, so a list holds repeats only.
+    """
+    found = rows.groupBy(*keys).agg(F.min(what).alias("least"), F.max(what).alias("greatest")).filter(F.col("least") < F.col("greatest"))
+    if not values:
+        return found
+    on = F.lit(True)
+    for k in keys:
+        on = on & rows[k].eqNullSafe(F.col(f"__{k}"))
+    few = found.select(*[F.col(k).alias(f"__{k}") for k in keys])
+    return rows.join(few, on).groupBy(*keys).agg(F.array_sort(F.collect_set(what)).alias("values"))
 
 
 def silent_sources(events: DataFrame, as_of: Column, interval: str) -> DataFrame:

@@ -215,17 +215,36 @@ def allowed(f: Filters, tier: str) -> Filters:
     return replace(f, **{name: getattr(plain, name) for name in HUNTING}, sort=plain.sort)
 
 
+#: Columns that a parsed sentence may ask a range or a value of, and the type of their values.
+ASKED = {"year_built": int, "sqft": int, "lot_sqft": int, "emv_total": float, "market_value": float, "event_value": float, "num_units": int, "property_type": str, "school_district": str}
+
+
 def from_words(asked: dict[str, Any]) -> Filters:
-    """Filters of a parsed sentence: names and values that are not known are dropped."""
-    known = {x.name for x in fields(Filters)}
-    kept = {k: v for k, v in asked.items() if k in known}
-    if kept.get("category") not in CATEGORIES:
-        kept.pop("category", None)
-    if kept.get("sort") not in SORTS:
-        kept.pop("sort", None)
-    if not isinstance(kept.get("limit"), int) or not 1 <= kept["limit"] <= 200:
-        kept.pop("limit", None)
-    return Filters(**kept)
+    """Filters of a parsed sentence: names, columns and values that are not known or of the wrong type are dropped."""
+
+    def fits(value: Any, kind: type) -> bool:
+        return not isinstance(value, bool) and (isinstance(value, kind) or kind is float and isinstance(value, int))
+
+    def some(value: Any) -> dict:
+        return value if isinstance(value, dict) else {}
+
+    checks = {
+        "category": lambda v: v in CATEGORIES if isinstance(v, str) else False,
+        "sort": lambda v: v in SORTS if isinstance(v, str) else False,
+        "limit": lambda v: fits(v, int) and 1 <= v <= 200,
+        "offset": lambda v: fits(v, int) and v >= 0,
+        "multi_signal": lambda v: fits(v, int) and v >= 1,
+        "status": lambda v: v in ("active", "postponed"),
+        "redemption": lambda v: isinstance(v, str) and v in ("in_redemption", "expiring_soon", "expired", *TRACKED),
+        "outcome": lambda v: isinstance(v, str) and v in OUTCOME_BUCKETS,
+        **{name: (lambda v: isinstance(v, str) and v.strip() != "") for name in ("county", "source", "observed_since")},
+        **{name: (lambda v: isinstance(v, bool)) for name in ("absentee", "redeemed", "descending", "compat")},
+    }
+    kept = {k: v for k, v in asked.items() if k in checks and checks[k](v)}
+    ends = {c: tuple(v) for c, v in some(asked.get("ranges")).items() if c in ASKED and ASKED[c] is not str and isinstance(v, list | tuple) and len(v) == 2}
+    ranges = {c: v for c, v in ends.items() if any(x is not None for x in v) and all(x is None or fits(x, ASKED[c]) for x in v)}
+    equal = {c: v for c, v in some(asked.get("equal")).items() if c in ASKED and fits(v, ASKED[c])}
+    return Filters(**kept, ranges=ranges, equal=equal)
 
 
 def saved_search_counts(rows: DataFrame, searches: dict[str, Filters], as_of: Column) -> DataFrame:

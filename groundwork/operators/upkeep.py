@@ -23,7 +23,7 @@ def close_orphans(runs: DataFrame, now: Column, reason: str = "process restart")
     an older one has been made good since. A run without a scraper marks none.
     """
     latest = runs.filter("scraper is not null").groupBy("scraper").agg(F.max(F.struct("started_at", "id"))["id"].alias("__latest"))
-    note = F.concat(F.lit(f"Run never reported completion ({reason}); its counters were never written and measure nothing. started_at="), F.coalesce(F.col("started_at").cast("string"), F.lit("unknown")))
+    note = F.concat(F.lit(f"closed by a sweep after {reason}: it left no end, so what it counted is unknown; started_at="), F.coalesce(F.col("started_at").cast("string"), F.lit("unknown")))
     out = runs.filter("status = 'running'").join(latest, "scraper", "left")
     return out.select("id", "scraper", "started_at", F.lit("interrupted").alias("status"), now.alias("finished_at"), note.alias("error_message"), F.coalesce(F.col("id") == F.col("__latest"), F.lit(False)).alias("unhealthy"))
 
@@ -61,14 +61,16 @@ def unique_rekey(events: DataFrame, spine: DataFrame) -> DataFrame:
     return found.join(there, same, "left_anti").join(twice, same, "left_anti").select("id", F.col("new_id").alias("parcel_id"))
 
 
-def not_promoted(notices: DataFrame, events: DataFrame, sources: Sequence[str]) -> DataFrame:
+def not_promoted(notices: DataFrame, events: DataFrame, sources: Sequence[str], compat: bool = False) -> DataFrame:
     """Notices (county, parcel_id, pin) of which the feed has no sheriff sale yet.
 
-    It has one if an event of ``sources`` is under the notice's parcel, or if an open one of its
+    It has one if an event of ``sources`` is under the notice's county and parcel, or if an open one of its
     county was published (``published``) with the same digits, whatever parcel it is under.
+    ``compat``: a parcel of the same number in any county counts, though numbers repeat across counties.
     """
     sales = events.filter(F.col("source").isin(*sources) & (F.col("event_type") == "sheriff_sale"))
-    by_parcel = notices.join(sales.select("parcel_id"), "parcel_id", "left_anti")
+    on = ["parcel_id"] if compat else ["county", "parcel_id"]
+    by_parcel = notices.join(sales.select(*on), on, "left_anti")
     known = sales.filter("resolved_at is null").select("county", F.nullif(digits(F.col("published")), F.lit("")).alias("__pin"))
     numbered = by_parcel.withColumn("__pin", F.nullif(digits(F.col("pin")), F.lit("")))
     fresh = numbered.filter("__pin is not null").join(known, ["county", "__pin"], "left_anti")

@@ -96,7 +96,7 @@ def rekey_unique_address(spark, sf_dir):
 @query(
     "republication_guard",
     """WITH ev AS (SELECT ['anoka', 'scott'][o_custkey % 2 + 1] AS county, CASE WHEN o_orderkey % 2 = 0 THEN 'STUB-FC-' || o_orderkey ELSE 'P' || o_custkey END AS parcel_id, CAST(o_custkey * 100 AS VARCHAR) AS pub, o_orderkey % 4 = 2 AS resolved FROM orders WHERE o_orderstatus <> 'F' AND o_orderkey % 3 <> 0)
-    SELECT 'anoka' AS county, 'P' || c_custkey AS parcel_id FROM customer c WHERE NOT EXISTS (SELECT 1 FROM ev WHERE ev.parcel_id = 'P' || c_custkey)
+    SELECT 'anoka' AS county, 'P' || c_custkey AS parcel_id FROM customer c WHERE NOT EXISTS (SELECT 1 FROM ev WHERE ev.county = 'anoka' AND ev.parcel_id = 'P' || c_custkey)
       AND (c_custkey % 10 = 0 OR NOT EXISTS (SELECT 1 FROM ev WHERE ev.county = 'anoka' AND NOT resolved AND pub = CAST(c_custkey * 100 AS VARCHAR)))""",
 )
 def republication_guard(spark, sf_dir):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -25,18 +25,35 @@ def windowed_counts(events: DataFrame, at: str, by: Sequence[str], width: str =
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *by, "n", "total")
 
 
-def merge_into(events: DataFrame, path: str, checkpoint: str, keys: Sequence[str], order: str) -> StreamingQuery:
-    """Append each batch's new identities to a Parquet table. Running a batch again adds nothing: its keys are stored by then."""
+#: A batch of more days than this reads the whole table.
+MOST_DAYS = 1_000
+
+
+def merge_into(events: DataFrame, path: str, checkpoint: str, keys: Sequence[str], order: str, day: str | None = None) -> StreamingQuery:
+    """Append each batch's new identities to a Parquet table. Running a batch again adds nothing: its keys are stored by then.
+
+    With ``day``, one of the keys, the table is partitioned by it, and a batch reads the days that it
+    has events of and no others.
+    """
+    if day is not None and day not in keys:
+        raise ValueError("the day has to be one of the keys: repeats of an identity lie in one partition")
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        try:
+        stored = batch.limit(0)
+        if table_exists(spark, path):
             stored = spark.read.schema(batch.schema).parquet(path)
-            fresh = dedup_insert(stored, batch, keys, [F.col(order)])
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            fresh = dedup_insert(batch.limit(0), batch, keys, [F.col(order)])
-        fresh.write.mode("append").parquet(path)
+            days = [r[0] for r in batch.select(day).distinct().limit(MOST_DAYS + 1).collect()] if day else []
+            if 0 < len(days) <= MOST_DAYS:
+                known = F.col(day).isin([d for d in days if d is not None])
+                stored = stored.filter(known | F.col(day).isNull() if None in days else known)
+        fresh = dedup_insert(stored, batch, keys, [F.col(order)]).write.mode("append")
+        (fresh.partitionBy(day) if day else fresh).parquet(path)
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """Is there a folder at the path, in whatever store it lies?"""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)

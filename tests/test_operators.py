@@ -86,6 +86,8 @@ def test_gating_and_words():
     assert all(search.allowed(replace(asked, outcome="reo"), tier) == plain for tier in ("free", "basic", "unknown"))  # outcomes are for premium
     assert all(search.allowed(asked, tier) is asked for tier in ("premium", "admin"))
     assert search.Filters().sort == "event_date" and not search.Filters().descending
+    asked = {"ranges": {"nope": (1, 2), "sqft": [None, 900], "year_built": ("x", 1), "emv_total": (1, 2.5)}, "equal": {"property_type": "House", "num_units": True}, "county": 5, "multi_signal": "2", "absentee": 1, "redeemed": False}
+    assert search.from_words(asked) == search.Filters(ranges={"sqft": (None, 900), "emv_total": (1, 2.5)}, equal={"property_type": "House"}, redeemed=False)
     assert search.from_words({"category": "nope", "sort": "x", "limit": 900, "county": "Anoka", "odd": 1}) == search.Filters(county="Anoka")
 
 

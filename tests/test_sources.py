@@ -54,6 +54,19 @@ def test_stream_merge_is_idempotent(spark, data, tmp_path):
     assert stored.count() == stored.select("event_type", "user_id").distinct().count() == events.limit(200).select("event_type", "user_id").distinct().count()
 
 
+def test_stream_merge_reads_the_days_of_a_batch(spark, data, tmp_path):
+    events = spark.read.parquet(f"{data}/events.parquet").withColumn("day", F.when(F.col("event_id") % 9 != 0, F.to_date("ts"))).select("event_type", "user_id", "event_id", "day")
+    keys, out = ["event_type", "user_id", "day"], str(tmp_path / "out")
+    (tmp_path / "in").mkdir()
+    for run, part in enumerate((events.filter("event_id < 300"), events.filter("event_id between 200 and 500"))):
+        part.write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+        feed.merge_into(stream, out, str(tmp_path / f"c{run}"), keys, "event_id", day="day").awaitTermination()
+    stored = spark.read.parquet(out)
+    assert stored.count() == stored.select(*keys).distinct().count() == events.filter("event_id <= 500").select(*keys).distinct().count()
+    assert stored.filter("day is null").count() > 0
+
+
 def test_stream_deduplication(spark, data, tmp_path):
     events = spark.read.parquet(f"{data}/events.parquet")
     (tmp_path / "in").mkdir()
