@@ -133,9 +133,3 @@ def city_state_zip(spark, sf_dir):
     i = F.col("s_suppkey")
     line = F.when(i % 3 == 0, F.concat(F.lit("SAINT PAUL MN "), i + 55000, F.lit("-1234"))).when(i % 3 == 1, F.concat(F.lit("Duluth, mn "), i + 55000)).otherwise("PO Box 5")
     return table(spark, sf_dir, "supplier").select(i, addresses.city_state_zip(line).alias("p")).select("s_suppkey", "p.city", "p.state", "p.zip")
-
-
-@query("notice_facts", "SELECT doc_id, list_contains(list_transform(string_split_regex(lower(text), '\\s+'), lambda x: x), 'the') AS said, CAST(list_sum([CAST(contains(lower(text), w) AS INT) FOR w IN ['the', 'and', 'secret', 'que']]) AS BIGINT) AS markers FROM documents")
-def notice_facts(spark, sf_dir):
-    words = F.split(F.lower("text"), r"\s+")
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_contains(words, "the").alias("said"), notices.markers(F.col("text"), ["the", "and", "secret", "que"]).cast("long").alias("markers"))
