@@ -16,7 +16,7 @@ import hashlib
 import random
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import accumulate
 
@@ -248,6 +248,29 @@ def viterbi(emit: np.ndarray, first: np.ndarray, move: np.ndarray, begin: np.nda
     return tags.reshape(-1)[:n]
 
 
+_RUN, _PART, _CASE = re.compile(r"[A-Za-z0-9]{12,}"), re.compile(r"[0-9]+|[A-Za-z]+"), re.compile(r"[0-9]+|[A-Z]+|[a-z]+")
+_UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+#: Credentials' names in some other languages.
+FOREIGN = "ключ пароль 密码 パスワード κωδικός mot_de_passe passwort contraseña hasło şifre".split()
+_CREDENTIALS = re.compile("|".join(w if len(w) >= 5 else rf"(?<![a-z]){w}(?![a-z])" for w in [*CREDENTIAL, *FOREIGN]))
+#: A name stands so many code points before its secret, on the same line.
+NAMED_WITHIN = 60
+
+
+def holds(text: str, start: int, end: int) -> bool:
+    """The exact check behind the field: a span that nothing names has to look drawn at random.
+
+    Named is what a credential's word stands before on its line, and the password of an address. The others
+    need a run of 12 letters and digits that change places three times, or one of 16 that changes
+    its case at every second place or so; a UUID by itself is a mere id.
+    """
+    before = text[max(text.rfind("\n", 0, start) + 1, start - NAMED_WITHIN) : start]
+    if _CREDENTIALS.search(before.lower()) or "://" in before and text[start - 1 : start] == ":" and text[end : end + 1] == "@":
+        return True
+    drawn = lambda run: len(_PART.findall(run)) >= 4 or len(run) >= 16 and 2.2 * len(_CASE.findall(run)) >= len(run)
+    return not _UUID.fullmatch(text, start, end) and any(map(drawn, _RUN.findall(text, start, end)))
+
+
 class Tagger:
     """Weights of the field: feature x tag, tag to tag, start and end. ``caution`` is taken from the score of each begin."""
 
@@ -305,7 +328,9 @@ class Tagger:
                 while j + 1 < len(tags) and tags[j + 1] == INSIDE:
                     j += 1
                 k = int(tokens.text[i])
-                found[k].append((int(tokens.start[i] - tokens.base[k]), int(tokens.end[j] - tokens.base[k]), "crf"))
+                start, end = int(tokens.start[i] - tokens.base[k]), int(tokens.end[j] - tokens.base[k])
+                if holds(group[k], start, end):
+                    found[k].append((start, end, "crf"))
             out += found
         return out
 
@@ -335,16 +360,53 @@ def _together(texts: list[str]) -> Iterator[list[str]]:
         yield group
 
 
+#: What made-up words are made of.
+SYLLABLES = "an er th ing on the re st ed sch ung ein ion que es la ment tre ou ci ver heit lich con ar en ti al le de ja mi so qu pf ze wa ky".split()
+#: Names of credentials that programs give to variables, which hold none in their source.
+_VARIABLES = "token tokens password passwd secret key keys auth session pass pwd credentials cookie login signature api_key secret_key access_token client_secret private_key passphrase".split()
+
+
+def program_line(r: random.Random, made: Callable[[], str], talk: Callable[[int, int], str]) -> str:
+    """A made-up line of a program, a query, a table or a licence: long names, paths, formats and rulers, and no secret."""
+    draw = lambda signs, k: "".join(r.choice(signs) for _ in range(k))
+    snake = lambda: r.choice(_VARIABLES) if r.random() < 0.15 else "_".join(made() for _ in range(r.choice([1, 1, 2, 3, 4])))
+    camel = lambda: "".join(made().capitalize() for _ in range(r.choice([1, 2, 3, 4, 5]))) + r.choice(["", "", "", "Error", "XML", "HTTP", "2", "Base"])
+    small = lambda: made() + "".join(made().capitalize() for _ in range(r.choice([1, 2, 3])))
+    const = lambda: "_".join(made().upper() for _ in range(r.choice([1, 2, 3]))) + r.choice(["", "", "_8", "32", "2"])
+    long = lambda: "".join(made() for _ in range(r.choice([2, 3, 4])))
+    name = lambda: r.choice([snake, snake, snake, camel, small, const, long])()
+    dotted = lambda: ".".join(r.choice([snake, snake, camel])() for _ in range(r.choice([2, 2, 3, 4])))
+    path = lambda: r.choice(["/", "./", "", "../", "C:\\\\"]) + r.choice("/-").join(made() for _ in range(r.choice([2, 3, 4, 5]))) + r.choice(["", ".py", ".sql", ".html", ".c", "/", ".tar.gz", "-0.1.2"])
+    url = lambda: r.choice(["http://", "https://", "git+https://"]) + r.choice(["www.", "docs.", "bugs.", ""]) + made() + r.choice([".org/", ".com/", ".net/"]) + "/".join(r.choice([made(), made().upper() + "-2.0", f"{made()}-{made()}", str(r.randint(1, 99999)), f"{made()}.html#{made()}-{made()}"]) for _ in range(r.choice([1, 2, 3])))
+    locale = lambda: f"{draw('abcdefgh', 2)}_{draw('ABCDEFGH', 2)}.{r.choice(['ISO8859-1', 'ISO8859-15', 'UTF-8', 'utf8', 'KOI8-R', 'CP1251', 'eucJP'])}"
+    date = lambda: r.choice([f"{r.randint(1, 31):02}-{r.choice('Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec'.split())}-{r.randint(1, 2030):04}", f"20{r.randint(10, 29)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}", f"{r.randint(0, 23)}:{r.randint(10, 59)}:{r.randint(10, 59)}.{draw('0123456789', 6)}"])
+    mark = lambda: r.choice(["%s", "%-20s", "%(name)s", "{}", "{0!r:>10}", "{name}", "%r", "\\\\x00", "\\\\u0130", "[A-Za-z0-9_]+", "^[-+]?\\\\d+$", "$1", "&amp;", "<br/>", "0x1f", "0xFFFFFFFF", "1e-10"])
+    number = lambda: r.choice([str(r.randint(0, 99)), str(r.randint(100, 10**9)), f"{r.random():.{r.randint(2, 15)}f}", f"0x{draw('0123456789abcdef', r.choice([2, 4, 8]))}", draw("0123456789", r.choice([11, 12, 13, 14])), f"{draw('0123456789', 2)}-{draw('0123456789', 3)}-{draw('0123456789', 2)}-{draw('0123456789', 4)}"])
+    value = lambda: r.choice([name, name, dotted, number, number, path, url, locale, date, mark, lambda: f"{name()}({name()})", lambda: "None", lambda: f"{dotted()}({name()}={number()})", lambda: f"[{number()}:{number()}]", lambda: f"{made()}/{made()}-{made()}-{made()}", lambda: f"{made()}-{made()}-{made()}"])()
+    quoted = lambda: r.choice("'\"") + r.choice([value, value, lambda: talk(1, 6), lambda: mark() + name() + mark()])() + r.choice("'\"")
+    ruler = lambda: r.choice(["=", "=", "=", "-", "-", "#", "*", "~", "_", "=-", "+-", ". "]) * r.choice([r.randint(3, 30), r.randint(3, 30), r.randint(3, 90)])
+    pad = "    " * r.choice([0, 0, 1, 1, 2, 3])
+    return pad + r.choice([
+        lambda: f"def {name()}({', '.join(name() + r.choice(['', '=None', ': str', f': {camel()} = None']) for _ in range(r.randint(0, 4)))}):",
+        lambda: f"{name()} = {value()}", lambda: f"{r.choice(_VARIABLES)} = {r.choice([name, dotted])()}({name()})", lambda: f"{name()} = {quoted()}", lambda: f"{dotted()} = {dotted()}({quoted()}, {name()}={value()})", lambda: f"self.{snake()}={value()}",
+        lambda: f"import {name()}, {dotted()}", lambda: f"from {dotted()} import {camel()}, {name()} as {name()}", lambda: f"class {camel()}({camel()}):", lambda: f"raise {camel()}({quoted()})", lambda: f"if {name()} is None and {dotted()} != {quoted()}:", lambda: f"return {dotted()}[{number()}], {quoted()}",
+        lambda: f"{quoted()}: {quoted()},", lambda: f"{quoted()}: {value()},", lambda: ", ".join(quoted() for _ in range(r.randint(2, 8))), lambda: ", ".join(number() for _ in range(r.randint(2, 12))) + ",", lambda: f"'{locale().lower()}': '{locale()}',", lambda: " ".join(name() for _ in range(r.randint(2, 9))),
+        lambda: f"#define {const()} {value()}", lambda: f"--{'-'.join(made() for _ in range(3))}={value()}", lambda: f"# {talk(2, 10)} `{dotted()}`", lambda: f":param {snake()}: {talk(2, 8)}", lambda: f"@{dotted()}({quoted()})", lambda: f"assert {name()}({value()}) == {value()}", lambda: f"{name()}={value()}&{name()}={number()}",
+        lambda: f"SELECT {name()}, {dotted()} AS {name()} FROM {dotted()} WHERE {name()} = {quoted()} AND {name()} ~ {quoted()};", lambda: f"CREATE INDEX IF NOT EXISTS {snake()}_{snake()}_idx ON {dotted()} ({name()}, {name()});", lambda: f"ALTER TABLE {dotted()} ADD CONSTRAINT {snake()}_{snake()}_key UNIQUE ({name()});", lambda: f"-- {talk(1, 8)}: {value()} -> {value()}",
+        lambda: ruler(), lambda: f"# {ruler()}", lambda: f"-- {ruler()}", lambda: f"/* {ruler()} */", lambda: f"{ruler()} {talk(1, 4)} {ruler()}", lambda: f"# === {talk(1, 4)} {'=' * r.randint(3, 60)}", lambda: "|" + "|".join(r.choice(["---", ":--", f" {value()} ", f" {talk(1, 3)} "]) for _ in range(r.randint(2, 6))) + "|",
+        lambda: f"+{'-' * r.randint(3, 30)}+{'=' * r.randint(3, 30)}+", lambda: talk(4, 12).upper() + f" ({url()}).", lambda: f"{talk(2, 6)} <{url()}>",
+    ])()
+
+
 def examples(n: int = 600, seed: int = 7) -> list[tuple[str, list[tuple[int, int]]]]:
     """Made-up texts of several lines with the spans of their secrets."""
     r = random.Random(seed)
     lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
     alnum, upper = lower.upper() + lower + digits, lower.upper() + digits
     b64 = alnum + "+/"
-    syllables = "an er th ing on the re st ed sch ung ein ion que es la ment tre ou ci ver heit lich con ar en ti al le de ja mi so qu pf ze wa ky".split()
     common = "the of and to a in is that it for der die und den von zu de la le et les que el en y los por was with on est".split()
     draw = lambda signs, k: "".join(r.choice(signs) for _ in range(k))
-    made = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 5)))
+    made = lambda: "".join(r.choice(SYLLABLES) for _ in range(r.randint(1, 5)))
     word = lambda: r.choice(common) if r.random() < 0.45 else made() + (r.choice(["é", "ü", "ñ", ""]) if r.random() < 0.05 else "")
     some = lambda a, b: " ".join(word() for _ in range(r.randint(a, b)))
     leet = lambda: "".join({"a": "4", "e": "3", "i": "1", "o": "0"}.get(c, c) if r.random() < 0.4 else c.upper() if r.random() < 0.15 else c for c in made() + made())
@@ -401,15 +463,49 @@ def examples(n: int = 600, seed: int = 7) -> list[tuple[str, list[tuple[int, int
     other = ["name", "path", "id", "see", "file", "user", "page", "size", "title", "url", "host", "version", "date", "mail", "phone", "card", "count", "address", "key", "session", "token", "pass", "login", "secret"]
     prefixes = ["", "", "", "DB_", "my ", "the ", "app.", "export ", "- ", '  "', "user ", "admin "]
     links = [" = ", "=", ": ", ":", " ", " is ", ' = "', "='", '": "', " => ", " -> ", " was ", " ist ", " es "]
+    native = [w.capitalize() if r.random() < 0.3 else w for w in FOREIGN]
     out = []
-    for _ in range(n):
+    for k in range(n):
         text, spans = "", []
+        if k % 5 < 2:  # programs, queries, tables and licences, nearly all without a secret
+            for _ in range(r.choice([1, 2, 4, 8])):
+                if r.random() < 0.04:
+                    lead = r.choice(["", "    ", "self.", "export "]) + r.choice(named) + r.choice([" = '", '="', "=", ": "])
+                    body = r.choice(strong + weak)()
+                    spans.append((len(text) + len(lead), len(text) + len(lead) + len(body)))
+                    text += lead + body
+                    text += "\n"
+                else:
+                    text += program_line(r, made, some) + r.choice(["", "", ",", ";", ")", "\n"]) + "\n"
+            out.append((text, spans))
+            continue
         code = r.random() < 0.35
         for _ in range(r.choice([1, 1, 2, 3, 5, 8, 14])):
             lead, tail = ("" if code and r.random() < 0.7 else some(0, 7)), ("" if code and r.random() < 0.7 else some(0, 7))
             lead += " " if lead else ""
             kind = r.random()
             end = r.choice(["", "", ".", " ", '"', ";", ",", "'", " #"])
+            special = r.random()
+            if special < 0.02:  # a password in an address
+                body = r.choice(weak)().replace("@", "").replace("/", "").replace(":", "").replace("#", "")
+                lead += f"{r.choice(['postgres', 'mysql', 'redis', 'amqp', 'mongodb+srv', 'https', 'ftp'])}://{made()}:"
+                spans.append((len(text) + len(lead), len(text) + len(lead) + len(body)))
+                text += f"{lead}{body}@{made()}.{made()}{r.choice([':5432', '', '.com'])}/{made()} {tail}\n"
+                continue
+            if special < 0.03:  # the lines of a private key
+                text += f"-----BEGIN {r.choice(['', 'RSA ', 'EC ', 'OPENSSH '])}PRIVATE KEY-----\n"
+                for _ in range(r.randint(1, 4)):
+                    body = draw(b64, 64)
+                    spans.append((len(text), len(text) + 64))
+                    text += body + "\n"
+                text += "-----END PRIVATE KEY-----\n"
+                continue
+            if special < 0.08:  # named in another script or language
+                lead += r.choice(native) + r.choice([" = ", ": ", "=", " ist "])
+                body = r.choice(strong + weak[:3])()
+                spans.append((len(text) + len(lead), len(text) + len(lead) + len(body)))
+                text += f"{lead}{body} {tail}\n"
+                continue
             if kind < 0.22 or kind < 0.45 and code:
                 named_here = r.random() < 0.75
                 body = r.choice(strong)() if not named_here or r.random() < 0.4 else r.choice(weak)()
@@ -429,7 +525,7 @@ def examples(n: int = 600, seed: int = 7) -> list[tuple[str, list[tuple[int, int
 
 
 @lru_cache(maxsize=1)
-def train(n: int = 600, steps: int = 60, decay: float = 1e-3, caution: float = 0.0) -> Tagger:
+def train(n: int = 1000, steps: int = 50, decay: float = 1e-3, caution: float = 0.0) -> Tagger:
     """Conditional likelihood on ``examples`` by full-batch Adam, whole texts padded into one array."""
     made = [m for m in ((Tokens([t]), spans) for t, spans in examples(n)) if len(m[0].start)]
     made.sort(key=lambda m: len(m[0].start))
