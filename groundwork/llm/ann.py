@@ -144,7 +144,8 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, target: float = 0.9
     fitted on about ``sample_rows`` vectors, and with them the number of lists a query
     visits (``target`` of the nearest in the sample lie there); every vector is indexed.
     There are two lists for each unit of the square root of the count, so far as the
-    sample has 16 rows for each. ``depth`` candidates of a query are reranked (k at least).
+    sample has 16 rows for each: with the default sample 1,024 lists at most, so above 262,144
+    vectors lists grow with the table. A larger ``sample_rows`` gives more lists. ``depth`` candidates of a query are reranked (k at least).
     """
     depth = max(depth, k)
     good = F.col("vec_id").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
@@ -156,7 +157,8 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, target: float = 0.9
     d, n = size["d"], size["n"]
     rows = rows.filter(F.size("embedding") == d).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     rows = cut(rows)  # of copies of an id one is left, and later steps read the vectors from here
-    draw = F.pmod(F.xxhash64(F.lit(11), "vec_id"), F.lit(1_000_000)) < int(min(1.0, sample_rows / n) * 1_000_000)
+    share = min(1.0, sample_rows / n)  # of all hash values, so it is exact for any count
+    draw = F.xxhash64(F.lit(11), "vec_id") <= F.lit(min(2**63 - 1, int(share * 2**64) - 2**63)).cast("long")
     sample = rows.filter(draw).limit(2 * sample_rows).orderBy("vec_id").select("embedding").toPandas()["embedding"]
     if not len(sample):  # a few rows, none of them drawn
         sample = rows.limit(sample_rows).toPandas()["embedding"]
