@@ -1,3 +1,3 @@
 """Importing this package registers its queries."""
 
-from groundwork.plans import deriving, documents, emitting, feed, landed, matching, merging, portal, resolving, scalars, serving, statistics, upkeep  # noqa: F401
+from groundwork.plans import deriving, documents, emitting, feed, landed, matching, merging, portal, resolving, scalars, serving, statistics, upkeep, views  # noqa: F401

@@ -114,28 +114,6 @@ def redemption_stats(spark, sf_dir):
     return aggregate.redemption_stats(feed(spark, sf_dir).withColumn("st", state), "st", "outcome").withColumn("resolved_pct", F.col("resolved_pct").cast("double"))
 
 
-@query(
-    "integrity_checks",
-    f"""WITH {FEED}, n AS (
-      SELECT 'undated' AS "check", (SELECT count(*) FROM feed WHERE event_date IS NULL) AS n, 100 AS m, 1000 AS h, 0 AS place UNION ALL
-      SELECT 'orphans', (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)), 1, 10, 1 UNION ALL
-      SELECT 'repeated', (SELECT count(*) FROM (SELECT parcel_key FROM feed WHERE source = 'mpls_vbr' GROUP BY parcel_key, event_date HAVING count(DISTINCT id) > 1)), 5, 500, 2 UNION ALL
-      SELECT 'silent', (SELECT count(*) FROM (SELECT source FROM feed GROUP BY 1 HAVING date_diff('day', CAST(max(observed_at) AS DATE), DATE '2024-06-15') > 60)), 1, 5, 3 UNION ALL
-      SELECT 'future', (SELECT count(*) FROM feed WHERE observed_at > TIMESTAMP '{AS_OF}'), 1, 10, 4)
-    SELECT "check", n, CASE WHEN n = 0 THEN 'ok' WHEN n >= h THEN 'high' WHEN n >= m THEN 'medium' ELSE 'low' END AS severity, CAST(place AS BIGINT) AS place FROM n""",
-)
-def integrity_checks(spark, sf_dir):
-    rows = feed(spark, sf_dir)
-    all_checks = [
-        ("undated", rows.filter("event_date is null"), 100, 1000),
-        ("orphans", checks.orphans(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"), [("o_custkey", "c_custkey")]), 1, 10),
-        ("repeated", checks.repeated(rows.filter("source = 'mpls_vbr'"), ["parcel_key", "event_date"], "id"), 5, 500),
-        ("silent", checks.silent_sources(rows.withColumn("every", F.lit(7)), F.lit("2024-06-15").cast("date"), "every"), 1, 5),
-        ("future", rows.filter(F.col("observed_at") > as_of()), 1, 10),
-    ]
-    return checks.findings(all_checks).select("check", "n", "severity", F.col("place").cast("long").alias("place"))
-
-
 @query(
     "source_freshness",
     """WITH s AS (SELECT o_orderkey AS id, CASE o_orderkey % 7 WHEN 0 THEN ' None ' WHEN 1 THEN 'published' END AS sem, CASE WHEN o_orderkey % 5 <> 0 THEN DATE '2024-03-01' - CAST(o_orderkey % 300 - 20 AS INT) END AS newest, CASE WHEN o_orderkey % 4 <> 0 THEN CAST(o_orderkey % 4 * 20 AS INT) END AS every,
