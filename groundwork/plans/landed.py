@@ -8,6 +8,7 @@ from groundwork.operators import aggregate
 from groundwork.registry import query
 from groundwork.session import table
 from groundwork.sources import certificates, portal, readers
+from groundwork.sources import county_parcels as county_layers
 
 # --- portal pages: one of each customer, with all of their orders as tax lines ---------------
 
@@ -165,3 +166,55 @@ def html_tables(spark, sf_dir):
         html = F.regexp_replace(html, old, new)
     cells = readers.html_tables(table(spark, sf_dir, "pages").select("page_id", html.alias("html")), "html", ["page_id"])
     return readers.listing_rows(cells, {"name": "name", "link": "link"}, ["page_id"]).select("page_id", F.col("row_no").cast("long").alias("n"), "name", "link")
+
+
+# --- parcels of eight counties: every part is a feature, with the field names of its county -------
+
+FEED = ["hennepin", "ramsey", "dakota", "washington", "olmsted", "fillmore", "wabasha", "koochiching", "nowhere"]
+
+
+@query(
+    "county_parcels",
+    f"""WITH f AS (SELECT p_partkey AS k, {FEED}[p_partkey % 9 + 1] AS county, CASE WHEN p_partkey % 10 = 0 THEN 0 ELSE p_partkey * 100 END AS v, CASE WHEN p_partkey % 4 = 0 THEN 0 ELSE p_partkey % 700 + 1500 END AS y, p_partkey % 60 AS a FROM part WHERE p_partkey % 9 <> 8 AND p_partkey % 31 <> 0)
+    SELECT k, county, CASE county WHEN 'hennepin' THEN '0' || (100000000000 + k) WHEN 'ramsey' THEN CAST(100000000000 + k AS VARCHAR) WHEN 'fillmore' THEN CAST(100000000 + k AS VARCHAR) ELSE CAST(100000000 + k AS VARCHAR) END AS digits,
+      CASE WHEN v > 0 THEN CAST(v AS DECIMAL(18,2)) WHEN county = 'koochiching' THEN CAST(7000 AS DECIMAL(18,2)) END AS emv_total, CAST(CASE WHEN county IN ('olmsted', 'fillmore') OR y < 1800 OR y > 2027 THEN NULL ELSE y END AS BIGINT) AS year_built,
+      CASE WHEN county IN ('hennepin', 'wabasha', 'koochiching') THEN k || ' Oak' WHEN county = 'olmsted' THEN NULL ELSE k || ' OAK ST' END AS address, CASE WHEN county <> 'olmsted' THEN 'Lake City' END AS city,
+      CAST(CASE WHEN county IN ('hennepin', 'ramsey', 'olmsted') OR a = 0 THEN NULL ELSE a * 43560 END AS BIGINT) AS lot_sqft, CASE WHEN county = 'dakota' THEN DATE '2020-01-01' + CAST(k % 100 AS INT) END AS last_sale_date
+    FROM f""",
+)
+def county_parcels(spark, sf_dir):
+    k = F.col("p_partkey")
+    value, year, acres = F.when(k % 10 == 0, 0).otherwise(k * 100), F.when(k % 4 == 0, 0).otherwise(k % 700 + 1500), k % 60
+    sold = (F.unix_timestamp(F.lit("2020-01-01").cast("date")) + k % 100 * 86_400) * 1000
+    twelve, nine, street = (100_000_000_000 + k).cast("string"), (100_000_000 + k).cast("string"), F.concat(k, F.lit(" OAK ST"))
+    shared = {"county_pin": nine, "anumber": k, "anumbersuf": F.lit(" "), "st_name": F.lit("Oak"), "postcomm": F.lit(None), "ctu_name": F.lit("LAKE CITY"), "year_built": year, "emv_total": value, "emv_land": F.lit(7000), "emv_bldg": F.lit(0), "acres_poly": F.lit("0"), "acres_deed": acres}
+    layers = [
+        {"PID": twelve, "HOUSE_NO": k, "STREET_NM": F.lit("Oak"), "MUNIC_NM": F.lit("LAKE CITY"), "BUILD_YR": year, "MKT_VAL_TOT": value},
+        {"ParcelID": twelve, "SiteAddress": street, "SiteCityName": F.lit("lake city"), "YearBuilt": year, "EMVTotal": value},
+        {"PIN": nine, "SITEADDRESS": street, "MUNICIPALITY": F.lit("Lake City"), "YEAR_BUILT": year, "TOTALVAL": value, "LANDVAL": F.lit(0), "TOTAL_ACRES": acres, "SALE_DATE": sold},
+        {"PIN": nine, "SITUS_ADDRESS": street, "CITY": F.lit("LAKE CITY"), "YEAR_BUILT": year, "EMV_TOTAL": value, "ACRES_DEED": acres},
+        {"PARID": nine, "EMVTotal": value, "SiteCity": F.lit("n/a")},
+        {"PIN": nine, "PROPERTYAD": street, "PROPERTYCI": F.lit("LAKE CITY"), "ESTIMATEDT": value, "DEEDEDACRE": acres, "Acres": F.lit("")},
+        {**shared, "emv_land": F.lit(None), "acres_poly": acres},
+        {**shared, "acres_poly": acres},
+        {"PIN": nine},
+    ]
+    pins = ("PID", "ParcelID", "PIN", "PARID", "county_pin")
+    maps = [F.create_map(*[x for n, v in layer.items() for x in (F.lit(n), (F.when(k % 31 != 0, v) if n in pins else v).cast("string"))]) for layer in layers]
+    picked = F.lit(None)
+    for i, m in enumerate(maps):
+        picked = F.when(k % 9 == i, m).otherwise(picked) if i else F.when(k % 9 == 0, m)
+    ring = F.lit(None).cast("array<struct<x:double,y:double>>")
+    features = table(spark, sf_dir, "part").select(k, F.get(F.array(*map(F.lit, FEED)), (k % 9).cast("int")).alias("county"), picked.alias("attributes"), ring.alias("ring"))
+    rows, _ = county_layers.parcels(features, F.lit("2026-06-01").cast("date"))
+    digits = F.regexp_replace("parcel_id", "[^0-9]", "")
+    return rows.select((F.substring(digits, -8, 8).cast("long")).alias("k"), "county", digits.alias("digits"), "emv_total", F.col("year_built").cast("long").alias("year_built"), "address", "city", "lot_sqft", "last_sale_date")
+
+
+@query("county_parcel_rejects", f"SELECT CASE WHEN p_partkey % 9 = 8 THEN 'unknown county' ELSE 'no parcel number' END AS reason, {FEED}[p_partkey % 9 + 1] AS county, count(*) AS n FROM part WHERE p_partkey % 9 = 8 OR p_partkey % 31 = 0 GROUP BY ALL")
+def county_parcel_rejects(spark, sf_dir):
+    k = F.col("p_partkey")
+    pin = F.when(k % 31 != 0, k.cast("string"))
+    attributes = F.create_map(*[x for n in ("PID", "ParcelID", "PIN", "PARID", "county_pin") for x in (F.lit(n), pin)])
+    features = table(spark, sf_dir, "part").select(F.get(F.array(*map(F.lit, FEED)), (k % 9).cast("int")).alias("county"), attributes.alias("attributes"), F.lit(None).cast("array<struct<x:double,y:double>>").alias("ring"))
+    return county_layers.parcels(features, F.lit("2026-06-01").cast("date"))[1].groupBy("reason", "county").agg(F.count(F.lit(1)).alias("n"))
