@@ -62,6 +62,39 @@ def addr_key(raw: Column) -> Column:
     return F.array_join(F.transform(kept, lambda w: F.coalesce(F.try_element_at(short, w), w)), "")
 
 
+def two_layer_key(raw: Column) -> Column:
+    """Key of two layers of one county: upper case, nothing from a # on, street types and compass words short, word for word."""
+    words = _words(F.upper(F.substring_index(F.trim(F.coalesce(raw, F.lit(""))), "#", 1)))
+    short = _lookup({**STREET_SHORT, **COMPASS_SHORT})
+    return F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(short, w), w)), " ")
+
+
+def street_line(raw: Column) -> Column:
+    """Street of a mailing address: upper case, single spaces, without a unit at its end ('#12', 'UNIT 4'); null if blank."""
+    words = _words(F.upper(F.regexp_replace(F.coalesce(raw, F.lit("")), "#", " #")))
+    n = F.size(words)
+    marked = F.when(F.get(words, n - 1).startswith("#") & (F.length(F.get(words, n - 1)) > 1), 1).when((n > 2) & F.get(words, n - 2).isin("#", *UNIT_WORDS), 2).otherwise(0)
+    return F.nullif(F.array_join(F.slice(words, 1, F.greatest(n - marked, F.lit(0))), " "), F.lit(""))
+
+
+# More words that a rekey leaves out: a unit with its number at the end, compass words at the end, street types anywhere.
+REKEY_UNITS = (*UNIT_WORDS, "APARTMENT")
+REKEY_TYPES = "ST AVE LN CIR BLVD DR CT PL TRL PKWY TER RD WAY STREET AVENUE LANE CIRCLE BOULEVARD DRIVE COURT PLACE TRAIL PARKWAY TERRACE ROAD".split()
+
+
+def rekey_key(raw: Column) -> Column:
+    """Loose key of a rekey: letters and digits, without street types, without compass words and a unit at the end."""
+    words = _words(F.regexp_replace(F.upper(F.coalesce(raw, F.lit(""))), r"[^A-Z0-9-]", " "))
+    n = F.size(words)
+    is_unit = F.get(words, n - 2).isin(*REKEY_UNITS)
+    words = F.when(n < 2, words).when(is_unit, F.slice(words, 1, F.greatest(n - 2, F.lit(0)))).when(F.get(words, n - 1).isin(*REKEY_UNITS), F.slice(words, 1, n - 1)).otherwise(words)
+    words = F.filter(words, lambda w: ~w.isin(*REKEY_TYPES))
+    compass = [*COMPASS_SHORT, *COMPASS_SHORT.values()]
+    m = F.size(words)
+    words = F.when((m > 0) & F.get(words, m - 1).isin(*compass), F.slice(words, 1, F.greatest(m - 1, F.lit(0)))).otherwise(words)
+    return F.regexp_replace(F.array_join(words, ""), "[^A-Z0-9]", "")
+
+
 def one_house(raw: Column) -> Column:
     """False for lists of addresses and for addresses without a house number: these are never resolved."""
     words = _words(F.lower(F.regexp_replace(raw, ";", " ; ")))

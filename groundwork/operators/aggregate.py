@@ -63,15 +63,26 @@ def coverage(breakdown: DataFrame, events: DataFrame, parcels: DataFrame, least:
     return all_three.agg(*[F.max(c).alias(c) for c in all_three.columns])
 
 
-def overlay(events: DataFrame, keys: Sequence[str], family: str, severity: str) -> DataFrame:
-    """Signals of each parcel: distinct families, their sorted list, the highest severity, events."""
+#: Flags of an overlay and the families that set them.
+OVERLAY_FLAGS = {
+    "has_foreclosure": ("sheriff_sale", "foreclosure"),
+    "has_tax": ("tax_forfeit", "tax_delinquent", "tax_assessment", "tax_forfeiture_redemption"),
+    "has_vacant": ("vacant", "vbr_listing", "boarded_building", "condemned_building"),
+    "has_probate": ("probate_filing",),
+    "has_violation": ("code_violation",),
+}
+
+
+def overlay(events: DataFrame, keys: Sequence[str], family: str, severity: str, flags: Mapping[str, Sequence[str]] = OVERLAY_FLAGS) -> DataFrame:
+    """Signals of each parcel: distinct families, their sorted list, a flag for each kind of family, the highest severity, events."""
     ranked = events.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_events"),
         F.array_sort(F.collect_set(family)).alias("families"),
         F.max(severity_rank(F.col(severity))).alias("__rank"),
     )
     named = F.when(F.col("__rank") > 0, F.get(F.array(*map(F.lit, SEVERITIES)), F.col("__rank") - 1))
-    return ranked.select(*keys, "n_events", F.size("families").alias("signal_count"), "families", named.alias("max_severity"))
+    marks = [F.arrays_overlap("families", F.array(*map(F.lit, members))).alias(name) for name, members in flags.items()]
+    return ranked.select(*keys, "n_events", F.size("families").alias("signal_count"), "families", *marks, named.alias("max_severity"))
 
 
 def owner_portfolios(rows: DataFrame, owner: str, parcel: str, absentee: str, family: str) -> DataFrame:

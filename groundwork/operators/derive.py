@@ -158,15 +158,21 @@ def value_band(value: Column) -> Column:
 
 
 def centroid(ring: Column) -> Column:
-    """struct(x, y) of a closed ring, array<struct<x, y>>: area-weighted; a ring without area has the mean of its points."""
+    """struct(x, y) of a closed ring, array<struct<x, y>>: area-weighted.
+
+    A ring without area, or a sliver whose rounding errors throw the centroid out of the
+    ring's own box, has the mean of its points.
+    """
     n = F.size(ring)
     steps = F.when(n > 1, F.sequence(F.lit(0), n - 2)).otherwise(F.array().cast("array<int>"))
     cross = lambda i: F.get(ring, i)["x"] * F.get(ring, i + 1)["y"] - F.get(ring, i + 1)["x"] * F.get(ring, i)["y"]
     total = lambda f: F.aggregate(F.transform(steps, f), F.lit(0.0), lambda a, v: a + v)
     area = total(cross) / 2
     mean = lambda c: F.try_divide(F.aggregate(F.transform(ring, lambda p: p[c].cast("double")), F.lit(0.0), lambda a, v: a + v), n)
-    at = lambda c: total(lambda i: (F.get(ring, i)[c] + F.get(ring, i + 1)[c]) * cross(i)) / (6 * area)
-    pick = lambda c: F.when(F.abs(area) > 1e-12, at(c)).otherwise(mean(c))
+    at = lambda c: F.try_divide(total(lambda i: (F.get(ring, i)[c] + F.get(ring, i + 1)[c]) * cross(i)), 6 * area)
+    ends = lambda c: (F.array_min(F.transform(ring, lambda p: p[c])), F.array_max(F.transform(ring, lambda p: p[c])))
+    whole = F.coalesce((F.abs(area) > 1e-12) & at("x").between(*ends("x")) & at("y").between(*ends("y")), F.lit(False))
+    pick = lambda c: F.when(whole, at(c)).otherwise(mean(c))
     return F.struct(pick("x").alias("x"), pick("y").alias("y"))
 
 

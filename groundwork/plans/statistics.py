@@ -39,9 +39,10 @@ SIGNALS = f"""{FEED}, o AS (SELECT parcel_key, count(*) AS n_events, count(DISTI
     max(CASE severity WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 ELSE 4 END) AS r FROM feed GROUP BY 1)"""
 
 
-@query("overlay_signals", f"WITH {SIGNALS} SELECT parcel_key, n_events, signal_count, families, CASE r WHEN 1 THEN 'low' WHEN 2 THEN 'medium' WHEN 3 THEN 'high' ELSE 'critical' END AS max_severity FROM o")
+@query("overlay_signals", f"WITH {SIGNALS} SELECT parcel_key, n_events, signal_count, families, CASE r WHEN 1 THEN 'low' WHEN 2 THEN 'medium' WHEN 3 THEN 'high' ELSE 'critical' END AS max_severity, regexp_matches(families, '(^|,)(tax_forfeit|tax_delinquent|tax_assessment)(,|$)') AS has_tax, regexp_matches(families, '(^|,)(click|view)(,|$)') AS has_visit FROM o")
 def overlay_signals(spark, sf_dir):
-    out = aggregate.overlay(feed(spark, sf_dir), ["parcel_key"], "event_type", "severity")
+    flags = {"has_tax": aggregate.OVERLAY_FLAGS["has_tax"], "has_visit": ("click", "view")}
+    out = aggregate.overlay(feed(spark, sf_dir), ["parcel_key"], "event_type", "severity", flags)
     return out.withColumns({"families": F.array_join("families", ","), "signal_count": F.col("signal_count").cast("long")})
 
 
