@@ -124,7 +124,8 @@ def percentile_bands(sales: DataFrame, keys: Sequence[str], share: str, days: st
     place = lambda q: (F.col("n") - 1) * F.lit(q)
     ends = [F.min(F.when(F.col("__upto") > edge(place(q)), F.col("__v"))).alias(f"__{side}{k}") for k, q in enumerate((0.25, 0.5, 0.75)) for side, edge in (("low", F.floor), ("high", F.ceil))]
     out = both.groupBy(*keys, "n", "avg_days").agg(*ends)
-    between = lambda k, q: F.col(f"__low{k}") + (F.col(f"__high{k}") - F.col(f"__low{k}")) * (place(q) - F.floor(place(q)))
+    weighed = lambda k, q: (F.ceil(place(q)) - place(q)) * F.col(f"__low{k}") + (place(q) - F.floor(place(q))) * F.col(f"__high{k}")
+    between = lambda k, q: F.when(F.ceil(place(q)) == F.floor(place(q)), F.col(f"__low{k}")).otherwise(weighed(k, q))
     return out.select(*keys, "n", between(0, 0.25).alias("p25"), between(1, 0.5).alias("median"), between(2, 0.75).alias("p75"), "avg_days")
 
 

@@ -12,7 +12,7 @@ COUNTIES = ["anoka", "scott", "wright"]
 DAY = "1998-08-02"
 
 # parcels: every fourth is a placeholder, every 40th stands there twice
-PARCELS = f"""p0 AS (SELECT {COUNTIES}[c_custkey % 3 + 1] AS county, CASE WHEN c_custkey % 4 = 0 THEN 'X-FC-' || c_custkey ELSE 'P' || c_custkey END AS parcel_id, (c_custkey % 200) || ' Oak St' AS address, 's' || (c_custkey % 5) AS data_sources,
+PARCELS = f"""p0 AS (SELECT {COUNTIES}[c_custkey % 3 + 1] AS county, CASE WHEN c_custkey % 4 = 0 THEN 'X-FC-' || c_custkey ELSE 'P' || c_custkey END AS parcel_id, (c_custkey % 750) || ' Oak St' AS address, 's' || (c_custkey % 5) AS data_sources,
     CASE WHEN c_custkey % 2 = 0 THEN DATE '{DAY}' ELSE DATE '1998-01-01' END AS created_at, CAST(c_acctbal AS DECIMAL(18,2)) AS emv_total, 1900 + c_custkey % 100 AS year_built, c_custkey AS k FROM customer)"""
 # events: parcels of the order's customer; some without a county, some published in the raw record
 EVENTS = f"""e AS (SELECT o_orderkey AS id, 's' || (o_custkey % 9) AS source, CASE WHEN o_custkey % 4 = 0 THEN 'X-FC-' || o_custkey ELSE 'P' || o_custkey END AS parcel_id, CASE WHEN o_orderkey % 5 <> 0 THEN {COUNTIES}[o_custkey % 3 + 1] END AS county,
@@ -31,7 +31,7 @@ def _parcel(x):
 def parcels(spark, sf_dir):
     k = F.col("c_custkey")
     made = F.when(k % 2 == 0, DAY).otherwise("1998-01-01").cast("date")
-    return table(spark, sf_dir, "customer").select(_pick(k).alias("county"), _parcel(k).alias("parcel_id"), F.concat(k % 200, F.lit(" Oak Street")).alias("address"), F.concat(F.lit("s"), k % 5).alias("data_sources"), made.alias("created_at"), F.col("c_acctbal").cast("decimal(18,2)").alias("emv_total"), (1900 + k % 100).alias("year_built"))
+    return table(spark, sf_dir, "customer").select(_pick(k).alias("county"), _parcel(k).alias("parcel_id"), F.concat(k % 750, F.lit(" Oak Street")).alias("address"), F.concat(F.lit("s"), k % 5).alias("data_sources"), made.alias("created_at"), F.col("c_acctbal").cast("decimal(18,2)").alias("emv_total"), (1900 + k % 100).alias("year_built"))
 
 
 def events(spark, sf_dir):
