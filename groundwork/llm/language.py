@@ -124,18 +124,21 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(train: DataFrame, rows_per_language: int = 800, seed: int = 5) -> LanguageModel:
+def fit(train: DataFrame, rows_per_language: int = 800, seed: int = 5, most_languages: int = 128, most_rows: int = 12_800) -> LanguageModel:
     """Model of labelled documents (doc_id, text, lang; rows without a text or lang are left out).
 
-    The classifier sees a sample of about ``rows_per_language`` documents of each language,
-    at most twice that in all (the rows with the smallest keys); document frequencies come from every document. A fifth of the
-    sample fits the temperature only. Without documents the model knows no language.
+    The classifier sees a sample of about ``rows_per_language`` documents of each language, about ``most_rows`` in
+    all, at most twice that (the rows with the smallest keys); document frequencies come from every document. A fifth of the
+    sample fits the temperature only. Of more than ``most_languages`` labels the most frequent are learned
+    (ties by name): a driver row, and a column of the weights, is held for each of these only.
+    Without documents the model knows no language.
     """
     train = train.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
     if not sizes:
         return LanguageModel()
     languages = sorted(sizes)
+    rows_per_language = min(rows_per_language, max(1, most_rows // len(languages)))
 
     def frequencies(batches):
         seen, docs = np.zeros(BUCKETS, np.int64), 0
@@ -162,7 +165,7 @@ def fit(train: DataFrame, rows_per_language: int = 800, seed: int = 5) -> Langua
 
     share = F.create_map(*[x for name in languages for x in (F.lit(name), F.lit(min(1.0, rows_per_language / sizes[name])))])
     key = F.xxhash64(F.lit(seed), "doc_id", "text")
-    drawn = train.filter(F.pmod(key, F.lit(1_000_000)) / 1e6 < F.element_at(share, F.col("lang"))).select("lang", "text", key.alias("key"))
+    drawn = train.filter(F.pmod(key, F.lit(1_000_000)) / 1e6 < F.try_element_at(share, F.col("lang"))).select("lang", "text", key.alias("key"))
     # the bound: the smallest keys, merged from bounded heaps of the partitions
     sample = drawn.mapInArrow(sparse, "lang string, key bigint, at binary, n binary").orderBy("key", "lang").limit(2 * rows_per_language * len(languages)).collect()
     model = LanguageModel(languages, idf, np.zeros((BUCKETS, len(languages)), np.float32), np.zeros(len(languages), np.float32))
