@@ -24,7 +24,7 @@ from groundwork.llm.common import map_texts
 _CONTROL = re.compile("[\x1c-\x1f]")
 NONE = np.iinfo(np.int32).max
 #: Cached words per Python worker; the cache is emptied when it is full.
-CACHE = 400_000
+CACHE = 100_000
 
 
 def default_vocabulary() -> str:
@@ -133,27 +133,27 @@ class TokenCounter:
         self.cache.update(zip(fresh, [sum([known[p] for p in ps]) for ps in parts]))
 
     def counts(self, texts: list[str | None]) -> list[int]:
-        fixed, words = [], []
-        for text in texts:
-            text = text or ""
-            n, at, found = 0, 0, []
-            if self.special and self.mark in text:
-                for m in self.special.finditer(text):
-                    n += 1
-                    found += self.words(text[at : m.start()])
-                    at = m.end()
-            fixed.append(n)
-            words.append(found + self.words(text[at:]) if at else self.words(text))
-        out = []
-        step = 200  # texts at a time, so that one array pass stays small
-        for i in range(0, len(words), step):
+        out: list[int] = []
+        step = 200  # texts at a time, so that lists and arrays of words stay small
+        for i in range(0, len(texts), step):
+            fixed, words = [], []
+            for text in texts[i : i + step]:
+                text = text or ""
+                n, at, found = 0, 0, []
+                if self.special and self.mark in text:
+                    for m in self.special.finditer(text):
+                        n += 1
+                        found += self.words(text[at : m.start()])
+                        at = m.end()
+                fixed.append(n)
+                words.append(found + self.words(text[at:]) if at else self.words(text))
             if len(self.cache) > CACHE:
                 self.cache.clear()
-            fresh = list(set().union(*words[i : i + step]).difference(self.cache))
+            fresh = list(set().union(*words).difference(self.cache))
             if fresh:
                 self.learn(fresh)
             get = self.cache.__getitem__
-            out += [f + sum(map(get, w)) for f, w in zip(fixed[i : i + step], words[i : i + step])]
+            out += [f + sum(map(get, w)) for f, w in zip(fixed, words)]
         return out
 
 

@@ -86,15 +86,16 @@ def print_of(hashes: np.ndarray, bits: int) -> bytes:
     return majority(np.stack(words)).tobytes()
 
 
-#: Hashes of the words a Python worker has seen; emptied when it is full.
+#: Hashes of the words a Python worker has seen; emptied when there are more than MOST_WORDS.
 _WORDS: dict[bytes, int] = {}
+MOST_WORDS = 100_000
 _PLACES = np.random.default_rng(SEED + 1).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
     """Distinct 64-bit hashes of the runs of ``width`` words, made of the words' hashes; of all words if there are fewer."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if len(_WORDS) > 400_000:
+    if len(_WORDS) > MOST_WORDS:
         _WORDS.clear()
     _WORDS.update((w, xxhash.xxh64_intdigest(w, seed=SEED)) for w in set(words).difference(_WORDS))
     ids = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
