@@ -186,6 +186,16 @@ def total(rows: DataFrame, f: Filters, as_of: Column) -> DataFrame:
     return matching(rows, f, as_of).agg(F.count(F.lit(1)).alias("total"))
 
 
+def counts(rows: DataFrame, f: Filters, as_of: Column) -> DataFrame:
+    """One row: ``total`` of the filters, and ``redeemed``, how many rows the redeemed filter alone takes out. One pass over the rows."""
+    if f.multi_signal:
+        raise ValueError("rows are counted, not parcels")
+    known = F.coalesce("is_redeemed", F.lit(False))
+    kept = F.lit(True) if f.redeemed is None else known if f.redeemed else ~known
+    others = matching(rows, replace(f, redeemed=None), as_of)
+    return others.agg(F.count_if(kept).alias("total"), F.count_if(~kept).alias("redeemed"))
+
+
 def actionability() -> Column:
     """Lower is more urgent: 1 foreclosure, 2 forfeited, 3 tax roll, 4 vacant, 9 other."""
     source = F.col("source")

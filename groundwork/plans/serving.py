@@ -90,3 +90,40 @@ def county_breakdown(spark, sf_dir):
 def county_coverage(spark, sf_dir):
     rows, breakdown, parcels = _coverage(spark, sf_dir)
     return aggregate.coverage(breakdown, rows, parcels)
+
+
+#: Conditions of the six categories on (source, event_type), as the members name them.
+IN_CATEGORY = {name: " OR ".join(f"(source = '{s}'" + (f" AND event_type = '{t}')" if t else ")") for s, t in members) for name, members in search.CATEGORIES.items()}
+
+
+@query("county_categories", f"WITH {FEED} SELECT county, " + ", ".join(f"count(*) FILTER ({c}) AS {name}" for name, c in IN_CATEGORY.items()) + f" FROM feed WHERE {' OR '.join(IN_CATEGORY.values())} GROUP BY county")
+def county_categories(spark, sf_dir):
+    """Counties by the six categories; an event may be in several, one that is in none is not counted."""
+    rows = feed(spark, sf_dir).select("county", F.explode(aggregate.category_of(F.col("source"), F.col("event_type"), search.CATEGORIES)).alias("category"))
+    return aggregate.county_pivot(rows, "county", "category", list(search.CATEGORIES))
+
+
+KIND, DISTRICT = "CASE k % 3 WHEN 0 THEN 'single_family' WHEN 1 THEN 'condo' END", "'ISD ' || (parcel_key % 7)"
+
+
+@query(
+    "feed_property_filters",
+    f"""WITH {FEED}, r AS (SELECT *, {KIND} AS property_type, {DISTRICT} AS school_district FROM feed)
+    SELECT 'kind' AS asked, id FROM r WHERE property_type = 'condo' AND school_district = 'ISD 3' UNION ALL SELECT 'range', id FROM r WHERE property_type = 'single_family' AND sqft BETWEEN 100 AND 700 AND event_value >= 40 UNION ALL SELECT 'typed wrong', id FROM r WHERE school_district = 'ISD 1'""",
+)
+def feed_property_filters(spark, sf_dir):
+    """Three parsed sentences; of the last only the district is of a known name and type."""
+    k = F.col("k") % 3
+    rows = feed(spark, sf_dir).withColumns({"property_type": F.when(k == 0, "single_family").when(k == 1, "condo"), "school_district": F.concat(F.lit("ISD "), (F.col("parcel_key") % 7).cast("string"))})
+    asked = {
+        "kind": {"equal": {"property_type": "condo", "school_district": "ISD 3"}},
+        "range": {"equal": {"property_type": "single_family"}, "ranges": {"sqft": [100, 700], "event_value": [40, None]}},
+        "typed wrong": {"equal": {"school_district": "ISD 1", "property_type": 7}, "ranges": {"nope": [1, 2], "sqft": ["a", 2]}, "county": 5},
+    }
+    parts = [search.matching(rows, search.from_words(a), as_of()).select(F.lit(name).alias("asked"), "id") for name, a in asked.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("feed_counts", f"WITH {FEED} SELECT count(*) FILTER (NOT coalesce(is_redeemed, false)) AS total, count(*) FILTER (coalesce(is_redeemed, false)) AS redeemed FROM feed WHERE source = 'mpls_vbr'")
+def feed_counts(spark, sf_dir):
+    return search.counts(feed(spark, sf_dir), search.Filters(category="vacant", redeemed=False), as_of())
