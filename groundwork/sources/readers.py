@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 from html.parser import HTMLParser
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -122,16 +123,33 @@ def table_rows(html: str | None, headings: Sequence[str] = ()) -> list[tuple[int
 
 
 ROWS = pa.list_(pa.struct([("table_no", pa.int32()), ("row_no", pa.int32()), ("cells", pa.list_(pa.string())), ("section", pa.string())]))
+#: Signs of pages that a Python worker holds parsed at once, and pages, should they be short.
+PIECE_SIGNS, PIECE_PAGES = 1 << 20, 256
+
+
+def pieces(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose texts in ``column`` have ``PIECE_SIGNS`` together; a longer text is a run of its own."""
+    begin = total = 0
+    for i, size in enumerate(pc.fill_null(pc.utf8_length(batch.column(column)), 0).to_pylist()):
+        if i > begin and (total + size > PIECE_SIGNS or i - begin >= PIECE_PAGES):
+            yield batch.slice(begin, i - begin)
+            begin, total = i, 0
+        total += size
+    yield batch.slice(begin)
 
 
 def page_tables(pages: DataFrame, html: str, carry: Sequence[str], headings: Sequence[str] = ()) -> DataFrame:
-    """``carry`` and rows, an array of (table_no, row_no, cells, section) of all table rows of a page, one row a page."""
+    """``carry`` and rows, an array of (table_no, row_no, cells, section) of all table rows of a page, one row a page.
+
+    A batch of pages is parsed and given back in pieces, so a worker's memory does not grow with the rows of a batch.
+    """
     width = len(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [[dict(zip(("table_no", "row_no", "cells", "section"), row)) for row in table_rows(text, headings)] for text in batch.column(width).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(width)), pa.array(made, ROWS)], names=[*carry, "rows"])
+            for piece in pieces(batch, width):
+                made = [[dict(zip(("table_no", "row_no", "cells", "section"), row)) for row in table_rows(text, headings)] for text in piece.column(width).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(piece.column(k) for k in range(width)), pa.array(made, ROWS)], names=[*carry, "rows"])
 
     picked = pages.select(*carry, F.col(html).cast("string"))
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])

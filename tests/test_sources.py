@@ -1,6 +1,7 @@
 import json
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from groundwork.sources import readers
@@ -35,6 +36,17 @@ def test_open_tables():
     assert readers.table_rows(None) == []
 
 
+def test_pages_in_pieces(monkeypatch):
+    """A batch of pages is parsed in runs of bounded texts; every page comes once, in order."""
+    texts = ["a" * 5, None, "b" * 9, "", "c" * 40, "d", "e", "f", "g"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(texts)], names=["k", "html"])
+    monkeypatch.setattr(readers, "PIECE_SIGNS", 12)
+    monkeypatch.setattr(readers, "PIECE_PAGES", 3)
+    got = [p.column(1).to_pylist() for p in readers.pieces(batch, 1)]
+    assert got == [["a" * 5, None], ["b" * 9, ""], ["c" * 40], ["d", "e", "f"], ["g"]]
+    assert [p.num_rows for p in readers.pieces(batch.slice(0, 0), 1)] == [0]
+
+
 def test_partition_overwrite(spark, tmp_path):
     path = str(tmp_path / "t")
     readers.write_partitions(spark.createDataFrame([("a", 1), ("b", 2)], "county string, n int"), path, ["county"])
