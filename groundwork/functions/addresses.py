@@ -109,9 +109,9 @@ def masked(raw: Column) -> Column:
     return F.when(number == "", raw).otherwise(F.concat(F.substring(number, 1, 1), F.repeat(F.lit("X"), F.length(number) - 1), rest))
 
 
-def city_state_zip(line: Column) -> Column:
-    """struct(city, state, zip) of 'CITY ST 55401-1234'; nulls if the line has another form."""
-    pattern = r"^\s*(.*?)[, ]+([A-Za-z]{2})[, ]+([0-9]{5})(?:-?[0-9]{4})?\s*$"
+def city_state_zip(line: Column, most: int = 5) -> Column:
+    """struct(city, state, zip) of 'CITY ST 55401-1234'; nulls if the line has another form. Codes of up to ``most`` digits are read where they are not postal ones."""
+    pattern = rf"^\s*(.*?)[, ]+([A-Za-z]{{2}})[, ]+([0-9]{{5,{most}}})(?:-?[0-9]{{4}})?\s*$"
     part = lambda k: F.nullif(F.regexp_extract(line, pattern, k), F.lit(""))
     return F.struct(part(1).alias("city"), F.upper(part(2)).alias("state"), part(3).alias("zip"))
 

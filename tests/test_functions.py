@@ -107,3 +107,19 @@ def test_same_person(spark, name, owner, want):
 def test_verbatim_facts(spark):
     r = spark.createDataFrame([("26-0035 36", "no. 26-003536 here"), ("x", "y"), ("", "y")], "a string, b string").select(notices.appears(F.col("a"), F.col("b")).alias("r")).collect()
     assert [x["r"] for x in r] == [True, False, False]
+
+
+def test_codes_of_numbered_suppliers(spark, tmp_path):
+    """Suppliers from 45,000 on have codes of six digits in the query's SQL; a postal code has five."""
+    import duckdb
+
+    from groundwork import registry
+
+    duckdb.sql(f"COPY (SELECT range AS s_suppkey FROM range(44990, 45012)) TO '{tmp_path}/supplier.parquet' (FORMAT parquet)")
+    got = registry.QUERIES["city_state_zip"](spark, str(tmp_path)).select("s_suppkey", "city", "state", "zip").collect()
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet'")
+        want = con.execute(registry.ORACLES["city_state_zip"]).fetchall()
+    assert sorted(map(tuple, got)) == sorted(want)
+    read = lambda line, **more: spark.range(1).select(addresses.city_state_zip(F.lit(line), **more)["zip"]).first()[0]
+    assert (read("A MN 550001234"), read("A MN 550001"), read("A MN 550001-1234", most=6)) == ("55000", None, "550001")
