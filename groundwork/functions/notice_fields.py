@@ -9,7 +9,9 @@ day, amount or number is read from that text, and a fact that does not stand in
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,12 +81,23 @@ def patterns(field: Field, label: str) -> list[str]:
     return [rf"{head}(?:[^.]|\.(?=\S)|(?<=[AaPp]\.[Mm])\.){{0,{field.gap}}}?(?<![A-Za-z0-9]){value}"]  # in the same sentence
 
 
-def fact(text: Column, field: Field) -> Column:
-    """The value of the first label that has one, as written; null if there is none or it is not in the text."""
-    tried = [p for label in field.labels for p in patterns(field, label)]
-    found = F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in tried])
+def only(value: Column, ok: Callable[[Column], Column]) -> Column:
+    """The value if it is as it should be, else null; it is computed once."""
+    return F.get(F.filter(F.array(value), ok), 0)
+
+
+def fact(text: Column, field: Field, low: Column | None = None) -> Column:
+    """The value of the first label that has one, as written; null if there is none or it is not in the text.
+
+    ``low`` is the text in small letters: a pattern is tried only where the words of its label stand.
+    """
+    low, tried = F.lower(text) if low is None else low, []
+    for label in field.labels:
+        there = reduce(lambda a, b: a & b, [low.contains(w) for w in label.lower().split()])
+        tried += [F.when(there, only(F.regexp_extract(text, p, 1), lambda v: v != "")) for p in patterns(field, label)]
+    found = F.coalesce(*tried)
     found = F.trim(F.regexp_replace(found, r"[\s,.]+$", "")) if field.until else found
-    return F.when(notices.appears(found, text), found)
+    return only(found, lambda v: notices.appears(v, text))
 
 
 def facts(rows: DataFrame, text: str, carry: list[str], fields: tuple[Field, ...] = FIELDS) -> DataFrame:
@@ -92,6 +105,8 @@ def facts(rows: DataFrame, text: str, carry: list[str], fields: tuple[Field, ...
     value, kind = F.col("f.fact"), F.col("f.kind")
     plain = F.regexp_replace(value, r"\s+", " ")
     numbers = F.when(kind == "period", notices.redemption_months(value))
-    made = F.array(*[F.struct(F.lit(f.name).alias("field"), F.lit(f.kind).alias("kind"), fact(F.col(text), f).alias("fact")) for f in fields])
-    out = rows.select(*carry, F.explode(F.filter(made, lambda f: f.fact.isNotNull())).alias("f"))
+    made = F.array(*[F.struct(F.lit(f.name).alias("field"), F.lit(f.kind).alias("kind"), fact(F.col(text), f, F.col("__low")).alias("fact")) for f in fields])
+    rows = rows.select(*carry, *([] if text in carry else [text]), F.lower(text).alias("__low"))
+    # the outer form, as the plain one lets Spark ask beforehand whether the list is empty, which computes all facts again
+    out = rows.select(*carry, F.explode_outer(F.filter(made, lambda f: f.fact.isNotNull())).alias("f")).filter("f is not null")
     return out.select(*carry, "f.field", "f.fact", F.when(kind == "day", coerce.day(plain)).alias("day"), F.when(kind == "money", coerce.money(value)).alias("amount"), numbers.alias("months"))

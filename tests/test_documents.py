@@ -72,3 +72,11 @@ def test_facts_that_are_not_in_the_text_are_held_back(spark):
     made_up = notice_fields.Field("x", "day", ("on",))
     row = spark.createDataFrame([("on May 1, 2020",)], "t string")
     assert row.select(notice_fields.fact(F.col("t"), made_up)).first()[0] == "May 1, 2020"
+
+
+def test_a_pattern_is_computed_once(spark):
+    rows = spark.createDataFrame([(1, "PID: 12-345-678. Redemption is six (6) months."), (2, None), (3, "rapid redemptions")], "k int, t string")
+    out = notice_fields.facts(rows, "t", ["k"])
+    assert sorted((r["k"], r["field"], r["fact"]) for r in out.collect()) == [(1, "parcel_id", "12-345-678"), (1, "redemption", "six (6) months")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert all(plan.count(p) == 1 for f in notice_fields.FIELDS if f.kind == "period" for label in f.labels for p in notice_fields.patterns(f, label))
