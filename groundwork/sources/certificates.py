@@ -80,7 +80,9 @@ def certificates(texts: DataFrame, carry: list[str], text: str = "text") -> tupl
     If no parcel is marked primary, the first is.
     """
     body = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"^\s*<\?xml[^>]*\?>", "")
-    read = texts.select(*carry, *(["error"] if "error" in texts.columns else []), F.from_xml(body, SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record", "rowTag": "certificate"}).alias("x"))
+    parsed = F.from_xml(body, SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record", "rowTag": "certificate"})
+    # a list of one: what is asked of the parsed text, and the filters on it, would else parse it again
+    read = texts.select(*carry, *(["error"] if "error" in texts.columns else []), F.explode_outer(F.array(parsed)).alias("x"))
     number = F.trim(F.col("x.headerForm.crvNumberId"))
     crv = F.when(number.rlike(r"^[0-9]+$"), number.try_cast("long"))
     listed = F.filter(F.transform(F.coalesce("x.propertyForm.parcels", F.array()), lambda p: F.struct(F.nullif(F.trim(p.parcelId), F.lit("")).alias("pin"), F.coalesce(yes_no(p.primary), F.lit(False)).alias("primary"))), lambda p: p.pin.isNotNull())

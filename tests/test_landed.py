@@ -69,3 +69,10 @@ def test_archives(spark, tmp_path):
     assert (one["crv_id"], one["parcel_norm"], one["primary_parcel"], one["deed_date"], one["purchase_amount"], one["buyers"], one["sellers"], one["government"]) == (17, "7", True, datetime.date(2026, 5, 4), Decimal("250000.50"), ["Ann Lee", "ACME"], [], None)
     assert not got["good.xml", "R 1.02"]["primary_parcel"] and got["again.XML", "R 1.02"]["primary_parcel"] and not got["again.XML", "7-¼"]["primary_parcel"]
     assert {(r["member"], r["reason"]) for r in rejects.collect()} == {("cut.xml", "no xml"), ("none.xml", "no certificate number"), ("bare.xml", "no parcel"), ("empty.xml", "no xml"), ("stored.xml", "broken member"), (None, "no archive")}
+
+
+def test_a_certificate_is_parsed_once(spark):
+    rows, rejects = certificates.certificates(spark.createDataFrame([("a", CERTIFICATE), ("b", None)], "member string, text string"), ["member"])
+    for made in (rows, rejects):
+        assert made._jdf.queryExecution().optimizedPlan().toString().count("from_xml(") == 1
+    assert (rows.count(), [tuple(r) for r in rejects.collect()]) == (2, [("b", "no xml")])
