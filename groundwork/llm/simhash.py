@@ -20,7 +20,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundwork.llm.common import ROW, cut, join_hot, map_texts, whole_row
@@ -336,37 +336,54 @@ def tile_links(fps: DataFrame, radius: int, tile_rows: int) -> DataFrame:
     return dealt.groupBy("a", "b").applyInArrow(_compare(radius), "u bigint, v bigint")
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, most_rounds: int = 60, task_rows: int = 65_536) -> DataFrame:
     """node, root (the component's smallest node) of every node in ``links`` (u, v).
 
     Alternates large-star and small-star steps; each round ends in a checkpoint, and the
-    rounds stop when the links no longer change. A hub's links are joined with its
-    minimum in slices, on many tasks.
+    rounds stop when every node is a root or has one link, to a root. A minimum is taken
+    where a node's links meet, without a join; the links of a hub, a node of over 1 / 500 of
+    the rows (so there are 500 at most), stay in slices on many tasks and get its minimum
+    by broadcast. The links never become more, so from the first count on they lie in pieces
+    of about ``task_rows``, and the driver keeps as few tasks as that takes.
     """
     edges = cut(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-
-    def mark(e: DataFrame):
-        return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
-
-    seen = mark(edges)
+    total = 2 * edges.count()
     for _ in range(most_rounds):
-        if not seen[0]:
+        if not total:
             break
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = join_hot(both, low, "u", "v", 2 * seen[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = join_hot(large, low, "u", "v", 2 * seen[0]).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        edges = cut(small.filter("u <> v").distinct())
-        now = mark(edges)
-        if now == seen:
+        limit = max(64, total // 500)
+        pieces = max(edges.sparkSession.sparkContext.defaultParallelism, -(-total // task_rows))
+        both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
+        nodes = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        seen = nodes.agg(F.sum("n"), F.count_if((F.col("m") < F.col("u")) & (F.col("n") > 1)), F.collect_list(F.when(F.col("n") > limit, F.struct("u", "m", "n")))).first()
+        total, open_ = seen[0], seen[1]
+        if not open_:
             break
-        seen = now
+        hubs = {r["u"]: (r["m"], -(-r["n"] // limit)) for r in seen[2]}
+        large = _with_least(both, hubs).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        if hubs:  # a node has no more rows here than it has links, so these are all that may have many
+            large = cut(large.coalesce(pieces))
+            few = edges.sparkSession.createDataFrame([(u,) for u in hubs], "u bigint")
+            least = large.join(F.broadcast(few), "u").groupBy("u").agg(F.min("v").alias("m")).collect()
+            hubs = {r["u"]: (r["m"], hubs[r["u"]][1]) for r in least}
+        small = _with_least(large, hubs).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        edges = cut(small.distinct().coalesce(pieces))
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _with_least(rows: DataFrame, hubs: dict[int, tuple[int, int]]) -> DataFrame:
+    """u, v and m, the least v of each u; ``hubs``: least v and number of slices of those u whose rows stay apart."""
+    known, at = F.lit(None).cast("long"), F.lit(0).cast("long")
+    if hubs:
+        table = rows.sparkSession.createDataFrame([(u, m, n) for u, (m, n) in hubs.items()], "u bigint, known bigint, slices bigint")
+        rows = rows.join(F.broadcast(table), "u", "left")
+        known, at = F.col("known"), F.coalesce(F.pmod(F.xxhash64("v"), F.col("slices")), at)
+    met = Window.partitionBy("u", "at")
+    return rows.withColumn("at", at).withColumn("known", known).select("u", "v", F.coalesce("known", F.min("v").over(met)).alias("m"))
+
+
 def _verify(radius: int, similar: float):
     """large, u, v: each node with the first node (v) of those it is joined with by sets so similar; pairs joined already are not looked at."""
 

@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -194,3 +195,33 @@ def test_components_of_random_graphs(spark):
     assert {r["root"] for r in simhash.components(star).collect()} == {0}
     path = spark.range(300).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     assert {r["root"] for r in simhash.components(path).collect()} == {0}
+
+
+def test_components_take_few_tasks(spark):
+    """A hub, a path and loose links at 64 shuffle partitions: the driver keeps what it knows of every task."""
+    sc, r = spark.sparkContext, random.Random(3)
+    ids = r.sample(range(10_000), 900)
+    links = [(ids[0], x) for x in ids[1:400]] + list(zip(ids[400:430], ids[401:431])) + [(r.choice(ids[431:]), r.choice(ids[431:])) for _ in range(300)]
+    links += [(ids[450], ids[5]), (ids[400], ids[700])]
+    want = {x: x for x in ids}
+    for _ in ids:
+        before = dict(want)
+        for u, v in links:
+            want[u] = want[v] = min(want[u], want[v])
+        if want == before:
+            break
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(held, ("64", "false", "-1")):  # as of links too many for a broadcast
+            spark.conf.set(k, v)
+        sc.setJobGroup("few-tasks", "components")
+        got = {x["node"]: x["root"] for x in simhash.components(spark.createDataFrame(links, "u bigint, v bigint")).collect()}
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert got == {x: want[x] for pair in links for x in pair if pair[0] != pair[1]}
+    tracker = sc.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("few-tasks") for s in tracker.getJobInfo(j).stageIds}
+    tasks = sum(i.numCompletedTasks for s in stages if (i := tracker.getStageInfo(s)))
+    assert 0 < tasks < 3_000, tasks
