@@ -342,7 +342,7 @@ def components(links: DataFrame, most_rounds: int = 60, task_rows: int = 65_536)
     Alternates large-star and small-star steps; each round ends in a checkpoint, and the
     rounds stop when every node is a root or has one link, to a root. A minimum is taken
     where a node's links meet, without a join; the links of a hub, a node of over 1 / 500 of
-    the rows (so there are 500 at most), stay in slices on many tasks and get its minimum
+    the rows as last counted (so there are 500 at most), stay in slices on many tasks and get its minimum
     by broadcast. The links never become more, so from the first count on they lie in pieces
     of about ``task_rows``, and the driver keeps as few tasks as that takes.
     """
