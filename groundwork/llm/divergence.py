@@ -32,7 +32,7 @@ SCALE = 1_000_000_000
 TOP = 10
 #: Terms that a task counts before it passes their counts on; vectors that are evaluated together.
 HELD, TOGETHER = 400_000, 4_096
-#: So many vectors are sent to all executors; more are joined by a shuffle.
+#: So many rows (groups, vectors in the first ranks) are sent to all executors; more are joined by a shuffle.
 SENT = 50_000
 #: Counts of a block of evaluations: vectors x sources.
 BLOCK = 1 << 20
@@ -99,6 +99,11 @@ def pair_sums(counts: np.ndarray, times: np.ndarray, totals: np.ndarray, kept: i
     return out
 
 
+def sent(rows: DataFrame) -> DataFrame:
+    """Checkpointed rows, marked for a broadcast if they are few: a join before a window then leaves the window its cut in front of the shuffle."""
+    return F.broadcast(rows) if rows.count() <= SENT else rows
+
+
 PAIRS = "lang string, one string, other string, value bigint"
 
 
@@ -143,7 +148,7 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) -> Data
 
     distinct = cut(kept.groupBy("lang", "vec").agg(F.count(F.lit(1)).alias("m"), F.min("term").alias("first"), F.first("total").alias("n_all")))
     parts = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("kept") / TOGETHER))
-    dealt = distinct.join(langs.select("lang", parts.alias("parts")), "lang")
+    dealt = distinct.join(sent(groups.filter("kept > 0").select("lang", parts.alias("parts")).distinct()), "lang")
     dealt = dealt.select("lang", F.pmod(F.xxhash64("vec"), "parts").alias("part"), "vec", "m")
     params = groups.filter("kept > 0").select("lang", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), "source", "total", "kept")
     sums = dealt.groupBy("lang", "part").cogroup(params.groupBy("lang", "part")).applyInArrow(evaluate, PAIRS).groupBy("lang", "one", "other").agg(F.sum("value").alias("value"))
@@ -154,14 +159,14 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) -> Data
     by_rank = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     pairs = pairs.withColumn("rank", F.row_number().over(by_rank))
 
-    # a term in the first ten of a source has a vector in the first ten, ordered by value and the vector's first term
-    valued = distinct.select("lang", "vec", F.col("first").alias("item"), "n_all", F.explode("vec").alias("e")).select("lang", "vec", "item", "n_all", "e.source", "e.n")
-    valued = valued.join(groups, ["lang", "source"])
+    # a term in the first ten of a source has a vector in the first ten, ordered by value and the vector's first term, which also names the vector
+    valued = distinct.select("lang", F.col("first").alias("item"), "n_all", F.explode("vec").alias("e")).select("lang", "item", "n_all", "e.source", "e.n")
+    valued = valued.join(sent(groups), ["lang", "source"])
     p, q = share(F.col("n"), F.col("total"), F.col("kept")), share(F.col("n_all"), F.col("all"), F.col("kept"))
-    valued = valued.withColumn("p", p).withColumn("q", q).filter("p > q").select("lang", "source", "vec", "item", divergence(F.col("p"), F.col("q")).alias("value"))
-    best = cut(valued.withColumn("rank", F.row_number().over(by_rank)).filter(F.col("rank") <= top).select("lang", "source", "vec", "value"))
-    small = best.count() <= SENT  # ten rows for each source of a language
-    words = kept.select("lang", "vec", F.col("term").alias("item")).join(F.broadcast(best) if small else best, ["lang", "vec"])
+    valued = valued.withColumn("p", p).withColumn("q", q).filter("p > q").select("lang", "source", "item", divergence(F.col("p"), F.col("q")).alias("value"))
+    best = cut(valued.withColumn("rank", F.row_number().over(by_rank)).filter(F.col("rank") <= top).select("lang", "source", "item", "value"))
+    best = cut(distinct.select("lang", "vec", F.col("first").alias("item")).join(sent(best), ["lang", "item"]).drop("item"))
+    words = kept.select("lang", "vec", F.col("term").alias("item")).join(sent(best), ["lang", "vec"])
     words = words.withColumn("rank", F.row_number().over(by_rank)).filter(F.col("rank") <= top)
     words = words.select("lang", "source", F.lit("term").alias("part"), "item", "value", "rank")
     return pairs.unionByName(words)

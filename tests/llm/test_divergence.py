@@ -102,3 +102,25 @@ def test_odd_rows_and_empty_tables(odd, empty):
     got = divergence.audit(odd.union(odd).union(odd).union(odd).union(odd).union(odd).union(odd).union(odd).union(odd).union(odd))
     assert rows_of(got) == by_brute_force(rows * 10) and got.filter("part = 'term'").count()
     assert divergence.audit(empty).count() == 0
+
+
+def test_ranks_are_cut_before_the_shuffle(spark, monkeypatch):
+    """Groups too large for Spark's own broadcast: vectors are not shuffled by source, each task passes its first ten on."""
+    rows, plans, plain = made_up(3), [], divergence.cut
+
+    def spied(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df)
+
+    monkeypatch.setattr(divergence, "cut", spied)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert rows_of(divergence.audit(docs_of(spark, rows))) == by_brute_force(rows)
+        ranked = [p for p in plans if "WindowGroupLimit" in p]
+        assert ranked and not any("SortMergeJoin" in p for p in ranked)
+        assert all(p.index("Final") < p.index("Exchange hashpartitioning(lang") < p.index("Partial") for p in ranked)
+        monkeypatch.setattr(divergence, "SENT", 0)  # and without any broadcast
+        assert rows_of(divergence.audit(docs_of(spark, rows))) == by_brute_force(rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
