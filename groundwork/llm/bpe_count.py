@@ -11,6 +11,7 @@ import json
 import re
 import unicodedata
 from functools import lru_cache
+from itertools import compress
 from os.path import commonprefix
 
 import numpy as np
@@ -23,7 +24,7 @@ from groundwork.llm.common import map_texts
 
 _CONTROL = re.compile("[\x1c-\x1f]")
 NONE = np.iinfo(np.int32).max
-#: Cached words per Python worker; the cache is emptied when it is full.
+#: Cached words per Python worker.
 CACHE = 100_000
 
 
@@ -40,6 +41,30 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+class Words(dict):
+    """Tokens of words; a word that is not known counts as 0 and is noted in ``missed``.
+
+    When one half of ``CACHE`` is full, the other, of words not met since, is dropped.
+    """
+
+    def __init__(self):
+        self.older: dict[str, int] = {}
+        self.missed: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        n = self.older.get(word)
+        if n is None:
+            self.missed.append(word)
+            return 0
+        self[word] = n
+        return n
+
+    def turn(self) -> None:
+        if len(self) > CACHE // 2:
+            self.older = dict(self)
+            self.clear()
+
+
 class TokenCounter:
     """Counts the tokens of texts for a byte-level BPE vocabulary file with word ends."""
 
@@ -59,25 +84,31 @@ class TokenCounter:
         self.mark = commonprefix([t["content"] for t in spec["added_tokens"]])
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"])
+        self.lines = regex.compile(split["pattern"]["Regex"] + r"|\n")
         self.space = regex.compile(r"\s+")
-        self.cache: dict[str, int] = {}
+        self.cache = Words()
+        # ranks of two bytes: the first one inside a word, the second one inside (0 to 255) or at its end (256 to 511)
+        self.byte_ranks = self.pair_rank(np.repeat(self.first, 512), np.tile(np.concatenate([self.first, self.last]), 256))
 
     def pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a.astype(np.int64) << 20 | b
         at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
         return np.where(self.key[at] == key, self.rank[at], NONE).astype(np.int32)
 
-    def merge_counts(self, words: list[bytes]) -> np.ndarray:
-        """Surviving symbols of each non-empty word."""
-        sizes = np.array([len(w) for w in words], np.int64)
-        raw = np.frombuffer(b"".join(words), np.uint8)
-        syms, seq = self.first[raw], np.repeat(np.arange(len(words)), sizes)
-        ends = np.cumsum(sizes) - 1
+    def merge_counts(self, words: list[str]) -> np.ndarray:
+        """Surviving symbols of each word; words are not empty and have no line feeds."""
+        raw = np.frombuffer("\n".join([*words, ""]).encode("utf-8", "surrogatepass"), np.uint8)
+        breaks = raw == 10
+        seq, ends = np.cumsum(breaks)[~breaks], np.nonzero(breaks)[0] - np.arange(1, len(words) + 1)
+        raw = raw[~breaks]
+        syms = self.first[raw]
         syms[ends] = self.last[raw[ends]]
         counts = np.ones(len(words), np.int64)
         ranks = np.full(len(syms), NONE, np.int32)
         inner = np.nonzero(seq[:-1] == seq[1:])[0]
-        ranks[inner] = self.pair_rank(syms[inner], syms[inner + 1])
+        second = raw.astype(np.int64)
+        second[ends] += 256
+        ranks[inner] = self.byte_ranks[second[inner + 1] + 512 * raw[inner].astype(np.int64)]
         while len(syms):
             new = np.concatenate([[True], seq[1:] != seq[:-1]])
             starts = np.nonzero(new)[0]
@@ -112,12 +143,6 @@ class TokenCounter:
             ranks[stale] = self.pair_rank(syms[stale], syms[stale + 1])
         return counts
 
-    def pre_tokens(self, word: str) -> list[str]:
-        """Of a lower-case word or text."""
-        if not word.isascii():
-            word = self.space.sub(" ", unicodedata.normalize("NFC", word)).lower()
-        return self.pattern.findall(word)
-
     def words(self, text: str) -> list[str]:
         """Lower-case runs between white space: pre-tokens never cross white space, so these are counted one by one."""
         # letter by letter, as the vocabulary's own lower-casing: no rule for a sigma at a word's end
@@ -126,17 +151,30 @@ class TokenCounter:
         return text.split() if not _CONTROL.search(text) else self.space.split(text)
 
     def learn(self, fresh: list[str]) -> None:
-        """Count the words that are not in the cache."""
-        parts = [self.pre_tokens(w) for w in fresh]
-        distinct = list(set().union(*parts))
-        known = dict(zip(distinct, self.merge_counts([w.encode("utf-8", "surrogatepass") for w in distinct]).tolist())) if distinct else {}
-        self.cache.update(zip(fresh, [sum([known[p] for p in ps]) for ps in parts]))
+        """Count the words that are not in the cache, which hold no white space."""
+        fixed = "\n".join(fresh)
+        if not fixed.isascii():  # a line feed composes with nothing
+            fixed = unicodedata.normalize("NFC", fixed).lower()
+        fixed = fixed.split("\n")
+        whole = list(map(str.isalpha, fixed))  # letters only are one pre-token
+        others = [w for w, one in zip(fixed, whole) if not one]
+        parts = self.lines.findall("\n".join(others))
+        inner = set(parts) - {"\n"}
+        known = {w: self.cache[w] for w in inner.intersection(self.cache) if w.isascii()}
+        distinct = list(inner.union(compress(fixed, whole)).difference(known))
+        if distinct:
+            known.update(zip(distinct, self.merge_counts(distinct).tolist()))
+        known["\n"] = -1
+        n = np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
+        sums = iter(np.bincount(np.cumsum(n < 0), np.maximum(n, 0), len(others)).astype(np.int64).tolist())
+        self.cache.update(zip(fresh, [known[w] if one else next(sums) for w, one in zip(fixed, whole)]))
 
     def counts(self, texts: list[str | None]) -> list[int]:
         out: list[int] = []
-        step = 200  # texts at a time, so that lists and arrays of words stay small
+        cache, step = self.cache, 200  # texts at a time, so that lists and arrays of words stay small
         for i in range(0, len(texts), step):
-            fixed, words = [], []
+            cache.turn()
+            known, ends = [], []
             for text in texts[i : i + step]:
                 text = text or ""
                 n, at, found = 0, 0, []
@@ -145,15 +183,13 @@ class TokenCounter:
                         n += 1
                         found += self.words(text[at : m.start()])
                         at = m.end()
-                fixed.append(n)
-                words.append(found + self.words(text[at:]) if at else self.words(text))
-            if len(self.cache) > CACHE:
-                self.cache.clear()
-            fresh = list(set().union(*words).difference(self.cache))
-            if fresh:
-                self.learn(fresh)
-            get = self.cache.__getitem__
-            out += [f + sum(map(get, w)) for f, w in zip(fixed, words)]
+                known.append(n + sum(map(cache.__getitem__, found + self.words(text[at:]) if at else self.words(text))))
+                ends.append(len(cache.missed))
+            missed, cache.missed = cache.missed, []
+            if missed:
+                self.learn(list(set(missed)))
+            late = list(map(cache.__getitem__, missed))
+            out += [n + sum(late[a:b]) for n, a, b in zip(known, [0, *ends], ends)]
         return out
 
 

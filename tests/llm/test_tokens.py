@@ -86,3 +86,22 @@ def test_small_caches_do_not_change_results(documents, monkeypatch):
     some = [r["text"] or "" for r in documents.limit(40).collect()]
     assert [words.counts([t])[0] for t in some] == WORDS.counts(some)
     assert all(codec.encode(t) == MODEL.encode(t, add_bos=True, add_eos=True) for t in some)
+
+
+def test_words_met_again_stay_in_a_small_cache(monkeypatch):
+    """Rare words fill the cache again and again; a frequent word is learned once."""
+    monkeypatch.setattr(bpe_count, "CACHE", 100)
+    counter, learned = bpe_count.TokenCounter(public_tokenizers.path("word_bpe_49k.json")), []
+    plain = counter.learn
+    monkeypatch.setattr(counter, "learn", lambda fresh: (learned.extend(fresh), plain(fresh)))
+    texts = [f"the h\u00e9lice, {' '.join(f'w{i}x{k}' for k in range(30))} the" for i in range(40)]
+    assert [counter.counts([t])[0] for t in texts] == [len(LIBRARY.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert learned.count("the") == learned.count("h\u00e9lice,") == 1 and len(learned) == 40 * 30 + 2
+    assert len(counter.cache) + len(counter.cache.older) <= 100 + 2 * 32
+
+
+def test_words_learned_together():
+    """Letters only, marks, empty words, letters that compose or grow in lower case, in one pass."""
+    text = "a \x1cb\x1c\x1c c, ,,d'll e\u0301\u0301x \u0130\u0307i \u212b\u212b. \u0958\u0959 12\u00b2 \u0301\u0338 \u1e9b\u0323! x'S's'' \U0001f600\u200d\U0001f600 \u03a3\u0391\u03a3"
+    texts = [text, *text.split(" "), text.replace(" ", ""), "", " ", None]
+    assert bpe_count.TokenCounter(public_tokenizers.path("word_bpe_49k.json")).counts(texts) == [len(LIBRARY.encode(t or "", add_special_tokens=False).ids) for t in texts]
