@@ -10,11 +10,14 @@ At the radius that near copies of 0.8 in Jaccard similarity need (a fifth of the
 population counts tell nothing apart. There ``deduplicate`` first deals the fingerprints
 into cells by keys of their shingle sets (minima of hash functions, which two such sets
 share with all but certainty), compares by exclusive-or inside a cell, skipping sets whose
-sizes differ too much, and verifies what is left on the sets themselves.
+sizes differ too much, and verifies what is left on the sets themselves. What cells and
+fingerprints may have missed is looked for between the groups found so far, by the leading shingles
+of the sets, of which two such sets always share one (``rest_roots``); so no link is lost.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import repeat
 
 import numpy as np
@@ -37,6 +40,11 @@ CANDIDATE, HALF = 80, 50
 #: Cells of a shingle set: BANDS keys of BAND_ROWS minima each. Sets of 0.8 share no key in (1 - 0.8^4)^28 = 4e-7 of the cases.
 BANDS, BAND_ROWS = 28, 4
 _FACTORS = np.random.default_rng(SEED).integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Shingles that SEEN or more of about SAMPLE texts hold come last in the order of leading shingles, MOST_LATE of them
+#: at most. The order decides how much is compared, never what is found.
+SAMPLE, SEEN, MOST_LATE = 4_096, 4, 65_536
+#: Rows of a shingle that meet in one slice, and tables of so many rows at most that are broadcast by hint.
+SLICE, FEW = 1_024, 50_000
 #: Runs of a cell longer than this are compared as blocks, shorter ones together by offset.
 LONG_RUN = 32
 
@@ -135,14 +143,50 @@ def fingerprints(docs: DataFrame, width: int = 3, bits: int = 64, repeats: bool
     return map_texts(docs, run, "fp binary, lo int, hi int", carry=carry)
 
 
-def set_nodes(docs: DataFrame, width: int, bits: int, carry: tuple[str, ...]) -> DataFrame:
-    """``carry``, fp (the ``set_node``, which begins with the fingerprint) and bands, the cells of the set."""
+def least_shared(n: int, similar: float) -> int:
+    """The least size of a set that is ``similar`` to one of n; not a rounding error more."""
+    return math.ceil(similar * n - 1e-9)
+
+
+def leading(hashes: np.ndarray, similar: float, late: np.ndarray) -> np.ndarray:
+    """The leading shingles of a set (sorted, distinct), as signed numbers: two sets of ``similar`` or more have one in common.
+
+    All sets share one order: by hash, those of ``late`` behind all others, in the order they
+    have there. A set has least_shared(n) shingles in common with the other at least, so the first of these is
+    among as many as the rest and one more; the smaller of both last ones bounds it in both.
+    """
+    order = np.argsort(late)
+    at = np.searchsorted(late[order], hashes)
+    known = np.isin(hashes, late)
+    rank = order[at[known]] if known.any() else np.zeros(0, np.int64)
+    first = np.concatenate([hashes[~known], hashes[known][np.argsort(rank)]])
+    return first[: len(hashes) - least_shared(len(hashes), similar) + 1].view(np.int64)
+
+
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Whether a set has an odd number of shingles in each of 128 bins, as two signed numbers: a shingle that one of two sets holds alone changes one bit."""
+    return np.packbits(np.bincount((hashes & np.uint64(127)).astype(np.int64), minlength=128) & 1).view(np.int64)
+
+
+def set_nodes(docs: DataFrame, width: int, bits: int, similar: float, late: np.ndarray, carry: tuple[str, ...]) -> DataFrame:
+    """``carry``, fp (the ``set_node``, which begins with the fingerprint), bands, the cells of the set, its leading shingles, parities and size."""
 
     def run(texts: list) -> list[pa.Array]:
         sets = [shingle_set(t, width) for t in texts]
-        return [pa.array([set_node(s, bits) for s in sets], pa.binary()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))]
+        bands, lead = (pa.array([make(s) for s in sets], pa.list_(pa.int64())) for make in (band_keys, lambda s: leading(s, similar, late)))
+        odd = np.stack([parities(s) for s in sets]) if sets else np.zeros((0, 2), np.int64)
+        return [pa.array([set_node(s, bits) for s in sets], pa.binary()), bands, lead, *(pa.array(odd[:, k]) for k in (0, 1)), pa.array([len(s) for s in sets], pa.int32())]
 
-    return map_texts(docs, run, "fp binary, bands array<bigint>", carry=carry)
+    return map_texts(docs, run, "fp binary, bands array<bigint>, lead array<bigint>, odd_0 bigint, odd_1 bigint, size int", carry=carry)
+
+
+def late_shingles(docs: DataFrame, width: int) -> np.ndarray:
+    """Shingles that many texts of a sample hold, the rarest first."""
+    parts = max(1, docs.count() // SAMPLE)
+    some = docs.select(_text_key().alias("hash"), F.coalesce("text", F.lit("")).alias("text")).filter(F.pmod("hash", F.lit(parts)) == 0).distinct()
+    held = map_texts(some, lambda texts: [pa.array([shingle_set(t, width).view(np.int64) for t in texts], pa.list_(pa.int64()))], "held array<bigint>", carry=("hash",))
+    often = held.select(F.explode("held").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= SEEN)
+    return often.orderBy(F.desc("n"), "shingle").limit(MOST_LATE).toArrow().column("shingle").to_numpy()[::-1].view(np.uint64)
 
 
 def _quarters(x: np.ndarray) -> np.ndarray:
@@ -441,6 +485,83 @@ def verified_roots(docs: DataFrame, kinds: DataFrame, similar: float, width: int
     return small.unionByName(components(links.filter("large").select("u", "v")))
 
 
+def few(df: DataFrame, count: int) -> DataFrame:
+    return F.broadcast(df) if count <= FEW else df
+
+
+def apart_pairs(kinds: DataFrame, roots: DataFrame, similar: float) -> DataFrame:
+    """u, v: the set nodes of different roots whose sets may be so similar by sizes, parities and leading shingles.
+
+    A shingle that leads sets of one root only is done with. Two sets differ in as many
+    shingles as in parities at least. Of the shingles that two such sets share, those that lead both are
+    counted; the others lie behind the leading ones of the set whose leading ones end first, so
+    they are no more than that set has there.
+    """
+    group = kinds.join(few(roots.select(F.col("node").alias("id"), "root"), roots.count()), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    met = group.select(F.explode("lead").alias("shingle"), "root").groupBy("shingle").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("n"))
+    met = cut(met.filter("a < b").select("shingle", F.ceil(F.col("n") / SLICE).alias("slices")))
+    rows = kinds.select(F.explode("lead").alias("shingle"), "id").join(few(met, met.count()), "shingle")
+    rows = cut(rows.join(group.select("id", "root", "size", "odd_0", "odd_1"), "id"))
+    side = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("id", "root", "size", "odd_0", "odd_1")]
+    left = rows.select("shingle", F.pmod(F.xxhash64("id"), F.col("slices")).alias("slice"), *side("u"))
+    right = rows.select("shingle", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), *side("v"))
+    less, more = F.least("u_size", "v_size"), F.greatest("u_size", "v_size")
+    need = F.ceil(similar / (1 + similar) * (less + more) - 1e-9)  # of similar sets at least so many are shared
+    apart = F.bit_count(F.col("u_odd_0").bitwiseXOR(F.col("v_odd_0"))) + F.bit_count(F.col("u_odd_1").bitwiseXOR(F.col("v_odd_1")))
+    fit = (F.col("u_id") < F.col("v_id")) & (F.col("u_root") != F.col("v_root")) & (less >= similar * more - 1e-9) & (apart <= less + more - 2 * need)
+    pairs = left.join(right, (left.shingle == right.shingle) & (left.slice == right.slice) & fit)
+    pairs = pairs.groupBy(F.col("u_id").alias("u"), F.col("v_id").alias("v")).agg(F.count(F.lit(1)).alias("shared"), F.max(need).alias("need"), F.max(more).alias("more"))
+    return pairs.filter(F.col("shared") + F.ceil(similar * F.col("more") - 1e-9) - 1 >= F.col("need")).select("u", "v")
+
+
+def _verify_pairs(similar: float):
+    """u, v: a forest of the given pairs whose sets are so similar."""
+
+    def run(key: tuple, pairs: pa.Table, rows: pa.Table) -> pa.Table:
+        ids = rows.column("id").to_numpy()
+        order = np.argsort(ids)
+        sets = [np.frombuffer(s, np.uint64) for s in rows.column("shingles").to_pylist()]
+        parent = list(range(len(ids)))
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        ends = (order[np.searchsorted(ids[order], pairs.column(c).to_numpy())].tolist() for c in ("u", "v"))
+        for x, y in zip(*ends):
+            if (p := find(x)) != (q := find(y)):
+                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if both / max(1, len(sets[x]) + len(sets[y]) - both) >= similar:
+                    parent[max(p, q)] = min(p, q)
+        tops = np.fromiter(map(find, range(len(ids))), np.int64, len(ids))
+        child = np.nonzero(tops != np.arange(len(ids)))[0]
+        return pa.table({"u": pa.array(ids[child], pa.int64()), "v": pa.array(ids[tops[child]], pa.int64())})
+
+    return run
+
+
+def rest_roots(docs: DataFrame, kinds: DataFrame, roots: DataFrame, similar: float, width: int, set_rows: int) -> DataFrame:
+    """``roots`` (node, root) joined by every link of ``similar`` or more that is still missing between nodes of different roots.
+
+    Pairs are dealt into tiles by both nodes; a tile gets its pairs and the sets they name,
+    of about ``set_rows`` nodes a side.
+    """
+    pairs = cut(apart_pairs(kinds, roots, similar))
+    if not pairs.count():
+        return roots
+    asked = cut(pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct())
+    count = asked.count()
+    named = kinds.join(few(asked, count), "id").select("id", _name(F.col("first.doc_id")).alias("__of"), F.col("first.hash").alias("__key"))
+    texts = docs.select(_name(F.col("doc_id")).alias("__of"), _text_key().alias("__key"), "text").join(few(named, count), ["__of", "__key"]).dropDuplicates(["__of", "__key"])
+    sets = map_texts(texts, lambda many: [pa.array([shingle_set(t, width).tobytes() for t in many], pa.binary())], "shingles binary", carry=("id",))
+    tile = lambda c: F.pmod(F.xxhash64(c), F.lit(max(1, -(-count // set_rows))))
+    dealt = pairs.select(tile("u").alias("a"), tile("v").alias("b"), "u", "v")
+    wanted = dealt.select(F.col("a").alias("at_a"), F.col("b").alias("at_b"), F.explode(F.array("u", "v")).alias("id")).distinct().join(sets, "id")
+    found = cut(dealt.groupBy("a", "b").cogroup(wanted.groupBy("at_a", "at_b")).applyInArrow(_verify_pairs(similar), "u bigint, v bigint"))
+    return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found)) if found.count() else roots
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, bits: int = 64, tile_rows: int = 32_768) -> DataFrame:
     """doc_id, fingerprint, component_id: one row per input row.
 
@@ -474,7 +595,8 @@ def deduplicate(docs: DataFrame, width: int = 5, similar: float = 0.8, bits: int
     """The rows and columns of ``docs``, with one row of each group of near copies: that of the smallest doc_id.
 
     Groups are links of ``similar`` (0.8 or more) in exact Jaccard similarity of the sets of
-    ``width``-word shingles; cells and fingerprints only say which pairs are looked at.
+    ``width``-word shingles. Cells and fingerprints say which pairs are looked at first; the
+    links they miss are found by the leading shingles of the sets.
     Texts without a word are copies of each other. Rows without an id come last in their
     group; of rows alike in id and text one stays. Rows of equal id and different texts
     are different documents. Other columns are kept as they are, whatever their names.
@@ -482,9 +604,11 @@ def deduplicate(docs: DataFrame, width: int = 5, similar: float = 0.8, bits: int
     """
     if similar < 0.8 or bits != 256:
         raise ValueError("candidates are made for a similarity of 0.8 or more in 256 bits")
-    nodes = cut(set_nodes(docs.select("doc_id", _text_key().alias("hash"), "text"), width, bits, carry=("doc_id", "hash")))
-    kinds = cut(nodes.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("first"), F.first("bands").alias("bands")).withColumn("id", F.monotonically_increasing_id()))
-    roots = verified_roots(docs, kinds, similar, width, tile_rows, set_rows)
+    late = late_shingles(docs, width)
+    nodes = cut(set_nodes(docs.select("doc_id", _text_key().alias("hash"), "text"), width, bits, similar, late, carry=("doc_id", "hash")))
+    kinds = cut(nodes.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("first"), *(F.first(c).alias(c) for c in ("bands", "lead", "odd_0", "odd_1", "size"))).withColumn("id", F.monotonically_increasing_id()))
+    roots = cut(verified_roots(docs, kinds, similar, width, tile_rows, set_rows))
+    roots = rest_roots(docs, kinds, roots, similar, width, set_rows)
     kinds = kinds.join(roots, kinds.id == roots.node, "left").select("first", "root")
     winners = kinds.filter("root is not null").groupBy("root").agg(F.min("first").alias("first")).select("first").unionByName(kinds.filter("root is null").select("first"))
     winners = winners.select(_name(F.col("first.doc_id")).alias("__of"), F.col("first.hash").alias("__key"))
